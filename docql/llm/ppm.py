@@ -1,17 +1,18 @@
 """Language-model scoring by prediction by partial matching (PPM) over bytes.
 
-A text is its words, A-Z in lower case, each followed by a space, and an end mark. The model codes
-byte after byte. A context is what stands before in the word, up to ORDER bytes, with spaces before
-the word; so what a word costs depends on the word alone, and each different word is scored once.
+A text is its words, A-Z in lower case, each followed by a space, and an end mark after the last. The
+model codes byte after byte. A context is the ORDER bytes before (spaces before the text), across words.
 The trie of contexts holds counts of the whole training corpus, nothing pruned. A byte that was not seen
-in a context costs an escape (method C: as many escapes as different bytes seen) and goes to the
+in a context costs an escape (method D: half a count for each different byte seen) and goes to the
 context one byte shorter, where the bytes seen in the longer one are excluded; below order 0 all
 remaining bytes are alike. The result is a proper distribution over texts.
 
 Trie nodes are rows keyed by their packed bytes, so counting, exclusion and escapes are joins and
-aggregates. Word counts are pre-aggregated in each task. Frequent words (at most HOT_WORDS: a word counts
-as one if it makes up a HOT_WORDS-th of all tokens) are resolved where texts are read; of all others each
-task sends one row with the list of its documents, joined with the words' costs.
+aggregates, and all that a byte costs after its context is one number for each gram (context and byte).
+Counts are pre-aggregated in each task. Frequent words (at most HOT_WORDS: a word counts as one if it
+makes up a HOT_WORDS-th of all) are resolved where texts are read; of all others each task sends one
+row with the list of its documents, joined with the words' counts. Grams are treated alike: all
+are sent to the workers if they are SENT_GRAMS at most, else the frequent ones, and others are joined.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,33 +31,38 @@ from docql.llm.common import id_crc, ship, stored
 
 ORDER = 5
 HOT_WORDS = 50_000
-#: A table of gram costs with at most so many rows (16 bytes each) is sent to the workers; a larger one is joined.
-SENT_GRAMS = 2_000_000
+#: The most gram costs that are sent to the workers (16 bytes each).
+SENT_GRAMS = 4_000_000
 #: Different words a task holds before it sends them on.
 HELD_WORDS = 250_000
+#: Different grams a task holds, and bytes of text it looks at in one go.
+HELD_GRAMS, PART_BYTES = 3_000_000, 3_000_000
 #: Bytes without white space, the space that ends a word, the end mark.
 SYMBOLS = 256 - 6 + 2
 END = 0x0A
 PAD = b" " * ORDER
-END_GRAM = int.from_bytes(PAD + bytes([END]), "big")
 
 
 def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
-def grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The grams (ORDER bytes of context and a byte, packed) of all words, and each word's number of them."""
-    raw = np.frombuffer(PAD + (b" " + PAD).join(words) + b" ", np.uint8).astype(np.int64)
+def stream(words: list[bytes]) -> bytes:
+    return b" ".join([*words, b"\n"])
+
+
+def grams(streams: list[bytes]) -> np.ndarray:
+    """The grams (ORDER bytes of context and a byte, packed) of all streams, one after the other; a stream has as many as bytes."""
+    raw = np.frombuffer(PAD + PAD.join(streams), np.uint8).astype(np.int64)
     packed = raw.copy()
     for k in range(1, ORDER + 1):
         packed[k:] |= raw[:-k] << (8 * k)
-    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
-    first = ORDER + np.cumsum(sizes + ORDER) - (sizes + ORDER)
-    keep = np.zeros(len(raw) + 1, np.int32)
-    keep[first] += 1
-    keep[first + sizes] -= 1
-    return packed[np.cumsum(keep[:-1]) > 0], sizes
+    inside = np.ones(len(raw), bool)
+    inside[:ORDER] = False
+    ends = np.flatnonzero(raw == END)[:-1]
+    for k in range(1, ORDER + 1):
+        inside[ends + k] = False
+    return packed[inside]
 
 
 def count_words(docs: DataFrame) -> DataFrame:
@@ -85,22 +92,47 @@ def count_words(docs: DataFrame) -> DataFrame:
     return stored(parts.groupBy("word").agg(F.sum("c_all").alias("c_all"), F.sum("c_train").alias("c_train")))
 
 
-def count_grams(words: DataFrame, ends: int) -> DataFrame:
-    """(g, n): grams of all words with their training counts, 0 for those of other words only."""
+def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    keys, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+    return keys, np.bincount(at, np.concatenate([p[1] for p in parts])).astype(np.int64)
+
+
+def count_grams(docs: DataFrame) -> DataFrame:
+    """docs (text, train) to (g, n): all grams with their counts in training texts, which may be 0."""
 
     def run(batches):
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        texts: dict[bool, list[bytes]] = {True: [], False: []}
+        size = 0
+
+        def count():
+            for used, streams in texts.items():
+                if streams:
+                    keys, n = np.unique(grams(streams), return_counts=True)
+                    held.append((keys, n if used else np.zeros_like(n)))
+                streams.clear()
+            if sum(len(x[0]) for x in held) > HELD_GRAMS:
+                held[:] = [merged(held)]
+
+        def rows():
+            keys, n = merged(held)
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], names=["g", "n"])
+
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            got, sizes = grams(batch.column(0).to_pylist())
-            keys, at = np.unique(got, return_inverse=True)
-            n = np.zeros(len(keys), np.int64)
-            np.add.at(n, at, np.repeat(batch.column(1).to_numpy(), sizes))
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], names=["g", "n"])
+            for text, used in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                texts[used].append(s := stream(words_of(text.as_py())))
+                size += len(s)
+                if size > PART_BYTES:
+                    count()
+                    size = 0
+                    if held and len(held[0][0]) > HELD_GRAMS:
+                        yield rows()
+        count()
+        if held:
+            yield rows()
 
-    parts = words.select("word", "c_train").mapInArrow(run, "g long, n long")
-    end = words.sparkSession.createDataFrame([(END_GRAM, ends)], "g long, n long")
-    return stored(parts.union(end).groupBy("g").agg(F.sum("n").alias("n")))
+    return stored(docs.select("text", "train").mapInArrow(run, "g long, n long").groupBy("g").agg(F.sum("n").alias("n")))
 
 
 def gram_costs(counted: DataFrame) -> DataFrame:
@@ -123,40 +155,11 @@ def gram_costs(counted: DataFrame) -> DataFrame:
     for j in range(ORDER + 1):
         # What the longer context saw is excluded here; where that context is new, nothing is.
         t, d = (or_zero(f"t{j}") - or_zero(f"x{j + 1}"), or_zero(f"d{j}") - or_zero(f"d{j + 1}")) if j < ORDER else (or_zero(f"t{j}"), or_zero(f"d{j}"))
-        escape = F.when(d > 0, F.log10(d / (t + d))).otherwise(0.0)
-        cost = F.when(F.col(f"n{j}").isNotNull(), F.log10(F.col(f"n{j}") / (t + d))).otherwise(escape + cost)
+        escape = F.when(d > 0, F.log10(d / (2 * t))).otherwise(0.0)
+        cost = F.when(F.col(f"n{j}").isNotNull(), F.log10((2 * F.col(f"n{j}") - 1) / (2 * t))).otherwise(escape + cost)
     return stored(wide.select("g", cost.alias("cost")))
 
 
-def word_costs(words: DataFrame, costs: DataFrame, sent: int = SENT_GRAMS) -> DataFrame:
-    """(word, c_all, c_train, cost): cost is log10 of the probability of the word and the space after it."""
-    if costs.count() <= sent:
-        table = costs.toArrow()
-        order = np.argsort(keys := table.column("g").to_numpy())
-        shared = words.sparkSession.sparkContext.broadcast((keys[order], table.column("cost").to_numpy()[order]))
-
-        def run(batches):
-            known, cost = shared.value
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                got, sizes = grams(batch.column(0).to_pylist())
-                each = cost[np.searchsorted(known, got)]
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.add.reduceat(each, np.cumsum(sizes) - sizes))], names=["word", "c_all", "c_train", "cost"])
-
-        return stored(words.select("word", "c_all", "c_train").mapInArrow(run, "word binary, c_all long, c_train long, cost double"))
-
-    def spread(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            got, sizes = grams(names := batch.column(0).to_pylist())
-            yield pa.RecordBatch.from_arrays([pa.array(got), pa.array([w for w, n in zip(names, sizes.tolist(), strict=True) for _ in range(n)], pa.binary())], names=["g", "word"])
-
-    summed = words.select("word").mapInArrow(spread, "g long, word binary").join(costs, "g").groupBy("word").agg(F.sum("cost").alias("cost"))
-    return stored(words.join(summed, "word").select("word", "c_all", "c_train", "cost"))
-
-
 SENT = T.StructType(
     [
         T.StructField("word", T.BinaryType()),
@@ -167,27 +170,61 @@ SENT = T.StructType(
 )
 
 
-def inverted(docs: DataFrame, hot: dict[bytes, tuple[float, int, float]], end: tuple[float, int, float]) -> DataFrame:
-    """docs (key, doc_id, held_out, text) to rows of SENT: what frequent words make of each document, and the others' lists of documents."""
-    shared = docs.sparkSession.sparkContext.broadcast(hot)
+OWN = pa.struct([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())])
+
+
+def term_of(gram) -> bytes:
+    """A gram's name among words: it begins with a space, as no word does."""
+    return b" " + int(gram).to_bytes(8, "big")
+
+
+def inverted(docs: DataFrame, hot: dict[bytes, tuple[float, int]], costs: tuple[np.ndarray, np.ndarray], end: tuple[float, int]) -> DataFrame:
+    """docs (key, doc_id, held_out, text) to rows of SENT: what frequent words and grams make of each document, and lists of documents of the others."""
+    context = docs.sparkSession.sparkContext
+    sent_words, sent_grams = context.broadcast(hot), context.broadcast(costs)
 
     def run(batches):
-        get = shared.value.get
+        get, find, cost = sent_words.value.get, pd.Index(sent_grams.value[0]).get_indexer, sent_grams.value[1]
         lists: dict[bytes, tuple[list, list]] = {}
         keys: list[int] = []
         own: list[dict] = []
+        waiting: list[bytes] = []  # streams of the last documents of own, not yet scored
+
+        def listed(term, key, n):
+            if term in lists:
+                lists[term][0].append(key)
+                lists[term][1].append(n)
+            else:
+                lists[term] = ([key], [n])
+
+        def scored():
+            if not waiting:
+                return
+            got = grams(waiting)
+            at = find(got)
+            new = at < 0
+            starts = np.cumsum([0, *map(len, waiting[:-1])])
+            first = len(own) - len(waiting)
+            for i, x in enumerate(np.add.reduceat(np.where(new, 0.0, cost[at]), starts).tolist(), first):
+                own[i]["score"] = x
+            if new.any():
+                owner = np.searchsorted(starts, np.flatnonzero(new), side="right") - 1 + first
+                pairs, n = np.unique(np.stack([owner, got[new]], axis=1), axis=0, return_counts=True)
+                for (i, g), m in zip(pairs.tolist(), n.tolist(), strict=True):
+                    listed(term_of(g), keys[i], m)
+            waiting.clear()
 
         def flush():
+            scored()
             if not keys:
                 return
-            # A word holds no space: this one meets no cost, and its hash spreads such rows.
-            mark = b" %d" % keys[0]
+            mark = b"  %d" % keys[0]  # no word and no gram's name; its hash spreads these rows
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([*lists, mark], pa.binary()),
                     pa.array([*(x[0] for x in lists.values()), keys], pa.list_(pa.int64())),
                     pa.array([*(x[1] for x in lists.values()), [0] * len(keys)], pa.list_(pa.int64())),
-                    pa.array([*[None] * len(lists), own], pa.list_(pa.struct([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())]))),
+                    pa.array([*[None] * len(lists), own], pa.list_(OWN)),
                 ],
                 names=SENT.names,
             )
@@ -195,22 +232,24 @@ def inverted(docs: DataFrame, hot: dict[bytes, tuple[float, int, float]], end: t
             keys.clear()
             own.clear()
 
+        size = 0
         for batch in batches:
             for key, doc_id, held, text in zip(*(c.to_pylist() for c in batch.columns[:3]), batch.column(3), strict=True):
                 words = words_of(text.as_py())
-                base, known, score = end
+                base, known = end
                 for w, n in Counter(words).items():
                     if found := get(w):
                         base += n * found[0]
                         known += n * found[1]
-                        score += n * found[2]
-                    elif w in lists:
-                        lists[w][0].append(key)
-                        lists[w][1].append(n)
                     else:
-                        lists[w] = ([key], [n])
+                        listed(w, key, n)
                 keys.append(key)
-                own.append({"doc_id": doc_id, "held_out": held, "n_tokens": len(words) + 1, "n_known": known, "base": base, "score": score})
+                own.append({"doc_id": doc_id, "held_out": held, "n_tokens": len(words) + 1, "n_known": known, "base": base, "score": 0.0})
+                waiting.append(stream(words))
+                size += len(waiting[-1])
+                if size > PART_BYTES:
+                    scored()
+                    size = 0
                 if len(lists) > HELD_WORDS:
                     yield from flush()
         yield from flush()
@@ -218,7 +257,7 @@ def inverted(docs: DataFrame, hot: dict[bytes, tuple[float, int, float]], end: t
     return docs.select("key", "doc_id", "held_out", "text").mapInArrow(run, SENT)
 
 
-def score(docs: DataFrame, train: Column) -> DataFrame:
+def score(docs: DataFrame, train: Column, sent: int = SENT_GRAMS, hot_words: int = HOT_WORDS) -> DataFrame:
     """Per input row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     train tells the rows learned from; held_out is its opposite. A null text is the empty one, whose only
@@ -231,33 +270,49 @@ def score(docs: DataFrame, train: Column) -> DataFrame:
     ends = docs.where("train").count()
     got = words.agg(F.coalesce(F.sum("c_all"), F.lit(0)), F.coalesce(F.sum("c_train"), F.lit(0)), F.count(F.when(F.col("c_train") > 0, 1))).first()
     every, tokens, different = got[0], got[1] + ends, got[2] + (ends > 0)
-    costs = gram_costs(count_grams(words, ends))
-    end_cost = costs.where(F.col("g") == END_GRAM).first()["cost"]
-    words = word_costs(words, costs)
     below = tokens + 0.1 * (different + 1)
     base_of = F.log10((F.coalesce("c_train", F.lit(0)) + F.lit(0.1)) / F.lit(below))
-    # At most HOT_WORDS words can have so large a share.
-    hot = words.where(F.col("c_all") * HOT_WORDS >= every).select("word", base_of.alias("base"), "c_train", "cost").toArrow()
-    hot = {w: (b, int(c > 0), s) for w, b, c, s in zip(*(hot.column(i).to_pylist() for i in range(4)), strict=True)}
-    end = (float(np.log10((ends + 0.1) / below)), int(ends > 0), end_cost)
-    rows = inverted(docs, hot, end).join(words.select("word", "c_train", "cost"), "word", "left")
+    # At most hot_words words can have so large a share, and at most sent grams.
+    hot = words.where(F.col("c_all") * hot_words >= every).select("word", base_of.alias("base"), "c_train").toArrow()
+    hot = {w: (b, int(c > 0)) for w, b, c in zip(*(hot.column(i).to_pylist() for i in range(3)), strict=True)}
+    end = (float(np.log10((ends + 0.1) / below)), int(ends > 0))
+    counted = count_grams(docs)
+    costs = gram_costs(counted)
+    terms = words.select(F.col("word").alias("term"), "c_train", F.lit(None).cast("double").alias("cost"))
+    known = costs
+    if costs.count() > sent:
+        total = counted.agg(F.sum("n")).first()[0]
+        frequent = counted.where(F.col("n") * sent >= total).where("n > 0").select("g")
+        known = costs.join(frequent, "g", "left_semi")
+        name = F.concat(F.lit(b" "), F.unhex(F.lpad(F.hex("g"), 16, "0")))
+        terms = terms.union(costs.join(frequent, "g", "left_anti").select(name, F.lit(None), "cost"))
+    table = known.toArrow()
+    rows = inverted(docs, hot, (table.column("g").to_numpy(), table.column("cost").to_numpy()), end)
+    rows = rows.join(terms, rows["word"] == terms["term"], "left")
     rows = rows.select("c_train", "cost", F.explode(F.arrays_zip("keys", "tf", F.coalesce("own", F.array()).alias("own"))).alias("x"))
-    tf = F.col("x.tf")
+    tf, own = F.col("x.tf"), F.col("x.own")
+    word = own.isNull() & F.col("cost").isNull()
     parts = rows.select(
         F.col("x.keys").alias("key"),
-        F.col("x.own.doc_id").alias("doc_id"),
-        F.col("x.own.held_out").alias("held_out"),
-        F.when(F.col("x.own").isNotNull(), 1).otherwise(0).alias("m"),
-        F.coalesce(F.col("x.own.n_tokens"), F.lit(0)).alias("n_tokens"),
-        F.coalesce(F.col("x.own.n_known"), F.when(F.col("c_train") > 0, tf).otherwise(0)).alias("n_known"),
-        F.coalesce(F.col("x.own.base"), tf * base_of).alias("base"),
-        F.coalesce(F.col("x.own.score"), tf * F.col("cost")).alias("score"),
+        own["doc_id"].alias("doc_id"),
+        own["held_out"].alias("held_out"),
+        F.when(own.isNotNull(), 1).otherwise(0).alias("m"),
+        F.coalesce(own["n_tokens"], F.lit(0)).alias("n_tokens"),
+        F.coalesce(own["n_known"], F.when(F.col("c_train") > 0, tf).otherwise(0)).alias("n_known"),
+        F.coalesce(own["base"], F.when(word, tf * base_of).otherwise(0.0)).alias("base"),
+        F.coalesce(own["score"], tf * F.col("cost"), F.lit(0.0)).alias("score"),
     )
     summed = parts.groupBy("key").agg(F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.sum("m").alias("m"), *(F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base", "score")))
     m = F.col("m")
-    per = lambda c: (F.col(c) / m).alias(c)
     return summed.select(
-        "doc_id", "held_out", (F.col("n_tokens") / m).cast("bigint").alias("n_tokens"), (F.col("n_known") / m).cast("bigint").alias("n_known"), F.lit(tokens).cast("bigint").alias("train_tokens"), (F.col("base") / m).alias("base_score"), per("score"), F.explode(F.sequence(F.lit(1), m)).alias("_copy")
+        "doc_id",
+        "held_out",
+        (F.col("n_tokens") / m).cast("bigint").alias("n_tokens"),
+        (F.col("n_known") / m).cast("bigint").alias("n_known"),
+        F.lit(tokens).cast("bigint").alias("train_tokens"),
+        (F.col("base") / m).alias("base_score"),
+        (F.col("score") / m).alias("score"),
+        F.explode(F.sequence(F.lit(1), m)).alias("_copy"),
     ).drop("_copy")
 
 
@@ -275,9 +330,9 @@ def code_lengths(text: bytes, counts: dict[bytes, Counter]) -> Iterator[float]:
             seen = counts.get(text[i - j : i])
             if seen is None or not (left := {s: n for s, n in seen.items() if s not in excluded}):
                 continue
-            size = sum(left.values()) + len(left)
+            size = 2 * sum(left.values())
             if text[i] in left:
-                total += np.log10(left[text[i]] / size)
+                total += np.log10((2 * left[text[i]] - 1) / size)
                 break
             total += np.log10(len(left) / size)
             excluded |= set(left)
