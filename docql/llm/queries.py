@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docql.llm import bpe, langid, shards, simhash
+from docql.llm import bpe, decontaminate, langid, ppm, shards, simhash
 from docql.llm.common import table
 
 
@@ -17,6 +17,10 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items")
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
@@ -33,6 +37,36 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op9_ppm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.score_documents(table(spark, sf_dir, "documents"))
+
+
+OP2_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM documents
+), i AS (
+  SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+), iw AS (
+  SELECT item, w, least(8, len(w)) AS size, unnest(range(1, len(w) - least(8, len(w)) + 2)) AS s FROM i WHERE len(w) > 0
+), windows AS (
+  SELECT DISTINCT item, size, array_to_string(w[s : s + size - 1], ' ') AS g FROM iw
+), sizes AS (
+  SELECT DISTINCT size FROM windows
+), dw AS (
+  SELECT doc_id, size, p, array_to_string(w[p : p + size - 1], ' ') AS g
+  FROM (SELECT doc_id, w, size, unnest(range(1, len(w) - size + 2)) AS p FROM d, sizes)
+), hits AS (
+  SELECT doc_id, item, p, size FROM dw JOIN windows USING (size, g)
+), covered AS (
+  SELECT doc_id, count(*) AS n_hit FROM (SELECT DISTINCT doc_id, p + unnest(range(0, size)) AS q FROM hits) GROUP BY doc_id
+), named AS (
+  SELECT doc_id, list_sort(list(DISTINCT item)) AS items FROM hits GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(len(items), 0) AS BIGINT) AS n_items,
+       sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256, coalesce(len(items), 0) >= 2 AS contaminated
+FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)
+"""
+
 OP5_SQL = """
 WITH drawn AS (
   SELECT d.rid, s.shard, -ln((('0x' || substr(md5(d.k || ':' || s.shard), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0) AS cost
@@ -48,9 +82,11 @@ FROM docs JOIN won USING (rid)
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_decontamination": op2_decontamination,
     "op3_language_id": op3_language_id,
     "op5_rendezvous_shards": op5_rendezvous_shards,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
     "op8_bpe": op8_bpe,
+    "op9_ppm_score": op9_ppm_score,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op2_decontamination": OP2_SQL}
