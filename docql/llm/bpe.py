@@ -13,6 +13,7 @@ import json
 import unicodedata
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -157,16 +158,22 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
-    """The input's columns with token_ids array<int> and decoded text; clashing names are replaced."""
+    """The input's columns with n_tokens, token_ids array<int> and decoded text; columns of these names are replaced.
+
+    Nulls and repeats as in digests().
+    """
     ship(docs.sparkSession)
-    docs = docs.drop("token_ids", "decoded")
-    schema = T.StructType([*docs.schema.fields, T.StructField("token_ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
+    added = [T.StructField("n_tokens", T.LongType()), T.StructField("token_ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())]
+    docs = docs.drop(*(f.name for f in added))
+    schema = T.StructType([*docs.schema.fields, *added])
+    at = docs.columns.index("text")
 
     def run(batches):
         bpe = codec(path)
         for batch in batches:
-            done = [bpe.encode(x.as_py() or "") for x in batch.column(batch.schema.get_field_index("text"))]
-            shown = [bpe.decode(x) for x in done]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(done, pa.list_(pa.int32())), pa.array(shown, pa.string())], names=schema.names)
+            done = [bpe.encode_bytes(x.as_py() or "") for x in batch.column(at)]
+            sizes = np.array([len(raw) // 4 for raw, _ in done], np.int64)
+            ids = pa.LargeListArray.from_arrays(np.concatenate([[0], np.cumsum(sizes)]), np.frombuffer(b"".join([raw for raw, _ in done]), "<i4"))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sizes), ids.cast(pa.list_(pa.int32())), pa.array([shown for _, shown in done], pa.string())], names=schema.names)
 
     return docs.mapInArrow(run, schema)

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from docql.llm import bpe, decontaminate, langid, ppm, shards, simhash
+from docql.llm import bpe, decontaminate, html, langid, linededup, maxscore, pii, ppm, shards, simhash
 from docql.llm.common import table
 
 
@@ -17,6 +18,15 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+#: Of the demonstration: a deployment passes its own secret key.
+PSEUDONYM_KEY = "docql demonstration key"
+
+
+def op1_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.pseudonyms(table(spark, sf_dir, "documents"), PSEUDONYM_KEY)
+    return found.select("doc_id", F.size("pii").cast("bigint").alias("n_values"), F.concat_ws(",", F.array_sort(F.array_distinct(F.col("pii.kind")))).alias("kinds"), "text")
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items")
 
@@ -25,10 +35,18 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op4_maxscore_top5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxscore.top_vectors(table(spark, sf_dir, "embeddings"), k=5)
+
+
 def op5_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.shard_documents(table(spark, sf_dir, "documents"), shards=40)
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "text")
+
+
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -67,26 +85,55 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS B
 FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)
 """
 
+def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
+OP4_SQL = """
+WITH v AS (
+  SELECT CAST(vec_id AS BIGINT) AS id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS w
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.id AS query_id, c.id AS vec_id, CAST(list_dot_product(q.w, c.w) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.id % 50 = 0 AND q.id <> c.id
+), ranked AS (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM scored
+)
+SELECT * FROM ranked WHERE rank <= 5
+"""
+
 OP5_SQL = """
-WITH drawn AS (
-  SELECT d.rid, s.shard, -ln((('0x' || substr(md5(d.k || ':' || s.shard), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0) AS cost
-  FROM (SELECT row_number() OVER () AS rid, coalesce(CAST(doc_id AS VARCHAR), '') AS k FROM documents) d, (SELECT unnest(range(0, 41)) AS shard) s
+WITH crc AS (
+  SELECT list_transform(range(0, 256), lambda n: list_reduce(list_prepend(n, range(0, 8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS t
+), docs AS (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce(CAST(doc_id AS VARCHAR), '') AS k, coalesce(text, '') AS text, hex(encode(coalesce(text, ''))) AS h FROM documents
+), drawn AS (
+  SELECT rid, s.shard, -ln((CAST('0x' || substr(md5(d.k || ':' || s.shard), 1, 13) AS BIGINT)::DOUBLE + 0.5) / 4503599627370496.0) AS cost
+  FROM docs d, (SELECT unnest(range(0, 41)) AS shard) s
 ), won AS (
   SELECT rid, arg_min(shard, (cost, shard)) FILTER (WHERE shard < 40) AS shard, arg_min(shard, (cost, shard)) AS grown_shard FROM drawn GROUP BY rid
-), docs AS (
-  SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS o FROM documents
+), summed AS (
+  SELECT rid, xor(4294967295, list_reduce(
+    list_prepend(4294967295, list_transform(range(1, len(h), 2), lambda i: CAST('0x' || substr(h, i, 2) AS BIGINT))),
+    lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1]))) AS crc
+  FROM docs, crc
 )
-SELECT doc_id, CAST(strlen(text) + 16 AS BIGINT) AS size, NULL AS text_crc32, 'key' AS law, CAST(shard AS INTEGER) AS shard,
-       row_number() OVER (PARTITION BY shard ORDER BY o, doc_id) - 1 AS slot, CAST(grown_shard AS INTEGER) AS grown_shard
-FROM docs JOIN won USING (rid)
+SELECT doc_id, CAST(strlen(text) + 16 AS BIGINT) AS size, CAST(crc AS BIGINT) AS text_crc32, 'key' AS law, CAST(shard AS INTEGER) AS shard,
+       row_number() OVER (PARTITION BY shard ORDER BY md5(k), doc_id, crc) - 1 AS slot, CAST(grown_shard AS INTEGER) AS grown_shard
+FROM docs JOIN won USING (rid) JOIN summed USING (rid)
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pii_pseudonyms": op1_pii_pseudonyms,
     "op2_decontamination": op2_decontamination,
     "op3_language_id": op3_language_id,
+    "op4_maxscore_top5": op4_maxscore_top5,
     "op5_rendezvous_shards": op5_rendezvous_shards,
+    "op6_line_dedup": op6_line_dedup,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
     "op8_bpe": op8_bpe,
     "op9_ppm_score": op9_ppm_score,
+    "op10_main_text": op10_main_text,
 }
-ORACLES: dict[str, str] = {"op2_decontamination": OP2_SQL}
+ORACLES: dict[str, str] = {"op2_decontamination": OP2_SQL, "op4_maxscore_top5": OP4_SQL, "op5_rendezvous_shards": OP5_SQL}
