@@ -19,24 +19,24 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain, islice, repeat
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from docql.llm.common import id_crc, ship, stored
 
 ORDER = 5
-HOT_WORDS = 50_000
+HOT_WORDS = 500_000
 #: The most gram costs that are sent to the workers (16 bytes each).
 SENT_GRAMS = 4_000_000
 #: Different words a task holds before it sends them on.
 HELD_WORDS = 250_000
 #: Different grams a task holds, and bytes of text it looks at in one go.
-HELD_GRAMS, PART_BYTES = 3_000_000, 3_000_000
+HELD_GRAMS, PART_BYTES = 2_000_000, 2_000_000
 #: Bytes without white space, the space that ends a word, the end mark.
 SYMBOLS = 256 - 6 + 2
 END = 0x0A
@@ -69,20 +69,21 @@ def count_words(docs: DataFrame) -> DataFrame:
     """docs (text, train) to (word, c_all, c_train), a row for each different word."""
 
     def run(batches):
-        total, train = Counter(), Counter()
+        total, other = Counter(), Counter()  # other: of texts not learned from, the fewer
 
         def flush():
-            out = pa.RecordBatch.from_arrays([pa.array(total.keys(), pa.binary()), pa.array(total.values(), pa.int64()), pa.array([train[w] for w in total], pa.int64())], names=["word", "c_all", "c_train"])
+            n, less = np.fromiter(total.values(), np.int64, len(total)), np.fromiter(map(other.get, total, repeat(0)), np.int64, len(total))
+            out = pa.RecordBatch.from_arrays([pa.array(total, pa.binary(), size=len(total)), pa.array(n), pa.array(n - less)], names=["word", "c_all", "c_train"])
             total.clear()
-            train.clear()
+            other.clear()
             return out
 
         for batch in batches:
             for text, used in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
                 words = words_of(text.as_py())
                 total.update(words)
-                if used:
-                    train.update(words)
+                if not used:
+                    other.update(words)
                 if len(total) > HELD_WORDS:
                     yield flush()
         if total:
@@ -160,103 +161,106 @@ def gram_costs(counted: DataFrame) -> DataFrame:
     return stored(wide.select("g", cost.alias("cost")))
 
 
-SENT = T.StructType(
-    [
-        T.StructField("word", T.BinaryType()),
-        T.StructField("keys", T.ArrayType(T.LongType())),
-        T.StructField("tf", T.ArrayType(T.LongType())),
-        T.StructField("own", T.ArrayType(T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("held_out", T.BooleanType()), T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()), T.StructField("base", T.DoubleType()), T.StructField("score", T.DoubleType())]))),
-    ]
-)
+OWN = pa.struct([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())])
+SENT = "word binary, keys array<long>, own array<struct<doc_id:long,held_out:boolean,n_tokens:long,n_known:long,base:double,score:double>>"
 
 
-OWN = pa.struct([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())])
+class Numbers(dict):
+    """Numbers words as they come."""
 
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self)
+        return n
 
-def term_of(gram) -> bytes:
-    """A gram's name among words: it begins with a space, as no word does."""
-    return b" " + int(gram).to_bytes(8, "big")
+
+def lists(terms: list[bytes], of: np.ndarray, keys: np.ndarray) -> pa.RecordBatch:
+    """Rows of SENT for terms: the keys that go with each one's number in of."""
+    ends = np.cumsum(np.bincount(of, minlength=len(terms)))
+    found = pa.ListArray.from_arrays(np.concatenate([[0], ends]).astype(np.int32), keys[np.argsort(of, kind="stable")])
+    return pa.RecordBatch.from_arrays([pa.array(terms, pa.binary()), found, pa.nulls(len(terms), pa.list_(OWN))], names=["word", "keys", "own"])
 
 
-def inverted(docs: DataFrame, hot: dict[bytes, tuple[float, int]], costs: tuple[np.ndarray, np.ndarray], end: tuple[float, int]) -> DataFrame:
-    """docs (key, doc_id, held_out, text) to rows of SENT: what frequent words and grams make of each document, and lists of documents of the others."""
+def inverted(docs: DataFrame, hot: tuple[list[bytes], np.ndarray, np.ndarray], costs: tuple[np.ndarray, np.ndarray], end: tuple[float, int]) -> DataFrame:
+    """docs (key, doc_id, held_out, text) to rows of SENT: what frequent words and grams make of each document, and of each other term the documents, as often as it occurs."""
     context = docs.sparkSession.sparkContext
     sent_words, sent_grams = context.broadcast(hot), context.broadcast(costs)
 
     def run(batches):
-        get, find, cost = sent_words.value.get, pd.Index(sent_grams.value[0]).get_indexer, sent_grams.value[1]
-        lists: dict[bytes, tuple[list, list]] = {}
-        keys: list[int] = []
-        own: list[dict] = []
-        waiting: list[bytes] = []  # streams of the last documents of own, not yet scored
-
-        def listed(term, key, n):
-            if term in lists:
-                lists[term][0].append(key)
-                lists[term][1].append(n)
-            else:
-                lists[term] = ([key], [n])
-
-        def scored():
-            if not waiting:
+        names, base_of, known_of = sent_words.value
+        base_of, known_of = np.append(base_of, 0.0), np.append(known_of, 0)
+        n_hot = len(names)
+        first = {w: i for i, w in enumerate(names)}
+        numbers = Numbers(first)
+        find, cost = pd.Index(sent_grams.value[0]).get_indexer, sent_grams.value[1]
+        part: list[tuple[int, int, bool, list[bytes]]] = []
+        rare: list[tuple[np.ndarray, np.ndarray]] = []  # words' numbers and keys
+        new: list[tuple[np.ndarray, np.ndarray]] = []  # grams and keys
+        own: list[pa.StructArray] = []
+        own_keys: list[np.ndarray] = []
+
+        def looked_at():
+            if not part:
                 return
-            got = grams(waiting)
+            ids, held = pa.array([x[1] for x in part], pa.int64()), pa.array([x[2] for x in part], pa.bool_())
+            keys = np.array([x[0] for x in part], np.int64)
+            sizes = np.array([len(x[3]) for x in part], np.int64)
+            owner = np.repeat(np.arange(len(part)), sizes)
+            number = np.fromiter(map(numbers.__getitem__, chain.from_iterable(x[3] for x in part)), np.int64, len(owner))
+            frequent = np.minimum(number, n_hot)
+            base = np.bincount(owner, base_of[frequent], len(part)) + end[0]
+            known = np.bincount(owner, known_of[frequent], len(part)).astype(np.int64) + end[1]
+            left = number >= n_hot
+            rare.append((number[left] - n_hot, keys[owner[left]]))
+            streams = [stream(x[3]) for x in part]
+            got = grams(streams)
             at = find(got)
-            new = at < 0
-            starts = np.cumsum([0, *map(len, waiting[:-1])])
-            first = len(own) - len(waiting)
-            for i, x in enumerate(np.add.reduceat(np.where(new, 0.0, cost[at]), starts).tolist(), first):
-                own[i]["score"] = x
-            if new.any():
-                owner = np.searchsorted(starts, np.flatnonzero(new), side="right") - 1 + first
-                pairs, n = np.unique(np.stack([owner, got[new]], axis=1), axis=0, return_counts=True)
-                for (i, g), m in zip(pairs.tolist(), n.tolist(), strict=True):
-                    listed(term_of(g), keys[i], m)
-            waiting.clear()
+            starts = np.cumsum([0, *map(len, streams[:-1])])
+            if (unknown := at < 0).any():
+                new.append((got[unknown], keys[np.searchsorted(starts, np.flatnonzero(unknown), side="right") - 1]))
+                each = np.where(unknown, 0.0, cost[at])
+            else:
+                each = cost[at]
+            own.append(pa.StructArray.from_arrays([ids, held, pa.array(sizes + 1), pa.array(known), pa.array(base), pa.array(np.add.reduceat(each, starts))], fields=list(OWN)))
+            own_keys.append(keys)
+            part.clear()
 
         def flush():
-            scored()
-            if not keys:
+            looked_at()
+            if not own:
                 return
-            mark = b"  %d" % keys[0]  # no word and no gram's name; its hash spreads these rows
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([*lists, mark], pa.binary()),
-                    pa.array([*(x[0] for x in lists.values()), keys], pa.list_(pa.int64())),
-                    pa.array([*(x[1] for x in lists.values()), [0] * len(keys)], pa.list_(pa.int64())),
-                    pa.array([*[None] * len(lists), own], pa.list_(OWN)),
-                ],
-                names=SENT.names,
-            )
-            lists.clear()
-            keys.clear()
-            own.clear()
+            yield lists([*islice(numbers, n_hot, None)], *map(np.concatenate, zip(*rare)))
+            if new:
+                names, of = np.unique(np.concatenate([x[0] for x in new]), return_inverse=True)
+                yield lists([term_of(g) for g in names], of, np.concatenate([x[1] for x in new]))
+            keys = np.concatenate(own_keys)
+            one = lambda values: pa.ListArray.from_arrays(np.array([0, len(keys)], np.int32), values)
+            # No word and no gram is called so; its hash spreads these rows.
+            yield pa.RecordBatch.from_arrays([pa.array([b"  %d" % keys[0]], pa.binary()), one(pa.array(keys)), one(pa.concat_arrays(own))], names=["word", "keys", "own"])
+            for x in (rare, new, own, own_keys, numbers):
+                x.clear()
+            numbers.update(first)
 
         size = 0
         for batch in batches:
             for key, doc_id, held, text in zip(*(c.to_pylist() for c in batch.columns[:3]), batch.column(3), strict=True):
                 words = words_of(text.as_py())
-                base, known = end
-                for w, n in Counter(words).items():
-                    if found := get(w):
-                        base += n * found[0]
-                        known += n * found[1]
-                    else:
-                        listed(w, key, n)
-                keys.append(key)
-                own.append({"doc_id": doc_id, "held_out": held, "n_tokens": len(words) + 1, "n_known": known, "base": base, "score": 0.0})
-                waiting.append(stream(words))
-                size += len(waiting[-1])
+                part.append((key, doc_id, held, words))
+                size += sum(map(len, words)) + len(words)
                 if size > PART_BYTES:
-                    scored()
+                    looked_at()
                     size = 0
-                if len(lists) > HELD_WORDS:
-                    yield from flush()
+                    if len(numbers) > n_hot + HELD_WORDS:
+                        yield from flush()
         yield from flush()
 
     return docs.select("key", "doc_id", "held_out", "text").mapInArrow(run, SENT)
 
 
+def term_of(gram) -> bytes:
+    """A gram's name among words: it begins with a space, as no word does."""
+    return b" " + int(gram).to_bytes(8, "big")
+
+
 def score(docs: DataFrame, train: Column, sent: int = SENT_GRAMS, hot_words: int = HOT_WORDS) -> DataFrame:
     """Per input row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
@@ -274,7 +278,7 @@ def score(docs: DataFrame, train: Column, sent: int = SENT_GRAMS, hot_words: int
     base_of = F.log10((F.coalesce("c_train", F.lit(0)) + F.lit(0.1)) / F.lit(below))
     # At most hot_words words can have so large a share, and at most sent grams.
     hot = words.where(F.col("c_all") * hot_words >= every).select("word", base_of.alias("base"), "c_train").toArrow()
-    hot = {w: (b, int(c > 0)) for w, b, c in zip(*(hot.column(i).to_pylist() for i in range(3)), strict=True)}
+    hot = hot.column("word").to_pylist(), hot.column("base").to_numpy(), (hot.column("c_train").to_numpy() > 0).astype(np.int64)
     end = (float(np.log10((ends + 0.1) / below)), int(ends > 0))
     counted = count_grams(docs)
     costs = gram_costs(counted)
@@ -289,18 +293,18 @@ def score(docs: DataFrame, train: Column, sent: int = SENT_GRAMS, hot_words: int
     table = known.toArrow()
     rows = inverted(docs, hot, (table.column("g").to_numpy(), table.column("cost").to_numpy()), end)
     rows = rows.join(terms, rows["word"] == terms["term"], "left")
-    rows = rows.select("c_train", "cost", F.explode(F.arrays_zip("keys", "tf", F.coalesce("own", F.array()).alias("own"))).alias("x"))
-    tf, own = F.col("x.tf"), F.col("x.own")
+    rows = rows.select("term", "c_train", "cost", "own", F.posexplode("keys").alias("i", "key")).withColumn("own", F.get("own", F.col("i")))
+    own = F.col("own")
     word = own.isNull() & F.col("cost").isNull()
     parts = rows.select(
-        F.col("x.keys").alias("key"),
+        "key",
         own["doc_id"].alias("doc_id"),
         own["held_out"].alias("held_out"),
         F.when(own.isNotNull(), 1).otherwise(0).alias("m"),
         F.coalesce(own["n_tokens"], F.lit(0)).alias("n_tokens"),
-        F.coalesce(own["n_known"], F.when(F.col("c_train") > 0, tf).otherwise(0)).alias("n_known"),
-        F.coalesce(own["base"], F.when(word, tf * base_of).otherwise(0.0)).alias("base"),
-        F.coalesce(own["score"], tf * F.col("cost"), F.lit(0.0)).alias("score"),
+        F.coalesce(own["n_known"], F.when(F.col("c_train") > 0, 1).otherwise(0)).alias("n_known"),
+        F.coalesce(own["base"], F.when(word, base_of).otherwise(0.0)).alias("base"),
+        F.coalesce(own["score"], F.col("cost"), F.lit(0.0)).alias("score"),
     )
     summed = parts.groupBy("key").agg(F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.sum("m").alias("m"), *(F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base", "score")))
     m = F.col("m")
