@@ -3,9 +3,11 @@
 The index holds a posting (term, doc_id, pos) for every corpus token whose term some test phrase
 has, and one for each document's end. It is written once, straight from the scan, with no shuffle. The
 postings give the terms' frequencies. Of every window of a test phrase the rarest term is looked up
-first: an occurrence at pos of the term at offset o fixes where the phrase would begin (pos - o).
-At these offset-adjusted places the lists of all other terms are intersected, by a join on document,
-place and term; unbroken runs that are as long as a window are exact matches.
+first: an occurrence at pos of the term at offset o fixes where the phrase would begin (pos - o). A
+posting also has 16 bits of hash of the two words on either side, one of which pairs a window of four
+or more words around it must hold; so most chance places go before any join. At the other
+offset-adjusted places the lists of all terms are intersected, by a join on document, place and
+term; unbroken runs that are as long as a window are exact matches.
 
 Only postings of documents with such a place are shuffled. They are recognised by a set of hash
 buckets of their ids, at most BUCKETS of them however many documents there are.
@@ -41,21 +43,27 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= SMALL_ROWS else df
 
 
+def marks(words: Column, at: Column) -> list[Column]:
+    """16 bits of hash of the two words after, and of the two before, a place in words."""
+    pair = lambda i, j: F.pmod(F.xxhash64(F.get(words, at + i), F.get(words, at + j)), F.lit(1 << 16)).cast("int")
+    return [pair(1, 2).alias("after"), pair(-2, -1).alias("before")]
+
+
 def phrase_words(items: DataFrame, window: int) -> DataFrame:
-    """(ik, item_id, size, ipos, term): a row for every word of every item; size is the window's length.
+    """(ik, item_id, size, n, ipos, term, after, before): a row for every word of every item of n words; size is the window's length.
 
     ik tells items apart that share an id but not a text. Items without id or words are left out.
     """
     named = items.where(F.col("item_id").isNotNull()).select("item_id", words(F.col("text")).alias("w")).where(F.size("w") > 0).distinct()
     named = stored(named.withColumn("ik", F.xxhash64(F.col("item_id").cast("string"), F.concat_ws(" ", "w"))))
-    return stored(named.select("ik", "item_id", F.least(F.lit(window), F.size("w")).alias("size"), F.size("w").alias("n"), F.posexplode("w").alias("ipos", "term")))
+    return stored(named.select("ik", "item_id", F.least(F.lit(window), F.size("w")).alias("size"), F.size("w").alias("n"), "w", F.posexplode("w").alias("ipos", "term")).select("ik", "item_id", "size", "n", "ipos", "term", *marks(F.col("w"), F.col("ipos"))))
 
 
 def postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """The stored index (doc_id, pos, term) of the given terms (column term), and END at each document's length."""
+    """The stored index (doc_id, pos, term, after, before) of the given terms (column term), and END at each document's length."""
     terms = terms.select("term").distinct().union(docs.sparkSession.createDataFrame([(END,)], "term string"))
-    listed = docs.select("doc_id", F.posexplode(F.concat(words(F.col("text")), F.array(F.lit(END)))).alias("pos", "term"))
-    return stored(listed.join(small(stored(terms)), "term", "left_semi").select("doc_id", "pos", "term"))
+    listed = docs.select("doc_id", F.concat(words(F.col("text")), F.array(F.lit(END))).alias("w")).select("doc_id", "w", F.posexplode("w").alias("pos", "term"))
+    return stored(listed.join(small(stored(terms)), "term", "left_semi").select("doc_id", "pos", "term", *marks(F.col("w"), F.col("pos"))))
 
 
 def seeds(phrases: DataFrame, index: DataFrame) -> DataFrame:
@@ -76,11 +84,12 @@ def in_buckets(index: DataFrame, places: DataFrame) -> DataFrame:
 
 def phrase_matches(index: DataFrame, phrases: DataFrame) -> DataFrame:
     """Exact matches (doc_id, ik, start, length): maximal runs of at least size words that equal consecutive words of the phrase."""
-    first = small(stored(seeds(phrases, index)))
-    places = index.join(first, "term").select("doc_id", "ik", (F.col("pos") - F.col("ipos")).alias("diag")).distinct()
-    places = stored(places)
+    first = seeds(phrases, index)
+    first = small(stored(first.join(phrases, ["ik", "ipos", "term"])))
+    likely = (F.col("size") < 4) | ((F.col("ipos") + 2 < F.col("n")) & (index["after"] == first["after"])) | ((F.col("ipos") >= 2) & (index["before"] == first["before"]))
+    places = stored(index.join(first, "term").where(likely).select("doc_id", "ik", (F.col("pos") - F.col("ipos")).alias("diag")).distinct())
     wanted = places.join(small(phrases.select("ik", "size", "ipos", "term")), "ik").withColumn("pos", F.col("diag") + F.col("ipos")).where("pos >= 0")
-    found = wanted.join(in_buckets(index, places), ["doc_id", "pos", "term"]).select("doc_id", "ik", "diag", "size", "ipos").distinct()
+    found = wanted.join(in_buckets(index.select("doc_id", "pos", "term"), places), ["doc_id", "pos", "term"]).select("doc_id", "ik", "diag", "size", "ipos").distinct()
     run = F.col("ipos") - F.row_number().over(Window.partitionBy("doc_id", "ik", "diag").orderBy("ipos"))
     runs = found.withColumn("run", run).groupBy("doc_id", "ik", "diag", "run").agg(F.min("ipos").alias("at"), F.count("*").alias("length"), F.first("size").alias("size"))
     return runs.where("length >= size").select("doc_id", "ik", (F.col("diag") + F.col("at")).alias("start"), "length")
