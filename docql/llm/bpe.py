@@ -19,9 +19,9 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from docql.llm.common import ship
+from docql.llm.common import held, ship
 
-CACHED_WORDS = 500_000
+CACHED_WORDS = 300_000
 DIGESTS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
 
 
@@ -124,14 +124,8 @@ class Codec:
         return " ".join(self.strings[i] for i in ids if i in self.strings)
 
 
-_CODECS: dict[str, Codec] = {}
-
-
 def codec(path: str) -> Codec:
-    """One for each worker process and file."""
-    if path not in _CODECS:
-        _CODECS[path] = Codec(path)
-    return _CODECS[path]
+    return held(("bpe", path), lambda: Codec(path))
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable, Hashable
 from pathlib import Path
+from typing import Any
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,7 +46,9 @@ def stored(df: DataFrame) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once for each application (what --py-files does)."""
+    """Send this package to the executors, once for each application (what --py-files does), and bound batches."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     context = spark.sparkContext
     if context.applicationId in _SHIPPED:
         return
@@ -64,14 +68,18 @@ def id_crc(doc_id="doc_id"):
     return F.crc32(F.col(doc_id).cast("string").cast("binary"))
 
 
-def slices(batch: pa.RecordBatch, column: str, limit: int = 4_000_000):
-    """Cut a batch into row ranges of about limit bytes of text: (first, end) pairs."""
-    sizes = [0 if x is None else len(x) for x in batch.column(column).to_pylist()]
-    start, total = 0, 0
-    for i, n in enumerate(sizes):
-        total += n
-        if total >= limit:
-            yield start, i + 1
-            start, total = i + 1, 0
-    if start < len(sizes):
-        yield start, len(sizes)
+#: Rows of a batch that goes to or from Python; texts can be long, so fewer than Spark's 10,000.
+BATCH_ROWS = 1_000
+_HELD: list[tuple[Hashable, Any]] = []
+
+
+def held(key: Hashable, make: Callable[[], Any]) -> Any:
+    """The worker process's one kept model: made if the last one asked for was another, which goes first.
+
+    Workers serve one stage after the other, and models of stages gone by would fill their memory.
+    """
+    if not _HELD or _HELD[0][0] != key:
+        _HELD.clear()
+        gc.collect()
+        _HELD.append((key, make()))
+    return _HELD[0][1]

@@ -20,10 +20,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docql.llm.common import id_crc, ship
+from docql.llm.common import held, id_crc, ship
 
 #: Bounds of the sample that is fitted: documents and characters of each language.
-SAMPLE_DOCS, SAMPLE_CHARS, LONGEST_SAMPLED = 200, 60_000, 50_000
+SAMPLE_DOCS, SAMPLE_CHARS, LONGEST_SAMPLED = 200, 40_000, 40_000
 #: No phrase crosses the end of a block of so many letters.
 BLOCK = 512
 CLASSES = 64
@@ -191,10 +191,7 @@ def fit(labelled: DataFrame) -> Model:
     return Model({k: " ".join(v)[: 2 * SAMPLE_CHARS] for k, v in samples.items() if v})
 
 
-_READY: dict[int, Model] = {}
-
-
-def groups(texts: pa.Array, limit: int = 3_000_000) -> Iterator[list[str | None]]:
+def groups(texts: pa.Array, limit: int = 2_000_000) -> Iterator[list[str | None]]:
     part: list[str | None] = []
     total = 0
     for x in texts:
@@ -220,12 +217,9 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     schema = T.StructType([*docs.schema.fields, *COLUMNS.fields])
 
     def run(batches):
-        key = hash(tuple(sorted(shared.value.items())))
-        if key not in _READY:
-            _READY.clear()
-            _READY[key] = Model(shared.value)
+        ready = held(("langid", tuple(sorted(shared.value.items()))), lambda: Model(shared.value))
         for batch in batches:
-            got = [x for part in groups(batch.column(batch.schema.get_field_index("text"))) for x in _READY[key].predict(part)]
+            got = [x for part in groups(batch.column(batch.schema.get_field_index("text"))) for x in ready.predict(part)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x[0] for x in got], pa.string()), pa.array([x[1] for x in got], pa.float64())], names=schema.names)
 
     return docs.mapInArrow(run, schema)
