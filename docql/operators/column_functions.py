@@ -603,3 +603,97 @@ def shifted(sign: int):
 on_value("dateadd", 2)(shifted(1))
 on_value("datesub", 2)(shifted(-1))
 
+
+# JSONata and SQL/JSON path, where types are known
+
+
+def boolean(v: One) -> Column:
+    t = v.type
+    if isinstance(t, T.BooleanType):
+        return F.coalesce(v.col, F.lit(False))
+    if is_number(t):
+        return F.coalesce(v.col != 0, F.lit(False))
+    if isinstance(t, T.StringType):
+        return F.coalesce(v.col != "", F.lit(False))
+    if isinstance(t, T.NullType):
+        return F.lit(False)
+    raise Unsupported("the truth of this type")
+
+
+def stepped(v: One, name: str) -> One:
+    from docql.operators.columns import pick_field
+
+    if not is_array(v.type):
+        return pick_field(v, name)
+    t = v.type.elementType
+    inner = stepped(One(F.lit(None).cast(t), t), name).type
+    out = F.transform(v.col, lambda x: stepped(One(x, t), name).col)
+    out = F.flatten(out) if is_array(inner) else out
+    return One(F.filter(out, lambda x: x.isNotNull()), inner if is_array(inner) else T.ArrayType(inner))
+
+
+@with_nodes("jsonata:field", 1)
+def jsonata_field(c, v, args, s):
+    return stepped(v, args[0].value)
+
+
+@with_nodes("jsonata:map", 2)
+def jsonata_map(c, v, args, s):
+    left = one(c(args[0], s.at(v)))
+    if not is_array(left.type):
+        return c(args[1], s.at(left))
+    t = left.type.elementType
+    inner = one(c(args[1], s.at(One(F.lit(None).cast(t), t)))).type
+    out = F.transform(left.col, lambda x: one(c(args[1], s.at(One(x, t)))).col)
+    return One(F.flatten(out) if is_array(inner) else out, inner if is_array(inner) else T.ArrayType(inner))
+
+
+@with_nodes("jsonata:arithmetic", 3)
+def jsonata_arithmetic(c, v, args, s):
+    from docql.operators.columns import arithmetic
+
+    a, b = number(one(c(args[1], s.at(v)))), number(one(c(args[2], s.at(v))))
+    out = arithmetic(args[0].value, a, b)
+    return One(F.when(a.col.isNotNull() & b.col.isNotNull(), out.col), out.type)
+
+
+@with_nodes("jsonata:compare", 3)
+def jsonata_compare(c, v, args, s):
+    a, b = one(c(args[1], s.at(v))), one(c(args[2], s.at(v)))
+    out = compare(args[0].value, a, b)
+    return out if args[0].value in ("==", "!=") else One(F.when(a.col.isNotNull() & b.col.isNotNull(), out.col), BOOL)
+
+
+@with_nodes("jsonata:concat", 2)
+def jsonata_concat(c, v, args, s):
+    a, b = (one(c(n, s.at(v))) for n in args)
+    return One(F.concat(*(F.when(e.col.isNull(), F.lit("")).otherwise(c.text(e)) for e in (a, b))), STRING)
+
+
+FUNCTIONS["jsonata:boolean", 1] = lambda c, args, s: One(boolean(one(c(args[0], s))), BOOL)
+FUNCTIONS["jsonata:block", 1] = lambda c, args, s: c(args[0], s)
+FUNCTIONS["jsonata:assign", 2] = lambda c, args, s: c(args[1], s)
+
+
+def jsonata_variable(c, args, s):
+    if args[0].value not in s.variables:
+        raise Unsupported(f"${args[0].value}")
+    return s.variables[args[0].value]
+
+
+FUNCTIONS["jsonata:variable", 1] = jsonata_variable
+CALLS = {"sum": "add", "max": "max", "min": "min", "count": "length", "length": "length", "uppercase": None, "lowercase": None, "string": "tostring", "floor": "floor", "ceil": "ceil", "abs": "abs", "sqrt": "sqrt", "average": None}
+
+
+@with_nodes("jsonata:call", 2)
+def jsonata_call(c, v, args, s):
+    f = args[0]
+    name = f.args[0].value if getattr(f, "name", None) == "jsonata:variable" else None
+    if name not in CALLS:
+        raise Unsupported(f"${name}")
+    x = one(c(args[1], s.at(v)))
+    if name in ("uppercase", "lowercase"):
+        return One((F.upper if name == "uppercase" else F.lower)(text(x).col), STRING)
+    if name == "average":
+        return One(total(array(x)).col / F.size(x.col), DOUBLE)
+    return FUNCTIONS[CALLS[name], 0](c, (), s.at(x))
