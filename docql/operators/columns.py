@@ -365,8 +365,8 @@ class Compiler:
 
     def do_try(self, n, s):
         """Only of conversions, whose failure has a column form."""
-        body = n.body
-        if isinstance(body, N.Pipe) and isinstance(body.right, N.Call) and body.right.name == "tonumber":
+        body = n.body if isinstance(n.body, N.Pipe) else N.Pipe(N.Identity(), n.body)
+        if body.right == N.Call("tonumber", ()):
             v = one(self(body.left, s))
             parsed = One(v.col.try_cast("double"), DOUBLE)
             if n.handler is None:
@@ -374,10 +374,9 @@ class Compiler:
             other = one(self(n.handler, s.at(literal("error"))))
             t = common(DOUBLE, other.type)
             return One(F.coalesce(parsed.col.cast(t), cast(other, t)), t)
-        out = self(body, s)
-        if not isinstance(body, (N.Field, N.Iterate, N.Identity)):
+        if not isinstance(n.body, (N.Field, N.Iterate, N.Identity)):
             raise Unsupported("try")
-        return out
+        return self(n.body, s)
 
     def do_reduce(self, n, s):
         if not isinstance(n.pattern, N.VarPattern):
@@ -408,7 +407,15 @@ class Compiler:
         states = Many(F.aggregate(source.col, F.array().cast(kept), update), t)
         if n.extract is None:
             return states
-        return self.each(states, lambda v: self(n.extract, s.at(v)))
+        made: list[Compiled] = []
+
+        def shown(state: Column, i: Column) -> Column:
+            inner = s.at(One(state, t)).bound(**{n.pattern.name: One(F.get(source.col, i), source.type)})
+            made.append(self(n.extract, inner))
+            return made[-1].col
+
+        out = F.transform(states.col, shown)
+        return Many(F.flatten(out) if isinstance(made[0], Many) else out, made[0].type)
 
     def do_bind(self, n, s):
         if len(n.patterns) > 1:
@@ -541,3 +548,20 @@ class Compiler:
 
 
 COMPILE = Compiler()
+PLAIN = {"==": lambda a, b: a == b, ">": lambda a, b: a > b, ">=": lambda a, b: a >= b, "<": lambda a, b: a < b, "<=": lambda a, b: a <= b, "!=": lambda a, b: a != b}
+TURNED = {"==": "==", "!=": "!=", ">": "<", ">=": "<=", "<": ">", "<=": ">="}
+
+
+def predicate(n: N.Node, s: Scope) -> Column:
+    """The truth of n for a filter, where null drops a row as false does: comparisons with constants stay in a form that scans take."""
+    if isinstance(n, N.Logic):
+        a, b = predicate(n.left, s), predicate(n.right, s)
+        return a & b if n.op == "and" else a | b
+    if isinstance(n, N.Compare):
+        a, b, op = one(COMPILE(n.left, s)), one(COMPILE(n.right, s)), n.op
+        if a.literal is not None and b.literal is None:
+            a, b, op = b, a, TURNED[op]
+        if b.literal is not None and a.literal is None and (is_number(a.type) and is_number(b.type) or a.type == b.type):
+            test = PLAIN[op](a.col, F.lit(b.literal))
+            return test | a.col.isNull() if op in ("<", "<=", "!=") else test
+    return truthy(one(COMPILE(n, s)))

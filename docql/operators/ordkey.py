@@ -8,6 +8,7 @@ from typing import Any
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docql.functions import values as V
 
@@ -45,7 +46,7 @@ def text(s: str) -> bytes:
     return b"".join(raw[i : i + 2] if raw[i : i + 2] != b"\x00\x00" else b"\x00\x00\xff\xff" for i in range(0, len(raw), 2)) + b"\x00\x00\x00\x00"
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def _keys(column: pd.Series) -> pd.Series:
     return column.map(lambda t: encode(None if t is None else V.parse(t)))
 

@@ -221,7 +221,7 @@ class Planner:
         if semi is not None:
             return semi
         try:
-            test = truthy(one(COMPILE(cond, self.scope(f))))
+            test = C.predicate(cond, self.scope(f))
         except Unsupported:
             return self.interpreted(N.Call("select", (cond,)), f)
         self.tiers.note("T2", cond)
@@ -382,7 +382,7 @@ class Planner:
             ready = [c for c in left if _uses(c) <= {*known, *self.variables}]
             left = [c for c in left if c not in ready]
             scope = Scope(literal(None), {**self.variables, **known}, self.functions)
-            tests = [truthy(one(COMPILE(c, scope))) if not _equality(c) else self.equal(c, scope) for c in ready]
+            tests = [C.predicate(c, scope) if not _equality(c) else self.equal(c, scope) for c in ready]
             if made is None:
                 made = wrapped
                 for t in tests:
