@@ -45,6 +45,7 @@ class Frame:
     stream: bool = False
     order: tuple[Key, ...] = ()
     single: bool = False  # the one row is the value itself, not an array's element
+    json: bool = False  # the column value holds JSON texts of values without a known type
 
     @property
     def type(self) -> T.DataType:
@@ -52,6 +53,8 @@ class Frame:
 
     @property
     def row(self) -> One:
+        if self.json:
+            raise Unsupported("values without a known type")
         if self.flat:
             return One(F.struct(*(F.col(f"`{c}`").alias(c) for c in self.df.columns)), self.df.schema)
         return One(F.col("value"), self.type)
@@ -168,6 +171,8 @@ class Planner:
             if self.is_dataset(n.left) and self.is_dataset(n.right):
                 left, right = self.plan(n.left, f), self.plan(n.right, f)
                 return self.union(left, right) if n.op == "+" else self.difference(left, right)
+        if isinstance(n, N.Bind) and n.source == N.Call("range", (N.Call("length", ()),)) and isinstance(n.patterns[0], N.VarPattern):
+            return self.by_place(n, f)
         if isinstance(n, N.Reduce):
             return self.reduced(n, f)
         if isinstance(n, N.Foreach):
@@ -212,9 +217,9 @@ class Planner:
         return Frame(df, isinstance(out.type, T.StructType), f.stream, (), f.single)
 
     def interpreted(self, n: N.Node, f: Frame) -> Frame:
-        text = F.to_json(f.row.col, {"ignoreNullFields": "false"}) if isinstance(f.type, (T.StructType, T.ArrayType, T.MapType)) else F.col("value").cast("string") if not isinstance(f.type, T.StringType) else COMPILE.json(f.row)
+        text = F.col("value") if f.json else F.to_json(f.row.col, {"ignoreNullFields": "false"}) if isinstance(f.type, (T.StructType, T.ArrayType, T.MapType)) else F.col("value").cast("string") if not isinstance(f.type, T.StringType) else COMPILE.json(f.row)
         got = outputs(f.df.select(text.alias("value")), n, variables=self.plain, mode=self.mode)
-        return Frame(got.select("value") if self.mode == "failfast" else got.select("value", "_error"), False, True)
+        return Frame(got.select("value") if self.mode == "failfast" else got.select("value", "_error"), False, True, json=True)
 
     def selected(self, cond: N.Node, f: Frame) -> Frame:
         semi = self.membership(cond, f)
@@ -488,6 +493,43 @@ class Planner:
             return self._one_row(One(F.coalesce(F.sum(value.col), F.lit(0).cast(t)) + start.col, t), source.df.agg)
         raise Unsupported("this update in reduce")
 
+    def numbered(self, f: Frame) -> DataFrame:
+        """The rows with their places _i, from 0, in order: dealt by ranges of the order and counted, none sorted in one task."""
+        if not f.order:
+            raise Unsupported("places in an unordered dataset")
+        keys = [k.sorted() for k in f.order]
+        dealt = f.df.repartitionByRange(*keys).withColumn("_part", F.spark_partition_id())
+        before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+        counts = dealt.groupBy("_part").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+        place = F.row_number().over(Window.partitionBy("_part").orderBy(*keys)) - 1
+        return dealt.withColumn("_at", place).join(counts, "_part").withColumn("_i", (F.col("_at") + F.col("_before")).cast("long")).drop("_part", "_at", "_before")
+
+    def by_place(self, n: N.Bind, f: Frame) -> Frame:
+        """range(length) as $i | .. .[$i + k] ..: row numbers, and the rows k places on by a join on the place.
+
+        As in an array, a negative place counts from the end, and one beyond the end has null.
+        """
+        name = n.patterns[0].name
+        rows = self.numbered(f)
+        seen = _Narrow(rows, f)
+        size = f.df.count()
+        place = One(F.col("_i"), LONG)
+        known = {**self.variables, name: place}
+        body, df = n.body, rows.select("_i", seen.row.col.alias("_w0"))
+        found = [m for m in dict.fromkeys(_all(n.body)) if isinstance(m, N.Index) and isinstance(m.base, N.Identity) and name in _uses(m.key)]
+        for k, m in enumerate(found, 1):
+            at = one(COMPILE(m.key, Scope(literal(None), known, self.functions)))
+            if m.key == N.Variable(name):
+                known[f"_w{k}"] = One(F.col("_w0"), f.type)
+            else:
+                other = rows.select(F.col("_i").alias(f"_j{k}"), seen.row.col.alias(f"_w{k}"))
+                wanted = F.when(at.col < 0, at.col + size).otherwise(at.col)
+                df = df.join(other, wanted == F.col(f"_j{k}"), "left").drop(f"_j{k}")
+                known[f"_w{k}"] = One(F.col(f"_w{k}"), f.type)
+            body = _replace(body, m, N.Variable(f"_w{k}"))
+        self.tiers.note("T1", n)
+        return self.shown(COMPILE(body, Scope(literal(None), known, self.functions)), Frame(df, True, True, (Key(F.col("_i")),)))
+
     def running(self, n: N.Foreach, f: Frame) -> Frame:
         """foreach .[] as $x (a; . + e; out): a running sum over the order of rows.
 

@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docql.engine import compile_program
+from docql.engine import compile_program, structures
 from docql.sources.tables import read_table
 
 
@@ -149,6 +149,28 @@ QUERIES: dict[str, Query | Callable] = {
         "SELECT event_id, CAST(sum(user_id) OVER (ORDER BY event_id) AS BIGINT) AS total FROM events",
         order=("event_id",),
     ),
+    "intersection": Query(
+        "customer",
+        "map({key: .c_nationkey}) | unique | . - (. - ($supplier | map({key: .s_nationkey})))",
+        "SELECT c_nationkey AS key FROM customer INTERSECT SELECT s_nationkey FROM supplier",
+        ("supplier",),
+    ),
+    "row_number_lag_lead": Query(
+        "events",
+        "[range(length) as $i | {i: $i, event_id: .[$i].event_id, before: .[$i - 1].user_id, after: .[$i + 1].user_id}]",
+        "SELECT row_number() OVER w - 1 AS i, event_id, coalesce(lag(user_id) OVER w, last_value(user_id) OVER (ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS before, lead(user_id) OVER w AS after FROM events WINDOW w AS (ORDER BY event_id)",
+        order=("event_id",),
+    ),
+    "regex_captures": Query(
+        "part",
+        ".[] | {p_partkey, m: (.p_type | match(\"[AEIOU]\") | .offset), c: (.p_brand | capture(\"Brand#(.)\"))}",
+        """SELECT '{"p_partkey":' || p_partkey || ',"m":' || (length(regexp_extract(p_type, '^[^AEIOU]*')))::VARCHAR || ',"c":{"1":"' || substr(p_brand, 7, 1) || '"}}' AS value FROM part""",
+    ),
+    "walk_and_stream": Query(
+        "nation",
+        ".[] | [tostream | select(length == 2 and (.[1] | type) == \"number\") | .[1]] | add",
+        "SELECT CAST(n_nationkey + n_regionkey AS VARCHAR) AS value FROM nation",
+    ),
     "histogram": Query(
         "events",
         "reduce .[] as $e ({}; .[$e.event_type] += 1)".replace("({};", "(null;"),
@@ -239,9 +261,13 @@ PROPS = {
 }
 
 
+def type_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return structures(read_table(spark, sf_dir, "events"), "props")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {**QUERIES, **{k: props_query(p, lang) for k, (p, lang, _) in PROPS.items()}}
+    return {**QUERIES, "type_structure": type_structure, **{k: props_query(p, lang) for k, (p, lang, _) in PROPS.items()}}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**{k: q.sql for k, q in QUERIES.items() if q.sql}, **{k: sql for k, (_, _, sql) in PROPS.items()}}
+    return {"type_structure": """SELECT '{"k":"integer"}' AS structure""", **{k: q.sql for k, q in QUERIES.items() if q.sql}, **{k: sql for k, (_, _, sql) in PROPS.items()}}
