@@ -126,11 +126,11 @@ def dedup_lines(docs: DataFrame, least_words: int = MIN_WORDS) -> DataFrame:
     deleted on account of them. Blank lines go only within a deleted block. Texts are compared as stored, before
     any deletion. Columns n_lines and n_removed of the input are replaced.
     """
-    gone = deletions(docs, least_words)
+    gone = deletions(docs, least_words).toDF("_rid_gone", "_gone")
     lines = F.split("text", "\n")
-    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("gone", i)), "\n")
-    out = docs.drop("n_lines", "n_removed").withColumn("_rid", row_id()).join(gone, F.col("_rid") == F.col("rid"), "left")
+    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("_gone", i)), "\n")
+    out = docs.drop("n_lines", "n_removed").withColumn("_rid", row_id()).join(gone, F.col("_rid") == F.col("_rid_gone"), "left")
     n = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("bigint").alias("n_lines")
-    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept).alias("text")
+    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(kept).alias("text")
     names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    return out.select(*(text if c == "text" else F.col(c) for c in names), n, F.coalesce(F.size("gone"), F.lit(0)).cast("bigint").alias("n_removed"))
+    return out.select(*(text if c == "text" else F.col(c) for c in names), n, F.coalesce(F.size("_gone"), F.lit(0)).cast("bigint").alias("n_removed"))

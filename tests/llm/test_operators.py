@@ -387,3 +387,36 @@ def test_html(spark):
     assert [got[i].text for i in (3, 4, 6)] == ["", "", ""]
     assert got[5].text.startswith(LONG)
     assert all(x.n_chars == len(x.text) for x in got.values())
+
+
+# All
+
+
+EXTRA = "rid gone fp key bucket h slot shard pos term own value m part packed node root words lines at size n item items score lang_pred held_out _rid _i".split()
+
+
+@pytest.mark.parametrize(
+    "operator",
+    [
+        lambda df, bench: langid.identify(df),
+        lambda df, bench: shards.shard_documents(df),
+        lambda df, bench: linededup.dedup_lines(df).select("doc_id", "text", "n_removed"),
+        lambda df, bench: simhash.near_duplicates(df),
+        lambda df, bench: simhash.first_of_each(df).select("doc_id", "text"),
+        lambda df, bench: decontaminate.contamination(df, bench).drop("items"),
+        lambda df, bench: decontaminate.clean(df, bench).select("doc_id", "text"),
+        lambda df, bench: bpe.digests(df, FILES.path("word_bpe_49k.json")),
+        lambda df, bench: bpe.encode(df, FILES.path("word_bpe_49k.json")).select("doc_id", "n_tokens"),
+        lambda df, bench: ppm.score_documents(df).select("doc_id", "n_tokens", "n_known"),
+        lambda df, bench: pii.pseudonyms(df, "k").select("doc_id", "text"),
+    ],
+)
+def test_other_columns_and_a_very_long_text_change_nothing(spark, operator):
+    from pyspark.sql import functions as F
+
+    texts = [*made(6, 20), (500, "alpha beta of the " * 20_000)]
+    df = docs(spark, texts)
+    bench = spark.createDataFrame([(1, "alpha beta of the alpha beta of the")], "item_id long, text string")
+    more = df.withColumns({c: F.lit(c) for c in EXTRA})
+    plain, extra = (sorted(map(repr, operator(x, y).collect())) for x, y in ((df, bench), (more, bench.withColumns({c: F.lit(c) for c in EXTRA}))))
+    assert plain == extra and len(plain) > 0
