@@ -22,6 +22,7 @@ from docql.operators.columns import COMPILE, LONG, Many, One, Scope, Unsupported
 from docql.operators.dynamic import outputs
 from docql.plans import nodes as N
 from docql.plans.parser import ProgramError
+from docql.sources.scratch import stored
 
 IDENTITY = N.Identity()
 EVERY = N.Iterate(IDENTITY)
@@ -289,8 +290,13 @@ class Planner:
 
     def array_unique_by(self, n, f):
         keys = self.keys(n.args, f)
-        place = Window.partitionBy(*(k.col for k in keys)).orderBy(*((k.sorted() for k in f.order) if f.order else [F.lit(0)]))
-        return replace(f, df=f.df.withColumn("_first", F.row_number().over(place)).where("_first = 1").drop("_first"))
+        if any(k.down for k in f.order):
+            place = Window.partitionBy(*(k.col for k in keys)).orderBy(*(k.sorted() for k in f.order))
+            return replace(f, df=f.df.withColumn("_first", F.row_number().over(place)).where("_first = 1").drop("_first"))
+        # An aggregate meets halfway in each task, so a frequent key is no hot one.
+        row = F.min_by(f.row.col, F.struct(*(k.col for k in f.order))) if f.order else F.first(f.row.col)
+        found = f.df.groupBy(*(k.col.alias(f"_k{i}") for i, k in enumerate(keys))).agg(row.alias("value"))
+        return replace(f, df=found.select("value.*") if f.flat else found.select("value"))
 
     def array_group_by(self, n, f):
         nodes, todo = [], list(n.args)
@@ -498,7 +504,8 @@ class Planner:
         if not f.order:
             raise Unsupported("places in an unordered dataset")
         keys = [k.sorted() for k in f.order]
-        dealt = f.df.repartitionByRange(*keys).withColumn("_part", F.spark_partition_id())
+        # Stored, as a range's borders are sampled anew in each run of a plan.
+        dealt = stored(f.df.repartitionByRange(*keys).withColumn("_part", F.spark_partition_id()))
         before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
         counts = dealt.groupBy("_part").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
         place = F.row_number().over(Window.partitionBy("_part").orderBy(*keys)) - 1
@@ -543,7 +550,7 @@ class Planner:
         scope = Scope(literal(None), {**self.variables, n.pattern.name: source.row}, self.functions)
         step, start = one(COMPILE(u.right, scope)), one(COMPILE(n.start, Scope(literal(None), self.variables, self.functions)))
         t = C.common(start.type, step.type)
-        dealt = source.df.withColumn("_step", step.col.cast(t)).repartitionByRange(*(k.sorted() for k in source.order)).withColumn("_part", F.spark_partition_id())
+        dealt = stored(source.df.withColumn("_step", step.col.cast(t)).repartitionByRange(*(k.sorted() for k in source.order)).withColumn("_part", F.spark_partition_id()))
         before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
         sums = dealt.groupBy("_part").agg(F.sum("_step").alias("_s")).withColumn("_before", F.coalesce(F.sum("_s").over(before), F.lit(0).cast(t))).drop("_s")
         within = Window.partitionBy("_part").orderBy(*(k.sorted() for k in source.order)).rowsBetween(Window.unboundedPreceding, 0)
