@@ -3,64 +3,27 @@
 from __future__ import annotations
 
 import gc
-import hashlib
-import os
-import tempfile
-import uuid
-import zipfile
 from collections.abc import Callable, Hashable
-from pathlib import Path
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_SHIPPED: set[str] = set()
+from docql.operators.dynamic import ship as ship_package
+from docql.sources.scratch import stored
+
+__all__ = ["held", "id_crc", "ship", "stored", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a local one only where the session names none (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found is None:
-        found = "file://" + os.path.join(tempfile.gettempdir(), f"docql-{spark.sparkContext.applicationId}")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back.
-
-    This cuts lineage: a lost executor costs its running tasks only, and a table that is used
-    several times is computed once. The files go when the application ends.
-    """
-    spark = df.sparkSession
-    at = f"{scratch_dir(spark)}/docql-{uuid.uuid4().hex}"
-    df.write.parquet(at)
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
-    return spark.read.schema(df.schema).parquet(at)
-
-
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once for each application (what --py-files does), and bound batches."""
+    """Send this package to the executors, and bound the batches that go to and from Python."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    context = spark.sparkContext
-    if context.applicationId in _SHIPPED:
-        return
-    top = Path(__file__).resolve().parents[1]
-    files = sorted(top.rglob("*.py"))
-    mark = hashlib.sha256(b"".join(p.read_bytes() for p in files)).hexdigest()[:12]
-    out = os.path.join(tempfile.mkdtemp(), f"docql-{mark}.zip")
-    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-        for p in files:
-            z.write(p, str(p.relative_to(top.parent)))
-    context.addPyFile(out)
-    _SHIPPED.add(context.applicationId)
+    ship_package(spark)
 
 
 def id_crc(doc_id="doc_id"):
