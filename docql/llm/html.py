@@ -42,6 +42,10 @@ MARKS = frozenset(
     menu menus nav navbar navigation breadcrumb breadcrumbs pagination pager toolbar masthead topbar header footer footnav
     comment comments commentlist reply replies disqus discussion respond login search skip copyright disclaimer""".split()
 )
+#: Those of them that count inside the article, too, on paragraphs and headings.
+STRONG_MARKS = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion cookie cookies consent gdpr notice newsletter subscribe comment comments reply replies disqus".split())
+#: Words of class and id values of what holds the article where no article or main element does.
+CONTENT_MARKS = frozenset("article post entry story content main articlebody maincontent bodytext".split())
 #: These hold the article, whatever their class says.
 HOLDERS = frozenset("html body main article".split())
 LINK_DENSITY, LONG, VERY_LONG, STOP_DENSITY, LOW_STOP_DENSITY = 0.5, 70, 200, 0.2, 0.08
@@ -60,6 +64,13 @@ class Block:
     label: bool | None = None
 
 
+def marks_of(raw: str) -> tuple[dict[str, str], set[str]]:
+    """Attributes, and the words of class and id."""
+    found = {k.lower(): references.unescape(a or b or c) for k, a, b, c in ATTRIBUTE.findall(raw)}
+    said = re.sub(r"([a-z])([A-Z])", r"\1 \2", f"{found.get('class', '')} {found.get('id', '')}").lower()
+    return found, set(re.split(r"[^a-z]+", said))
+
+
 def hidden(tag: str, raw: str, in_article: bool) -> bool:
     if tag in LEFT_OUT:
         return True
@@ -69,13 +80,18 @@ def hidden(tag: str, raw: str, in_article: bool) -> bool:
         return True
     if "=" not in raw and "hidden" not in raw:
         return False
-    found = {k.lower(): references.unescape(a or b or c) for k, a, b, c in ATTRIBUTE.findall(raw)}
+    found, words = marks_of(raw)
     if "hidden" in found or found.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", "").lower()):
         return True
     if found.get("role", "").lower() in ROLES:
         return True
-    said = re.sub(r"([a-z])([A-Z])", r"\1 \2", f"{found.get('class', '')} {found.get('id', '')}").lower()
-    return tag not in ("p", "h1", "h2", "h3", "h4", "h5", "h6") and not MARKS.isdisjoint(re.split(r"[^a-z]+", said)) or not MARKS.isdisjoint(re.split(r"[^a-z]+", said)) and not in_article
+    narrow = in_article and tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "header")
+    return not words.isdisjoint(STRONG_MARKS if narrow else MARKS)
+
+
+def holds_article(raw: str) -> bool:
+    found, words = marks_of(raw)
+    return found.get("role", "").lower() == "main" or found.get("itemprop", "").lower() == "articlebody" or not words.isdisjoint(CONTENT_MARKS)
 
 
 def blocks_of(page: str) -> list[Block]:
@@ -103,6 +119,7 @@ def blocks_of(page: str) -> list[Block]:
             if link:
                 linked.append(text)
 
+    named = not re.search(r"<(?:article|main)\b", page, re.I)  # whether class and id tell where the article is
     at = 0
     n = len(page)
     while at < n:
@@ -141,7 +158,7 @@ def blocks_of(page: str) -> list[Block]:
             continue
         out_of, inside = state()
         out_of = out_of or hidden(tag, raw, inside)
-        inside = inside or tag in ("article", "main")
+        inside = inside or tag in ("article", "main") or named and tag in ("div", "section", "td") and "=" in raw and holds_article(raw)
         if tag in ("p", "li", "td", "th", "tr", "dd", "dt", "option") and stack and stack[-1][0] == tag:
             stack.pop()  # its end tag may be left out
             out_of, inside = state()

@@ -389,6 +389,12 @@ def test_html(spark):
     assert all(x.n_chars == len(x.text) for x in got.values())
 
 
+@pytest.mark.parametrize("frame", ["<article>{}</article>", "<main>{}</main>", '<div id="content">{}</div>', '<div class="entry-content">{}</div>', "<div>{}</div>", "{}", "<ARTICLE>{}<div class=ad>Buy one of the best</div></ARTICLE>", "<article><p class=advert>Buy it</p>{}</article>"])
+def test_html_finds_the_article_in_any_frame(frame):
+    inner = f"<h1>Head line</h1><p>Short.</p><p>{LONG}</p><p>End.</p>"
+    assert html.main_text(PAGE.replace("{article}", frame.format(inner))) == f"Head line Short. {LONG} End."
+
+
 # All
 
 
