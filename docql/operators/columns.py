@@ -208,6 +208,8 @@ def pick_field(base: One, name: str) -> One:
 def pick_index(base: One, key: One) -> One:
     if isinstance(base.type, (T.StructType, T.MapType)) and isinstance(key.literal, str):
         return pick_field(base, key.literal)
+    if isinstance(base.type, T.StructType) and base.type.names == ["0", "1"] and key.literal in (0, 1):
+        return pick_field(base, str(key.literal))  # a pair, of values of two types
     if isinstance(base.type, T.MapType) and isinstance(key.type, T.StringType):
         return One(F.try_element_at(base.col, key.col), base.type.valueType)
     if is_array(base.type) and is_number(key.type):

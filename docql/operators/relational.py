@@ -318,6 +318,15 @@ class Planner:
     def array_max_by(self, n, f):
         return self.array_min_by(n, f, down=True)
 
+    def array_JOIN(self, n, f):
+        """JOIN($i; key): pairs of each row and what the index holds for its key, by a left join."""
+        held = n.args[0]
+        if not (len(n.args) == 2 and isinstance(held, N.Variable) and held.name in self.indexes):
+            raise Unsupported("JOIN of other than an INDEX of a dataset")
+        node, frame = self.with_lookups(N.Index(held, n.args[1]), f)
+        found = self.variables[node.name]
+        return Frame(frame.df.select(f.row.col.alias("0"), found.col.alias("1")), True, False)
+
     def array_combinations(self, n, f):
         raise Unsupported("combinations of a dataset")
 

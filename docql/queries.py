@@ -71,6 +71,16 @@ QUERIES: dict[str, Query | Callable] = {
         "sort_by(.p_partkey) | .[-5:] | map({p_partkey})",
         "SELECT p_partkey FROM part ORDER BY p_partkey DESC LIMIT 5",
     ),
+    "limit_skip": Query(
+        "orders",
+        "[limit(7; skip(3; sort_by(.o_orderkey)[])) | {o_orderkey}]",
+        "SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 7 OFFSET 3",
+    ),
+    "group_max_by": Query(
+        "orders",
+        "group_by(.o_orderpriority) | map({p: .[0].o_orderpriority, dearest: (max_by(.o_totalprice) | .o_orderkey), cheapest: min_by(.o_totalprice).o_orderkey})",
+        "SELECT o_orderpriority AS p, arg_max(o_orderkey, o_totalprice) AS dearest, arg_min(o_orderkey, o_totalprice) AS cheapest FROM orders GROUP BY 1",
+    ),
     "max_by_row": Query(
         "supplier",
         "max_by(.s_acctbal) | {s_suppkey, s_acctbal}",
@@ -107,6 +117,12 @@ QUERIES: dict[str, Query | Callable] = {
         "SELECT n_name, r_name AS region FROM nation LEFT JOIN region ON n_regionkey = r_regionkey",
         ("region",),
     ),
+    "join_pairs": Query(
+        "customer",
+        "INDEX($nation[]; .n_nationkey) as $i | JOIN($i; .c_nationkey | tostring) | map({c: .[0].c_name, n: .[1].n_name})",
+        "SELECT c_name AS c, n_name AS n FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey",
+        ("nation",),
+    ),
     "semi_join": Query(
         "customer",
         "map(select(.c_custkey | IN($orders[] | select(.o_totalprice > 300000) | .o_custkey)) | {c_custkey, c_name})",
@@ -255,6 +271,13 @@ PROPS = {
     "json_update": (".k += 1 | .new = {a: [.k]} | del(.k)", "jq", "SELECT event_id, '{\"new\":{\"a\":[' || CAST(CAST(json_extract(props, '$.k') AS BIGINT) + 1 AS VARCHAR) || ']}}' AS value FROM events"),
     "json_recursion": ("[.. | numbers] | add", "jq", "SELECT event_id, CAST(json_extract(props, '$.k') AS VARCHAR) AS value FROM events"),
     "json_try": ("try (.k | if . > 50 then error(\"big\") else . end) catch \"was \\(.)\"", "jq", "SELECT event_id, CASE WHEN CAST(json_extract(props, '$.k') AS BIGINT) > 50 THEN '\"was big\"' ELSE CAST(json_extract(props, '$.k') AS VARCHAR) END AS value FROM events"),
+    "json_walk": ("walk(if type == \"number\" then . + 1 else . end)", "jq", "SELECT event_id, '{\"k\":' || CAST(CAST(json_extract(props, '$.k') AS BIGINT) + 1 AS VARCHAR) || '}' AS value FROM events"),
+    "json_set_get": ("setpath([\"a\", 1]; .k) | getpath([\"a\", 1]), getpath([\"a\", 0])", "jq", "SELECT event_id, CAST(json_extract(props, '$.k') AS VARCHAR) AS value FROM events UNION ALL SELECT event_id, 'null' FROM events"),
+    "json_with_entries": ("with_entries(.value |= tostring)", "jq", "SELECT event_id, '{\"k\":\"' || CAST(json_extract(props, '$.k') AS VARCHAR) || '\"}' AS value FROM events"),
+    "json_label_break": ("[label $f | range(10) | if . > 3 then break $f else . end] | add", "jq", "SELECT event_id, '6' AS value FROM events"),
+    "json_stream": ("fromstream(tostream)", "jq", "SELECT event_id, '{\"k\":' || CAST(json_extract(props, '$.k') AS VARCHAR) || '}' AS value FROM events"),
+    "jsonata_object": ("{'k': $string(k)}", "jsonata", "SELECT event_id, '{\"k\":\"' || CAST(json_extract(props, '$.k') AS VARCHAR) || '\"}' AS value FROM events"),
+    "sql_json_method": ("$.k.type()", "jsonpath", "SELECT event_id, '\"number\"' AS value FROM events"),
     "json_paths": ("[paths]", "jq", "SELECT event_id, '[[\"k\"]]' AS value FROM events"),
     "jsonata_expression": ("k * 2 + $length('abc')", "jsonata", "SELECT event_id, CAST(CAST(json_extract(props, '$.k') AS BIGINT) * 2 + 3 AS VARCHAR) AS value FROM events"),
     "sql_json_path": ("$ ? (@.k > 50).k", "jsonpath", "SELECT event_id, CAST(json_extract(props, '$.k') AS VARCHAR) AS value FROM events WHERE CAST(json_extract(props, '$.k') AS BIGINT) > 50"),
