@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 
 from docql.llm.common import held, ship
 
-CACHED_WORDS = 300_000
+CACHED_WORDS = 400_000
 DIGESTS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
 
 
@@ -33,16 +33,19 @@ def byte_letters() -> list[str]:
 
 
 class _Words(dict):
-    """Encoded words; emptied when full, so that memory stays bounded."""
+    """Encoded words, in two generations: the older half goes when the newer is full, save for words used since."""
 
     def __init__(self, owner: Codec):
-        self.owner = owner
+        self.owner, self.old = owner, {}
 
     def __missing__(self, word: str) -> tuple[bytes, str]:
-        if len(self) >= CACHED_WORDS:
+        if len(self) >= CACHED_WORDS // 2:
+            self.old = dict(self)
             self.clear()
-        parts, vocab = self.owner.merge(word), self.owner.vocab
-        found = self[word] = (b"".join([vocab[s].to_bytes(4, "little") for s in parts]), " ".join(parts))
+        if (found := self.old.get(word)) is None:
+            parts, vocab = self.owner.merge(word), self.owner.vocab
+            found = (b"".join([vocab[s].to_bytes(4, "little") for s in parts]), " ".join(parts))
+        self[word] = found
         return found
 
 
