@@ -48,29 +48,30 @@ def outputs(df: DataFrame, program: N.Node, column: str = "value", variables: di
     held = dict(variables or {})
 
     def run(batches):
-        from docql.functions.interpret import run as interpret
+        from docql.functions.interpret import Context, Env, values
         from docql.functions.values import JqError, dumps, parse
 
+        env = Env(Context(), held)
         for batch in batches:
-            rows, out = [], ([], [], [])
-            for i, x in enumerate(batch.column(len(keep))):
+            rows, places, texts, errors = [], [], [], []
+            for i, text in enumerate(batch.column(len(keep)).to_pylist()):
                 pos = 0
-
-                def put(value, error, i=i):
-                    rows.append(i)
-                    for a, v in zip(out, (pos, value, error), strict=True):  # noqa: B023
-                        a.append(v)
-
                 try:
-                    for v in interpret(program, parse(x.as_py()) if x.is_valid else None, held):
-                        put(dumps(v), None)
+                    for v in values(program, None if text is None else parse(text), env):
+                        rows.append(i)
+                        places.append(pos)
+                        texts.append(dumps(v))
+                        errors.append(None)
                         pos += 1
                 except JqError as e:
                     if mode == "failfast":
                         raise
-                    put(None, dumps(e.value))
+                    rows.append(i)
+                    places.append(pos)
+                    texts.append(None)
+                    errors.append(dumps(e.value))
             picked = [batch.column(k).take(pa.array(rows, pa.int64())) for k in range(len(keep))]
-            yield pa.RecordBatch.from_arrays([*picked, pa.array(out[0], pa.int64()), pa.array(out[1], pa.string()), pa.array(out[2], pa.string())], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*picked, pa.array(places, pa.int64()), pa.array(texts, pa.string()), pa.array(errors, pa.string())], names=schema.names)
 
     return df.select(*keep, F.col(column).cast("string")).mapInArrow(run, schema)
 
