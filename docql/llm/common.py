@@ -15,8 +15,15 @@ from docql.sources.scratch import stored
 __all__ = ["held", "id_crc", "ship", "stored", "table"]
 
 
+#: A table of fewer bytes is often one file of one row group, which one task would read alone.
+SMALL_TABLE = 16 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table of Parquet files; a small one is dealt out to all cores."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(spark.sparkContext.defaultParallelism) if size < SMALL_TABLE else df
 
 
 def ship(spark: SparkSession) -> None:
