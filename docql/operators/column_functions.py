@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docql.operators.columns import BOOL, DOUBLE, LONG, NULL, STRING, Many, One, Unsupported, add, common, compare, is_array, is_number, literal, many, one, split, truthy
+from docql.sources.tables import seconds_of
 
 FUNCTIONS: dict[tuple[str, int], Callable] = {}
 
@@ -562,12 +563,8 @@ def moment(v: One) -> Column:
     return F.timestamp_add("MICROSECOND", F.round(c * 1_000_000).cast("long"), F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
 
 
-def epoch(c: Column) -> Column:
-    return F.timestamp_diff("SECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), c.cast("timestamp_ntz"))
-
-
 on_value("todate")(lambda v: One(F.date_format(moment(v), "yyyy-MM-dd'T'HH:mm:ss'Z'"), STRING))
-on_value("fromdate")(lambda v: One(epoch(F.to_timestamp_ntz(F.regexp_replace(text(v).col, "Z$", ""))), LONG))
+on_value("fromdate")(lambda v: One(seconds_of(F.to_timestamp_ntz(F.regexp_replace(text(v).col, "Z$", ""))), LONG))
 for _name in ("strftime", "strflocaltime"):
     on_value(_name, 1)(lambda v, f: One(F.date_format(moment(v), date_pattern(constant(f))), STRING))
 on_value("now")(lambda v: One(F.unix_millis(F.current_timestamp()) / 1000.0, DOUBLE))
@@ -587,7 +584,7 @@ on_value("strptime", 1)(lambda v, f: broken(F.to_timestamp_ntz(text(v).col, F.li
 def mktime(v):
     part = lambda i: F.get(array(v).col, F.lit(i)).cast("int")
     t = F.make_timestamp_ntz(part(0), part(1) + 1, part(2), part(3), part(4), part(5))
-    return One(epoch(t), LONG)
+    return One(seconds_of(t), LONG)
 
 
 def shifted(sign: int):
@@ -595,7 +592,7 @@ def shifted(sign: int):
         word = constant(unit).upper().removesuffix("S")
         if word not in ("YEAR", "MONTH", "DAY", "HOUR", "MINUTE", "SECOND"):
             raise Unsupported(f"the unit {unit.literal}")
-        return One(epoch(F.timestamp_add(word, n.col.cast("long") * sign, moment(v))), LONG)
+        return One(seconds_of(F.timestamp_add(word, n.col.cast("long") * sign, moment(v))), LONG)
 
     return run
 
