@@ -547,23 +547,28 @@ class Planner:
         return self.shown(COMPILE(body, Scope(literal(None), known, self.functions)), Frame(df, True, True, (Key(F.col("_i")),)))
 
     def running(self, n: N.Foreach, f: Frame) -> Frame:
-        """foreach .[] as $x (a; . + e; out): a running sum over the order of rows.
+        """foreach .[] as $x (a; . + e; out) and (a; [., e] | max; out): a running sum or maximum over the order of rows.
 
         A window without partition puts all rows into one task, so rows are dealt by ranges of the order,
-        summed per range, and every row adds the sums of the ranges before its own.
+        folded per range, and every row adds what the ranges before its own give.
         """
         source = self.plan(n.source, f)
-        u = n.update
-        if not (isinstance(n.pattern, N.VarPattern) and source.stream and source.order and isinstance(u, N.Arithmetic) and u.op == "+" and isinstance(u.left, N.Identity)):
+        if not (isinstance(n.pattern, N.VarPattern) and source.stream and source.order):
             raise Unsupported("this foreach")
+        step_node, fold = _folded(n.update)
         scope = Scope(literal(None), {**self.variables, n.pattern.name: source.row}, self.functions)
-        step, start = one(COMPILE(u.right, scope)), one(COMPILE(n.start, Scope(literal(None), self.variables, self.functions)))
+        step, start = one(COMPILE(step_node, scope)), one(COMPILE(n.start, Scope(literal(None), self.variables, self.functions)))
         t = C.common(start.type, step.type)
-        dealt = stored(source.df.withColumn("_step", step.col.cast(t)).repartitionByRange(*(k.sorted() for k in source.order)).withColumn("_part", F.spark_partition_id()))
+        over = F.sum if fold == "+" else F.max
+        none = F.lit(0 if fold == "+" else None).cast(t)
+        keys = [k.sorted() for k in source.order]
+        dealt = stored(source.df.withColumn("_step", step.col.cast(t)).repartitionByRange(*keys).withColumn("_part", F.spark_partition_id()))
         before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-        sums = dealt.groupBy("_part").agg(F.sum("_step").alias("_s")).withColumn("_before", F.coalesce(F.sum("_s").over(before), F.lit(0).cast(t))).drop("_s")
-        within = Window.partitionBy("_part").orderBy(*(k.sorted() for k in source.order)).rowsBetween(Window.unboundedPreceding, 0)
-        made = dealt.withColumn("_run", F.coalesce(F.sum("_step").over(within), F.lit(0).cast(t))).join(sums, "_part").withColumn("_state", F.col("_run") + F.col("_before") + start.col)
+        ranges = dealt.groupBy("_part").agg(over("_step").alias("_s")).withColumn("_before", F.coalesce(over("_s").over(before), none)).drop("_s")
+        within = Window.partitionBy("_part").orderBy(*keys).rowsBetween(Window.unboundedPreceding, 0)
+        made = dealt.withColumn("_run", F.coalesce(over("_step").over(within), none)).join(ranges, "_part")
+        state = F.col("_run") + F.col("_before") + F.coalesce(start.col, none) if fold == "+" else F.greatest("_run", "_before", start.col.cast(t))
+        made = made.withColumn("_state", state)
         state = One(F.col("_state"), t)
         out = state if n.extract is None else COMPILE(n.extract, Scope(state, {**self.variables, n.pattern.name: source.row}, self.functions))
         return self.shown(out, Frame(made, True, True))
@@ -676,6 +681,15 @@ class Aggregates:
         return None
 
 
+def _folded(u: N.Node) -> tuple[N.Node, str]:
+    """What each row adds to the state, and how: "+" of . + e, "max" of [., e] | max."""
+    if isinstance(u, N.Arithmetic) and u.op == "+" and isinstance(u.left, N.Identity):
+        return u.right, "+"
+    if isinstance(u, N.Pipe) and u.right == N.Call("max", ()) and isinstance(u.left, N.Collect) and isinstance(u.left.body, N.Comma) and isinstance(u.left.body.left, N.Identity):
+        return u.left.body.right, "max"
+    raise Unsupported("this update in foreach")
+
+
 def replace_body(g: Grouped):
     raise Unsupported("groups as a stream of arrays")
 

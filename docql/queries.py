@@ -165,6 +165,12 @@ QUERIES: dict[str, Query | Callable] = {
         "SELECT event_id, CAST(sum(user_id) OVER (ORDER BY event_id) AS BIGINT) AS total FROM events",
         order=("event_id",),
     ),
+    "running_max": Query(
+        "events",
+        "[foreach .[] as $e (null; [., $e.user_id] | max; {event_id: $e.event_id, most: .})]",
+        "SELECT event_id, max(user_id) OVER (ORDER BY event_id) AS most FROM events",
+        order=("event_id",),
+    ),
     "intersection": Query(
         "customer",
         "map({key: .c_nationkey}) | unique | . - (. - ($supplier | map({key: .s_nationkey})))",
