@@ -244,14 +244,7 @@ class Planner:
         return replace(f, df=df, stream=f.stream if stream is None else stream)
 
     def keys(self, nodes: tuple[N.Node, ...], f: Frame) -> list[One]:
-        out, todo = [], list(nodes)
-        while todo:
-            n = todo.pop(0)
-            if isinstance(n, N.Comma) or isinstance(n, N.Collect) and n.body is not None:
-                todo = [n.left, n.right, *todo] if isinstance(n, N.Comma) else [n.body, *todo]
-            else:
-                out.append(one(COMPILE(n, self.scope(f))))
-        return out
+        return [one(COMPILE(n, self.scope(f))) for n in _key_parts(nodes[0])]
 
     def sort_keys(self, nodes: tuple[N.Node, ...], f: Frame) -> tuple[Key, ...]:
         """-x, of a number, sorts downwards by x."""
@@ -299,16 +292,7 @@ class Planner:
         return replace(f, df=found.select("value.*") if f.flat else found.select("value"))
 
     def array_group_by(self, n, f):
-        nodes, todo = [], list(n.args)
-        while todo:
-            k = todo.pop(0)
-            if isinstance(k, N.Comma):
-                todo = [k.left, k.right, *todo]
-            elif isinstance(k, N.Collect) and k.body is not None:
-                todo = [k.body, *todo]
-            else:
-                nodes.append(k)
-        return Grouped(f, tuple((k, one(COMPILE(k, self.scope(f)))) for k in nodes))
+        return Grouped(f, tuple((k, one(COMPILE(k, self.scope(f)))) for k in _key_parts(n.args[0])))
 
     def array_min_by(self, n, f, down: bool = False):
         keys = self.keys(n.args, f)
@@ -617,6 +601,10 @@ class Aggregates:
             done = self.terminal(n, self.f.row, None)
             if done is not None:
                 return done
+            if n.name in ("any", "all") and n.args:
+                rows = (self.f.row, None) if len(n.args) == 1 else self.elements(N.Collect(n.args[0]))
+                if rows is not None:
+                    return self.terminal(N.Call(n.name, ()), *self.each(n.args[-1], *rows))
             if n.name == "add" and len(n.args) == 1:
                 rows = self.elements(N.Collect(n.args[0]))
                 if rows is not None:
@@ -681,6 +669,22 @@ class Aggregates:
         return None
 
 
+def _key_parts(n: N.Node) -> list[N.Node]:
+    """The parts of an array as a key; of a generator the first output is the key."""
+    while isinstance(n, N.Comma):
+        n = n.left
+    if not (isinstance(n, N.Collect) and n.body is not None):
+        return [n]
+    parts, todo = [], [n.body]
+    while todo:
+        n = todo.pop(0)
+        if isinstance(n, N.Comma):
+            todo = [n.left, n.right, *todo]
+        else:
+            parts.append(n)
+    return parts
+
+
 def _folded(u: N.Node) -> tuple[N.Node, str]:
     """What each row adds to the state, and how: "+" of . + e, "max" of [., e] | max."""
     if isinstance(u, N.Arithmetic) and u.op == "+" and isinstance(u.left, N.Identity):
