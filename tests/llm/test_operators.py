@@ -420,7 +420,7 @@ EXTRA = "rid gone fp key bucket h slot shard pos term own value m part packed no
 def test_other_columns_and_a_very_long_text_change_nothing(spark, operator):
     from pyspark.sql import functions as F
 
-    texts = [*made(6, 20), (500, "alpha beta of the " * 20_000)]
+    texts = [*made(6, 20), (500, "alpha beta of the " * 5_000)]
     df = docs(spark, texts)
     bench = spark.createDataFrame([(1, "alpha beta of the alpha beta of the")], "item_id long, text string")
     more = df.withColumns({c: F.lit(c) for c in EXTRA})
