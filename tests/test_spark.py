@@ -165,6 +165,81 @@ def test_columns_agree_with_the_interpreter(spark, program):
         assert (v if isinstance(out, Many) else [v]) == one_number(want), (program, r)
 
 
+#: Programs over a dataset; what they give must be what the interpreter gives of the array of its rows.
+DATASET_PROGRAMS = """
+map(.id)
+map(select(.v > 3)) | length
+map(select(.v < 3)) | map(.id)
+map(select(.v <= 3 and .k != "a")) | map(.id)
+map(select(.k == null)) | map(.id)
+map(select(.t)) | map(.id)
+map(select(.t | not)) | map(.id)
+group_by(.k) | map({k: .[0].k, n: length, s: (map(.v) | add), m: (map(.v) | max), mi: (map(.v) | min)})
+group_by(.k) | map({k: .[0].k, u: (map(.v) | unique | length)})
+group_by(.t) | map({t: .[0].t, all: (map(.v > 2) | all), any: (map(.v > 7) | any)})
+group_by(.v) | map(length)
+group_by(.k, .t) | length
+group_by(.k) | length
+[.[] | .v] | add
+[.[] | .v] | max
+[.[] | .v] | min
+map(.v) | unique
+map(.k) | unique | length
+sort_by(.v, .id) | map(.id)
+sort_by(-.id) | .[:3] | map(.id)
+sort_by(.id) | .[2:5] | map(.id)
+sort_by(.id) | first | .id
+sort_by(.id) | .[3].id
+sort_by(.id) | reverse | .[:2] | map(.id)
+max_by(.x) | .id
+min_by(.x) | .id
+.[] | select(.id < 3) | {id, d: (.x * 2)}
+.[] | select(.id == 1) | .id, .x
+[.[] | {k, v}] | unique | length
+map(select(.k | IN($o[] | .k))) | map(.id)
+map(select(.k | IN($o[] | .k) | not)) | map(.id)
+.[] as $a | $o[] as $b | select($a.k == $b.k) | {i: $a.id, w: $b.w}
+.[] as $a | $o[] as $b | select($a.k == $b.k and $a.v > $b.w) | [$a.id, $b.w]
+map({k}) - ($o | map({k})) | length
+(map({k}) + ($o | map({k}))) | length
+reduce .[] as $r (0; . + $r.id)
+reduce .[] as $r (10; . + ($r.v // 0))
+length
+map(.x) | add / length
+{n: length, s: (map(.v) | add)}
+map(.v) | map(. + 1)
+[.[] | select(.v != null) | .v * 2] | add
+map(if .v > 4 then "hi" elif .v == null then "none" else "lo" end) | group_by(.) | map({b: .[0], n: length})
+def big: select(.v > 4); map(big) | map(.id)
+5 as $n | map(select(.v > $n)) | map(.id)
+any(.[]; .v > 7)
+all(.[]; .id >= 0)
+map(.t) | all
+map(.t) | any
+[limit(3; sort_by(.id) | .[] | .id)]
+unique_by(.k) | map(.k)
+map(.k | length) | add
+map([.id, .v]) | map(.[1]) | add
+map({id, l: [range(.id % 3)]}) | map(.l | length) | add
+map(.k | tostring) | unique
+map(.id) | sort | .[:2]
+map(.v) | sort
+""".strip().split("\n")
+
+
+def test_datasets_agree_with_the_interpreter(spark):
+    rows = [{"id": i, "k": ["a", "b", None, "c"][i % 4], "v": [None, 5, 3, 8, 1][i % 5], "x": i * 1.5, "t": [True, False, None][i % 3]} for i in range(23)]
+    other = [{"k": "a", "w": 1}, {"k": "b", "w": 2}, {"k": "zz", "w": 3}, {"k": None, "w": 4}]
+    df, side = spark.createDataFrame(rows, "id long, k string, v long, x double, t boolean"), spark.createDataFrame(other, "k string, w long")
+    for program in DATASET_PROGRAMS:
+        p = compile_program(program)
+        want = [*p.stream(rows, variables={"o": other})]
+        want = want[0] if len(want) == 1 and isinstance(want[0], list) else want
+        out = p.dataset(df, datasets={"o": side}, order=("id",))
+        got = [r["value"] if out.columns == ["value"] else r.asDict(True) for r in out.collect()]
+        assert sorted(map(dumps, one_number(got))) == sorted(map(dumps, one_number(want))), program
+
+
 def test_interpreter_runs_on_spark(spark):
     df = readers.from_values(spark, [{"a": 1}, {"a": "x"}, 5])
     p = compile_program(".a + 1")
