@@ -10,12 +10,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docql.functions import interpret
+from docql.functions.values import parse as parse_json
 from docql.operators.columns import COMPILE, Many, Scope, Unsupported, literal
 from docql.operators.columns import One as Typed
 from docql.operators.dynamic import outputs, structures
 from docql.operators.relational import Frame, Grouped, Planner
 from docql.plans import nodes as N
 from docql.plans.parser import ProgramError, parse
+from docql.sources.readers import SLURP_BYTES, slurp
 
 __all__ = ["Program", "ProgramError", "Registry", "Unsupported", "compile_program", "structures"]
 
@@ -108,12 +110,34 @@ class Program:
 
     # Datasets
 
-    def dataset(self, df: DataFrame, datasets: dict[str, DataFrame] | None = None, variables: dict[str, Any] | None = None, mode: str = "failfast", order: tuple[str, ...] = ()) -> DataFrame:
+    def dataset(self, df: DataFrame, datasets: dict[str, DataFrame] | None = None, variables: dict[str, Any] | None = None, mode: str = "failfast", order: tuple[str, ...] = (), whole: int = SLURP_BYTES) -> DataFrame:
         """The program over the array of all rows of df; $name of datasets are further arrays.
 
         order names columns in which the rows of df are to be seen. The result has a row for each element (or
         output); an object's fields become columns, another value the column value.
+
+        A program without a distributed form is interpreted over one array of all rows, if their JSON has whole bytes
+        at most (0: never): a row with JSON text in value for each output. Beyond that it is refused as Unsupported.
         """
+        try:
+            return self._planned(df, datasets, variables, mode, order)
+        except Unsupported as e:
+            try:
+                return self._as_one(df, datasets or {}, variables, mode, order, whole)
+            except ValueError as too_large:
+                raise Unsupported(f"{e}; {too_large}") from None
+
+    def _as_one(self, df: DataFrame, datasets: dict[str, DataFrame], variables: dict[str, Any] | None, mode: str, order: tuple[str, ...], whole: int) -> DataFrame:
+        def array(d: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+            row = F.to_json(F.struct(*(F.col(f"`{c}`") for c in d.columns)), {"ignoreNullFields": "false"})
+            return slurp(d.select(*(F.col(f"`{k}`").alias(f"_{i}") for i, k in enumerate(keys)), row.alias("value")), order=[f"_{i}" for i in range(len(keys))], limit=whole)
+
+        held = dict(variables or {}) | {name: parse_json(array(d, ()).first()["value"]) for name, d in datasets.items()}
+        self.tiers = [("T3", "whole dataset")]
+        out = outputs(array(df, order), self.ast, variables=held, mode=mode)
+        return out.select("value") if mode == "failfast" else out.select("value", "_error")
+
+    def _planned(self, df: DataFrame, datasets: dict[str, DataFrame] | None, variables: dict[str, Any] | None, mode: str, order: tuple[str, ...]) -> DataFrame:
         from docql.operators.relational import Key
 
         planner = Planner({k: Frame(d) for k, d in (datasets or {}).items()}, variables, mode)

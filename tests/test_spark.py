@@ -261,8 +261,11 @@ def test_a_dataset_program_may_fall_to_the_interpreter(spark):
     p = compile_program("map(select(.id > 1)) | length")
     p.dataset(df)
     assert {t for t, _ in p.explain_tier()} <= {"T1", "T2"}
-    with pytest.raises(Unsupported):
-        compile_program("reverse").dataset(df)
+    p = compile_program("[.[].id] | transpose? // reverse, ($o | length)")
+    assert [r["value"] for r in p.dataset(df, datasets={"o": df}, order=("id",)).collect()] == ["[2,1]", "2"]
+    assert p.explain_tier() == [("T3", "whole dataset")]
+    with pytest.raises(Unsupported, match="too many"):
+        compile_program("reverse").dataset(df, whole=10)
 
 
 def test_filters_and_columns_reach_the_scan(spark, tmp_path):
