@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 from collections.abc import Callable, Hashable
 from typing import Any
@@ -50,6 +51,14 @@ def held(key: Hashable, make: Callable[[], Any]) -> Any:
     """
     if not _HELD or _HELD[0][0] != key:
         _HELD.clear()
-        gc.collect()
+        give_back()
         _HELD.append((key, make()))
+        give_back()  # what making it took
     return _HELD[0][1]
+
+
+def give_back() -> None:
+    """Freed memory goes back to the system, where the C library can do that."""
+    gc.collect()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)

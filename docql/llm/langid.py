@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 from docql.llm.common import held, id_crc, ship
 
 #: Bounds of the sample that is fitted: documents and characters of each language.
-SAMPLE_DOCS, SAMPLE_CHARS, LONGEST_SAMPLED = 200, 40_000, 40_000
+SAMPLE_DOCS, SAMPLE_CHARS, LONGEST_SAMPLED = 200, 30_000, 30_000
 #: No phrase crosses the end of a block of so many letters.
 BLOCK = 512
 CLASSES = 64
@@ -115,6 +115,10 @@ class Model:
             step[:, pad] = (np.arange(states) * w) << 2
             self.tables.append((step.astype(np.int32).ravel(), math.log2(max(2, len(codes)))))
 
+    def built(self) -> Model:
+        self.build()
+        return self
+
     def costs(self, texts: list[str]) -> np.ndarray:
         """Bits for each text (row) and language (column); rows of texts without letters are NaN."""
         if not self.tables:
@@ -217,7 +221,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     schema = T.StructType([*docs.schema.fields, *COLUMNS.fields])
 
     def run(batches):
-        ready = held(("langid", tuple(sorted(shared.value.items()))), lambda: Model(shared.value))
+        ready = held(("langid", tuple(sorted(shared.value.items()))), lambda: Model(shared.value).built())
         for batch in batches:
             got = [x for part in groups(batch.column(batch.schema.get_field_index("text"))) for x in ready.predict(part)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x[0] for x in got], pa.string()), pa.array([x[1] for x in got], pa.float64())], names=schema.names)

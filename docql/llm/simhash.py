@@ -26,9 +26,9 @@ from docql.llm.components import components
 
 SHINGLE, SEED, RADIUS = 3, 42, 3
 #: Variants in one reduce group, about.
-GROUP_VARIANTS = 1_500_000
+GROUP_VARIANTS = 1_000_000
 #: Fingerprints whose variants are made at once, which bounds a task's memory.
-PART = 1_000
+PART = 500
 SELF = 4096
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
