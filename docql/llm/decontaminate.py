@@ -61,7 +61,7 @@ def phrase_words(items: DataFrame, window: int) -> DataFrame:
 
 def postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """The stored index (doc_id, pos, term, after, before) of the given terms (column term), and END at each document's length."""
-    terms = terms.select("term").distinct().union(docs.sparkSession.createDataFrame([(END,)], "term string"))
+    terms = terms.select("term").distinct().union(docs.sparkSession.range(1).select(F.lit(END)))
     listed = docs.select("doc_id", F.concat(words(F.col("text")), F.array(F.lit(END))).alias("w")).select("doc_id", "w", F.posexplode("w").alias("pos", "term"))
     return stored(listed.join(small(stored(terms)), "term", "left_semi").select("doc_id", "pos", "term", *marks(F.col("w"), F.col("pos"))))
 
