@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 
 from docql.llm.common import held, ship
 
-CACHED_WORDS = 240_000
+CACHED_WORDS = 320_000
 DIGESTS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
 
 
