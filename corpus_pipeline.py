@@ -25,7 +25,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Blocks of lines that an earlier document has are deleted from texts; no row goes."""
-    done = linededup.dedup_lines(docs.select(*COLUMNS))
+    done = linededup.dedup_lines(docs.select(*COLUMNS), partners="every")
     return done.withColumn("n_chars", F.length("text").cast("bigint")).select(*COLUMNS)
 
 

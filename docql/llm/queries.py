@@ -44,7 +44,7 @@ def op5_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linededup.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "text")
+    return linededup.dedup_lines(table(spark, sf_dir, "documents"), partners="every").select("doc_id", "n_lines", "n_removed", "text")
 
 
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

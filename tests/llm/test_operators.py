@@ -241,6 +241,46 @@ def test_line_dedup_against_plain_pairs(spark):
     assert linededup.dedup_lines(df.limit(0)).count() == 0
 
 
+def every_pair(rows, least=linededup.MIN_WORDS):
+    """Each text without what alignment with any earlier one deletes; lines that don't go stay as they are."""
+    out, ids = {}, sorted(rows)
+    cut = {i: [x.strip(" ") for x in rows[i].split("\n")] for i in ids}
+    for i in ids:
+        words, gone = [len(x.split()) for x in cut[i]], set()
+        for k in ids:
+            if k < i:
+                gone |= set(linededup.repeated(cut[k], cut[i], words, least))
+        out[i] = "\n".join(x for j, x in enumerate(rows[i].split("\n")) if j not in gone)
+    return out
+
+
+def test_windows_make_up_every_run():
+    r = random.Random(8)
+    for _ in range(500):
+        words, least = [r.randrange(7) for _ in range(r.randrange(14))], r.randrange(1, 9)
+        spans = linededup.windows(words, least)
+        for s in range(len(words)):
+            for e in range(s + 1, len(words) + 1):
+                inside = {j for a, b in spans if s <= a and b <= e for j in range(a, b)}
+                assert inside == (set(range(s, e)) if sum(words[s:e]) >= least else set())
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_line_dedup_against_every_earlier_document(spark, seed):
+    from corpus_pipeline import line_dedup
+
+    x, y, z = "a b c d e f", "g h i j k l", "m n o p q r"
+    order = [(1, f"{x}\n{y}"), (2, f"{y}\n{x}"), (3, f"{y}\n{x}"), (4, "s t u"), (5, "v w\nq"), (6, "s t u\nv w"), (7, "s t u\nv w"), (8, f"{z}\nno\n{z}"), (9, f"{z}\nyes\n{z}"), (10, f"{z}\nyes\n{z}")]
+    r = random.Random(seed)
+    pool = [" ".join(r.choice("abcdefgh") * r.randrange(1, 3) for _ in range(r.randrange(1, 9))) for _ in range(9)] + ["", " "]
+    rows = order if seed == 1 else [(i, "\n".join(r.choice([*pool, f"only {i} {k}"]) for k in range(r.randrange(1, 11)))) for i in range(70)]
+    got = {d.doc_id: d.text for d in linededup.dedup_lines(docs(spark, rows), partners="every").collect()}
+    assert got == every_pair(dict(rows))
+    assert {d.doc_id: d.text for d in line_dedup(spark, docs(spark, rows), "").collect()} == got
+    if seed == 1:
+        assert got[3] == got[7] == ""
+
+
 # 7
 
 
