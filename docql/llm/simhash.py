@@ -17,7 +17,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -66,17 +66,21 @@ def fingerprint(text: str | None) -> int:
     return int.from_bytes(np.packbits(2 * counts > n, bitorder="little").tobytes(), "little")
 
 
+def text_hash() -> Column:
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """Per input row: doc_id, fp (the fingerprint as a signed long)."""
+    """Per input row: doc_id, th (a hash of the text), fp (the fingerprint as a signed long)."""
     ship(docs.sparkSession)
-    schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("fp", T.LongType())])
+    schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("th", T.LongType()), T.StructField("fp", T.LongType())])
 
     def run(batches):
         for batch in batches:
-            found = np.fromiter((fingerprint(x.as_py()) for x in batch.column(1)), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
+            found = np.fromiter((fingerprint(x.as_py()) for x in batch.column(2)), np.uint64, batch.num_rows)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found.view(np.int64))], names=["doc_id", "th", "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", text_hash().alias("th"), "text").mapInArrow(run, schema)
 
 
 def flips() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -155,6 +159,12 @@ def links(fps: DataFrame) -> DataFrame:
     return fps.select("fp").mapInArrow(send, sent).groupBy("part").applyInArrow(meet, "a long, b long")
 
 
+def roots_of(classes: DataFrame) -> DataFrame:
+    """The rows of classes, distinct fingerprints (fp) and more, with the root of each one's component."""
+    roots = stored(components(stored(links(classes.select("fp")).distinct())))
+    return stored(classes.join(roots, classes["fp"] == roots["node"], "left").select(*classes.columns, F.coalesce("root", "fp").alias("root")))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """Per input row: doc_id, fingerprint (16 hex digits), component_id.
 
@@ -163,22 +173,22 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     repeated ones too. A null doc_id is never the smallest unless a component holds no other.
     """
     prints = stored(fingerprints(docs))
-    classes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = stored(components(stored(links(classes.select("fp")).distinct())))
-    of = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
-    of = stored(of)
+    of = roots_of(stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least"))))
     named = stored(of.groupBy("root").agg(F.min("least").alias("component_id")))
     of = stored(of.join(named, "root").select("fp", "component_id"))
     return prints.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def first_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of docs that are the first of their near-duplicates: those whose doc_id is the component's.
+    """The rows of docs that are the first of their near-duplicates: the smallest doc_id (under one doc_id, the
+    smallest hash of the text) of each component.
 
-    Repeated rows of that doc_id are reduced to one; rows without doc_id are kept.
+    Rows of one doc_id with unrelated texts are documents of their own. Exact repeats of a row's doc_id and text are
+    reduced to one; rows without doc_id are kept.
     """
-    found = stored(near_duplicates(docs))
-    kept = found.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).union(docs.where("doc_id is null"))
-
-
+    least = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "th"))).alias("least")
+    of = roots_of(stored(fingerprints(docs).groupBy("fp").agg(least)))
+    kept = of.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.doc_id").alias("_kept_id"), F.col("least.th").alias("_kept_th"))
+    rows = docs.withColumn("_text_hash", text_hash())
+    rows = rows.join(stored(kept), (F.col("doc_id") == F.col("_kept_id")) & (F.col("_text_hash") == F.col("_kept_th")), "left_semi")
+    return rows.dropDuplicates(["doc_id", "_text_hash"]).drop("_text_hash").union(docs.where("doc_id is null"))

@@ -318,6 +318,14 @@ def test_simhash_against_all_pairs(spark):
     assert simhash.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_unrelated_texts_of_one_doc_id_both_stay(spark):
+    r = random.Random(4)
+    a, b, c = (" ".join("".join(r.choice("abcdefghij") for _ in range(5)) for _ in range(40)) for _ in range(3))
+    rows = [(1, a), (2, a), (2, b), (2, b), (3, b), (4, c), (4, a), (5, None), (5, ""), (None, a)]
+    got = sorted(((x.doc_id or 0, x.text or "") for x in simhash.first_of_each(docs(spark, rows)).collect()))
+    assert got == sorted([(0, a), (1, a), (2, b), (4, c), (5, "")])
+
+
 def test_ball_hashing_finds_all_within_radius(spark):
     r = random.Random(9)
     base = [r.getrandbits(64) for _ in range(30)]
