@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from dataclasses import replace
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -143,8 +144,8 @@ class Program:
         planner = Planner({k: Frame(d) for k, d in (datasets or {}).items()}, variables, mode)
         out = planner.plan(self.ast, Frame(df, order=tuple(Key(F.col(c)) for c in order)))
         self.tiers = planner.tiers.parts
-        if isinstance(out, Grouped):
-            raise Unsupported("groups as a result")
+        if isinstance(out, Grouped):  # arrays of rows
+            out = planner.per_group(N.Collect(N.Iterate(N.Identity())), replace(out, stream=True))
         done = out.df
         if out.order and not out.single:
             done = done.orderBy(*(k.sorted() for k in out.order))

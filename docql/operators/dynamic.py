@@ -79,7 +79,7 @@ def outputs(df: DataFrame, program: N.Node, column: str = "value", variables: di
 def structures(df: DataFrame, column: str = "value") -> DataFrame:
     """One row: the merged type structure of all JSON texts of column, as JSON text (null where there are none).
 
-    Each task merges its own rows in order and sends one structure on.
+    Each task merges its own rows and sends one structure on; one more task merges these.
     """
     ship(df.sparkSession)
 
@@ -105,4 +105,4 @@ def structures(df: DataFrame, column: str = "value") -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array([dumps(out) if found else None], pa.string())], names=["structure"])
 
     parts = df.select(F.col(column).cast("string")).mapInArrow(run, "structure string")
-    return parts.coalesce(1).mapInArrow(merge, "structure string")
+    return parts.repartition(1).mapInArrow(merge, "structure string")

@@ -63,8 +63,28 @@ class Frame:
 
 @dataclass(frozen=True)
 class Grouped:
+    """The groups of a frame, an array of arrays; stream: one array after the other."""
+
     frame: Frame
     keys: tuple[tuple[N.Node, One], ...]
+    stream: bool = False
+
+
+def reverse(order: tuple[Key, ...]) -> tuple[Key, ...]:
+    return tuple(Key(k.col, not k.down) for k in order)
+
+
+def rank_of(f: Frame, *first: One) -> Column | None:
+    """A column whose order is that of first and then of the frame; None where neither sets any."""
+    parts = [x.col for x in first]
+    for k in f.order:
+        if not k.down:
+            parts.append(k.col)
+        elif f.df.select(k.col.alias("k")).dtypes[0][1] in ("tinyint", "smallint", "int", "bigint", "float", "double"):
+            parts += [k.col.isNull(), -k.col]  # downwards nulls are last
+        else:
+            raise Unsupported("a descending order of other than numbers within groups")
+    return F.struct(*(p.alias(f"_{i}") for i, p in enumerate(parts))) if parts else None
 
 
 @dataclass
@@ -114,6 +134,10 @@ class Planner:
             return self.sliced(self.plan(n.args[1], f), self.number(n.args[0]), None, stream=True)
         if isinstance(n, N.Call) and (n.name, len(n.args)) == ("first", 1):
             return self.sliced(self.plan(n.args[0], f), 0, 1, stream=True)
+        if isinstance(n, N.Call) and (n.name, len(n.args)) == ("last", 1) and not f.stream and self.walks(n.args[0]):
+            return replace(self.at_place(self.plan(n.args[0], f), -1), stream=True, single=False)
+        if isinstance(n, N.Call) and (n.name, len(n.args)) == ("nth", 2) and not f.stream and self.walks(n.args[1]):
+            return replace(self.at_place(self.plan(n.args[1], f), max(0, self.number(n.args[0]))), stream=True, single=False)
         if isinstance(n, N.Comma) and not f.stream and self.walks(n.left) and self.walks(n.right):
             return replace(self.union(self.plan(n.left, f), self.plan(n.right, f)), stream=True)
         if f.stream or f.single:
@@ -150,7 +174,8 @@ class Planner:
         if isinstance(n, N.Iterate):
             return replace(self.plan(n.base, f), stream=True)
         if isinstance(n, N.Collect) and n.body is not None:
-            return replace(self.plan(n.body, f), stream=False, single=False)
+            got = self.plan(n.body, f)
+            return replace(got, stream=False) if isinstance(got, Grouped) else replace(got, stream=False, single=False)
         if isinstance(n, N.Slice):
             base = self.plan(n.base, f)
             start = self.number(n.start) if n.start else 0
@@ -158,12 +183,11 @@ class Planner:
             if start < 0 or (end is not None and end < 0):
                 if end is None and base.order:
                     # The last -start rows: the first ones of the opposite order, put right again.
-                    back = tuple(Key(k.col, not k.down) for k in base.order)
-                    return replace(self.sliced(replace(base, order=back), 0, -start), order=base.order)
+                    return replace(self.sliced(replace(base, order=reverse(base.order)), 0, -start), order=base.order)
                 raise Unsupported("a slice from the end of an unordered dataset")
             return self.sliced(base, start, end)
         if isinstance(n, N.Index):
-            return replace(self.sliced(self.plan(n.base, f), self.number(n.key), self.number(n.key) + 1), single=True)
+            return self.at_place(self.plan(n.base, f), self.number(n.key))
         if isinstance(n, N.Field):
             base = self.plan(n.base, f)
             if base.single:
@@ -218,8 +242,7 @@ class Planner:
         return Frame(df, isinstance(out.type, T.StructType), f.stream, (), f.single)
 
     def interpreted(self, n: N.Node, f: Frame) -> Frame:
-        text = F.col("value") if f.json else F.to_json(f.row.col, {"ignoreNullFields": "false"}) if isinstance(f.type, (T.StructType, T.ArrayType, T.MapType)) else F.col("value").cast("string") if not isinstance(f.type, T.StringType) else COMPILE.json(f.row)
-        got = outputs(f.df.select(text.alias("value")), n, variables=self.plain, mode=self.mode)
+        got = outputs(f.df.select(self.text(f).alias("value")), n, variables=self.plain, mode=self.mode)
         return Frame(got.select("value") if self.mode == "failfast" else got.select("value", "_error"), False, True, json=True)
 
     def selected(self, cond: N.Node, f: Frame) -> Frame:
@@ -235,6 +258,16 @@ class Planner:
 
     # Order and number
 
+    def at_place(self, f: Frame, k: int) -> Frame:
+        """Row k of the array, from the end if below 0; no row where the language has null."""
+        if isinstance(f, Grouped):
+            raise Unsupported("one of the groups")
+        if k < 0:
+            if not f.order:
+                raise Unsupported("a place from the end of an unordered dataset")
+            f, k = replace(f, order=reverse(f.order)), -k - 1
+        return replace(self.sliced(f, k, k + 1), single=True)
+
     def sliced(self, f: Frame, start: int, end: int | None, stream: bool | None = None) -> Frame:
         df = f.df.orderBy(*(k.sorted() for k in f.order)) if f.order else f.df
         if end is not None:
@@ -269,13 +302,23 @@ class Planner:
     def array_reverse(self, n, f):
         if not f.order:
             raise Unsupported("the reverse of an unordered dataset")
-        return replace(f, order=tuple(Key(k.col, not k.down) for k in f.order))
+        return replace(f, order=reverse(f.order))
+
+    def array_last(self, n, f):
+        if n.args:
+            raise Unsupported("last of a generator")
+        return self.at_place(f, -1)
+
+    def array_nth(self, n, f):
+        if len(n.args) != 1:
+            raise Unsupported("nth of a generator")
+        return self.at_place(f, self.number(n.args[0]))
 
     def array_map(self, n, f):
         return self.plan(N.Collect(N.Pipe(EVERY, n.args[0])), f)
 
     def array_first(self, n, f):
-        return replace(self.sliced(f, 0, 1), stream=True)
+        return self.at_place(f, 0)
 
     def array_unique(self, n, f):
         df = f.df.distinct()
@@ -283,24 +326,26 @@ class Planner:
 
     def array_unique_by(self, n, f):
         keys = self.keys(n.args, f)
-        if any(k.down for k in f.order):
+        try:
+            rank = rank_of(f)
+        except Unsupported:
             place = Window.partitionBy(*(k.col for k in keys)).orderBy(*(k.sorted() for k in f.order))
             return replace(f, df=f.df.withColumn("_first", F.row_number().over(place)).where("_first = 1").drop("_first"))
         # An aggregate meets halfway in each task, so a frequent key is no hot one.
-        row = F.min_by(f.row.col, F.struct(*(k.col for k in f.order))) if f.order else F.first(f.row.col)
+        row = F.first(f.row.col) if rank is None else F.min_by(f.row.col, rank)
         found = f.df.groupBy(*(k.col.alias(f"_k{i}") for i, k in enumerate(keys))).agg(row.alias("value"))
         return replace(f, df=found.select("value.*") if f.flat else found.select("value"))
 
     def array_group_by(self, n, f):
         return Grouped(f, tuple((k, one(COMPILE(k, self.scope(f)))) for k in _key_parts(n.args[0])))
 
-    def array_min_by(self, n, f, down: bool = False):
-        keys = self.keys(n.args, f)
-        ordered = replace(f, order=(*(Key(k.col, down) for k in keys), *f.order))
-        return replace(self.sliced(ordered, 0, 1), single=True)
+    def array_min_by(self, n, f):
+        """Of equal ones the first."""
+        return self.at_place(replace(f, order=(*(Key(k.col) for k in self.keys(n.args, f)), *f.order)), 0)
 
     def array_max_by(self, n, f):
-        return self.array_min_by(n, f, down=True)
+        """Of equal ones the last."""
+        return self.at_place(replace(f, order=(*(Key(k.col, True) for k in self.keys(n.args, f)), *reverse(f.order))), 0)
 
     def array_JOIN(self, n, f):
         """JOIN($i; key): pairs of each row and what the index holds for its key, by a left join."""
@@ -317,14 +362,39 @@ class Planner:
     # Sets
 
     def union(self, a: Frame, b: Frame) -> Frame:
-        return Frame(a.df.unionByName(b.df, allowMissingColumns=True), a.flat, a.stream)
+        """Values of unlike types, or objects of unlike fields, go on as JSON texts."""
+        if a.json or b.json or self.unlike(a, b):
+            texts = [x.df.select(self.text(x).alias("value")) for x in (a, b)]
+            return Frame(texts[0].union(texts[1]), False, a.stream, json=True)
+        return Frame(a.df.unionByName(b.df), a.flat, a.stream)
+
+    def unlike(self, a: Frame, b: Frame) -> bool:
+        if a.flat != b.flat or set(a.df.columns) != set(b.df.columns):
+            return True
+        for c in a.df.columns:
+            x, y = a.df.schema[c].dataType, b.df.schema[c].dataType
+            if x != y and not (C.is_number(x) and C.is_number(y)):
+                return True
+        return False
+
+    def text(self, f: Frame) -> Column:
+        """The JSON text of each row."""
+        if f.json:
+            return F.col("value")
+        if isinstance(f.type, (T.StructType, T.ArrayType, T.MapType)):
+            return F.to_json(f.row.col, {"ignoreNullFields": "false"})
+        return COMPILE.json(f.row)
 
     def difference(self, a: Frame, b: Frame) -> Frame:
-        """Rows of a that equal none of b; a's own repeats stay."""
+        """Rows of a that equal none of b; a's own repeats stay. Objects of unlike fields are never equal."""
+        if a.json or b.json:
+            raise Unsupported("the difference of values without a known type")
+        if self.unlike(a, b):
+            return a
         other = b.df.distinct().select(*(F.col(f"`{c}`").alias(f"_r_{c}") for c in b.df.columns))
         same = F.lit(True)
         for c in a.df.columns:
-            same = same & (F.col(f"`{c}`").eqNullSafe(F.col(f"`_r_{c}`")) if c in b.df.columns else F.lit(False))
+            same = same & F.col(f"`{c}`").eqNullSafe(F.col(f"`_r_{c}`"))
         return replace(a, df=a.df.join(other, same, "left_anti"))
 
     def membership(self, cond: N.Node, f: Frame) -> Frame | None:
@@ -419,7 +489,10 @@ class Planner:
             key_node = _untext(m.key)
             key = one(COMPILE(key_node, self.scope(f)))
             own = one(COMPILE(_untext(by), self.scope(held)))
-            found = held.df.select(own.col.cast("string").alias(f"_k{i}"), held.row.col.alias(f"_v{i}")).groupBy(f"_k{i}").agg(F.last(f"_v{i}").alias(f"_v{i}"))
+            # Of equal keys the last counts, any one where the dataset has no order.
+            rank = rank_of(held)
+            found = held.df.select(own.col.cast("string").alias(f"_k{i}"), held.row.col.alias(f"_v{i}"), (F.lit(0) if rank is None else rank).alias("_r"))
+            found = found.groupBy(f"_k{i}").agg((F.last(f"_v{i}") if rank is None else F.max_by(f"_v{i}", "_r")).alias(f"_v{i}"))
             df = df.join(found, key.col.cast("string") == F.col(f"_k{i}"), "left").drop(f"_k{i}")
             self.variables[f"_v{i}"] = One(F.col(f"_v{i}"), held.type)
             n = _replace(n, m, N.Variable(f"_v{i}"))
@@ -440,98 +513,142 @@ class Planner:
         return Frame(agg(out.col.alias("value")), False, False, (), True)
 
     def on_groups(self, n: N.Node, g: Grouped) -> Frame | Grouped:
+        if g.stream:
+            return self.per_group(n, g)
+        if isinstance(n, N.Identity):
+            return g
         if isinstance(n, N.Pipe):
             return self.plan(n.right, self.on_groups(n.left, g))
         if n == N.Call("length", ()):
             return self._one_row(One(F.count_distinct(F.struct(*(k.col for _, k in g.keys))), LONG), g.frame.df.agg)
-        body = None
         if isinstance(n, N.Call) and n.name == "map":
-            body, stream = n.args[0], False
-        elif isinstance(n, N.Collect) and isinstance(n.body, N.Pipe) and n.body.left == EVERY:
-            body, stream = n.body.right, False
-        elif isinstance(n, N.Iterate) and isinstance(n.base, N.Identity):
-            return replace_body(g)
-        if body is None:
-            raise Unsupported("this use of groups")
-        return self.per_group(body, g, stream)
-
-    def per_group(self, body: N.Node, g: Grouped, stream: bool) -> Frame:
-        after = None
-        if isinstance(body, N.Pipe) and isinstance(body.right, N.Call) and body.right.name == "select":
-            body, after = body.left, body.right
+            return replace(self.plan(n.args[0], replace(g, stream=True)), stream=False)
+        if isinstance(n, N.Collect) and n.body is not None:
+            return replace(self.plan(n.body, g), stream=False)
+        if isinstance(n, N.Iterate) and isinstance(n.base, N.Identity):
+            return replace(g, stream=True)
+        raise Unsupported("this use of groups")
+
+    def per_group(self, body: N.Node, g: Grouped) -> Frame | Grouped:
+        """body for every group: as much of its pipe as there are aggregates for, the rest for each of their rows."""
+        parts = _parts(body)
+        if parts == [IDENTITY]:
+            return g
+        having = []
+        while parts and isinstance(parts[0], N.Call) and parts[0].name == "select" and len(parts[0].args) == 1:
+            having.append(parts.pop(0).args[0])
         names = [f"_g{i}" for i in range(len(g.keys))]
         frame = replace(g.frame, df=g.frame.df.withColumns({name: k.col for name, (_, k) in zip(names, g.keys, strict=True)}))
-        inner = replace(g.frame, df=frame.df)
         keys = tuple((n, One(F.col(name), k.type)) for name, (n, k) in zip(names, g.keys, strict=True))
-        out = Aggregates(self, _Narrow(inner.df, g.frame), keys).value(body)
+        of_groups = Aggregates(self, _Narrow(frame.df, g.frame), keys)
+        kept = [truthy(of_groups.value(c)) for c in having]
+        out, used = None, len(parts)
+        while out is None:
+            try:
+                out = of_groups.value(_pipe(parts[:used]))
+            except Unsupported:
+                used -= 1
+                if used < 1:
+                    raise
         self.tiers.note("T1", N.Call("group_by", ()))
-        grouped = frame.df.groupBy(*names).agg(out.col.alias("value")).orderBy(*(F.col(c).asc_nulls_first() for c in names))
+        made = frame.df.groupBy(*names).agg(out.col.alias("value"), *(c.alias(f"_h{i}") for i, c in enumerate(kept)))
+        for i in range(len(kept)):
+            made = made.where(F.col(f"_h{i}"))
+        made = made.orderBy(*(F.col(c).asc_nulls_first() for c in names))
         if isinstance(out.type, T.StructType):
-            made = Frame(grouped.select(*(F.col("value")[c].alias(c) for c in out.type.names)), True, stream)
+            made = Frame(made.select(*(F.col("value")[c].alias(c) for c in out.type.names)), True, True)
         else:
-            made = Frame(grouped.select("value"), False, stream)
-        if after is not None:
-            made = replace(self.selected(after.args[0], made), stream=stream)
-        return made
+            made = Frame(made.select("value"), False, True)
+        return self.plan(_pipe(parts[used:]), made) if used < len(parts) else made
 
     def reduced(self, n: N.Reduce, f: Frame) -> Frame:
-        """reduce .[] as $x (a; . + e) and (a; .[k] += e): sums, of all and by key."""
+        """reduce .[] as $x (a; . + e) and (a; .[k] += e): sums, of all and by key (a row for each key of the object)."""
         source = self.plan(n.source, f)
         if not isinstance(n.pattern, N.VarPattern) or not source.stream:
             raise Unsupported("this reduce")
-        start = one(COMPILE(n.start, Scope(literal(None), self.variables, self.functions)))
+        try:
+            start = next(run(n.start, None, self.plain), None)
+        except (JqError, ProgramError):
+            raise Unsupported("a start of reduce that isn't constant") from None
         scope = Scope(literal(None), {**self.variables, n.pattern.name: source.row}, self.functions)
         u = n.update
         if isinstance(u, N.Assign) and u.op == "+=" and isinstance(u.target, N.Index) and isinstance(u.target.base, N.Identity):
             key, value = one(COMPILE(u.target.key, scope)), one(COMPILE(u.value, scope))
-            out = source.df.groupBy(key.col.cast("string").alias("key")).agg(F.sum(value.col).alias("value"))
-            return Frame(out, True, False, (Key(F.col("key")),))
-        if isinstance(u, N.Arithmetic) and u.op == "+" and isinstance(u.left, N.Identity):
-            value = one(COMPILE(u.right, scope))
-            t = C.common(start.type, value.type)
-            return self._one_row(One(F.coalesce(F.sum(value.col), F.lit(0).cast(t)) + start.col, t), source.df.agg)
+            if not isinstance(key.type, T.StringType) or not C.is_number(value.type) or not (start is None or isinstance(start, dict)):
+                raise Unsupported("this update in reduce")
+            if any(isinstance(v, bool) or not isinstance(v, (int, float)) for v in (start or {}).values()):
+                raise Unsupported("a start of other than numbers")
+            named = F.when(key.col.isNotNull(), key.col).otherwise(F.raise_error(F.lit("null is no key of an object")))
+            kind = LONG if isinstance(value.type, T.IntegralType) and all(isinstance(v, int) for v in (start or {}).values()) else C.DOUBLE
+            rows = source.df.select(named.alias("key"), value.col.cast(kind).alias("value"))
+            if start:
+                rows = rows.union(f.df.sparkSession.createDataFrame([*start.items()], T.StructType([T.StructField("key", C.STRING), T.StructField("value", kind)])))
+            return Frame(rows.groupBy("key").agg(F.sum("value").alias("value")), True, False, (Key(F.col("key")),))
+        if isinstance(u, N.Arithmetic) and u.op == "+" and isinstance(u.left, N.Identity) and not isinstance(start, (dict, list, str)):
+            value, first = one(COMPILE(u.right, scope)), literal(start)
+            if not C.is_number(value.type):
+                raise Unsupported("this update in reduce")
+            t = C.common(first.type, value.type)
+            total = F.sum(value.col.cast(t))
+            return self._one_row(One(total if start is None else F.coalesce(total, F.lit(0).cast(t)) + first.col, t), source.df.agg)
         raise Unsupported("this update in reduce")
 
-    def numbered(self, f: Frame) -> DataFrame:
-        """The rows with their places _i, from 0, in order: dealt by ranges of the order and counted, none sorted in one task."""
+    def dealt(self, f: Frame, extra: dict[str, Column], names: list[str]) -> tuple[DataFrame, list[Column]]:
+        """The columns of names and of extra, dealt by ranges of the order (number _part) and stored; and the order in it.
+
+        Stored, as a range's borders are sampled anew in each run of a plan.
+        """
         if not f.order:
             raise Unsupported("places in an unordered dataset")
-        keys = [k.sorted() for k in f.order]
-        # Stored, as a range's borders are sampled anew in each run of a plan.
-        dealt = stored(f.df.repartitionByRange(*keys).withColumn("_part", F.spark_partition_id()))
+        held = {f"_o{i}": k.col for i, k in enumerate(f.order)}
+        keys = [Key(F.col(f"_o{i}"), k.down).sorted() for i, k in enumerate(f.order)]
+        rows = f.df.select(*(F.col(f"`{c}`") for c in names), *(c.alias(name) for name, c in {**held, **extra}.items()))
+        return stored(rows.repartitionByRange(*keys).withColumn("_part", F.spark_partition_id())), keys
+
+    def numbered(self, f: Frame, names: list[str]) -> DataFrame:
+        """The columns of names with the rows' places _i, from 0, in order: ranges are counted, none is sorted with others."""
+        dealt, keys = self.dealt(f, {}, names)
         before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
         counts = dealt.groupBy("_part").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
         place = F.row_number().over(Window.partitionBy("_part").orderBy(*keys)) - 1
-        return dealt.withColumn("_at", place).join(counts, "_part").withColumn("_i", (F.col("_at") + F.col("_before")).cast("long")).drop("_part", "_at", "_before")
+        rows = dealt.withColumn("_at", place).join(F.broadcast(counts), "_part").withColumn("_i", (F.col("_at") + F.col("_before")).cast("long"))
+        return rows.select("_i", *(F.col(f"`{c}`") for c in names))
 
     def by_place(self, n: N.Bind, f: Frame) -> Frame:
-        """range(length) as $i | .. .[$i + k] ..: row numbers, and the rows k places on by a join on the place.
+        """range(length) as $i | .. .[$i + k] ..: row numbers, and the rows k places on.
 
-        As in an array, a negative place counts from the end, and one beyond the end has null.
+        As in an array, a negative place counts from the end, and one beyond the end has null. Rows with constant k are
+        found by a window over runs of PLACES rows, each with the rows next to it; others by a join on the place.
         """
         name = n.patterns[0].name
-        rows = self.numbered(f)
-        seen = _Narrow(rows, f)
-        size = f.df.count()
-        place = One(F.col("_i"), LONG)
-        known = {**self.variables, name: place}
-        body, df = n.body, rows.select("_i", seen.row.col.alias("_w0"))
         found = [m for m in dict.fromkeys(_all(n.body)) if isinstance(m, N.Index) and isinstance(m.base, N.Identity) and name in _uses(m.key)]
-        for k, m in enumerate(found, 1):
-            at = one(COMPILE(m.key, Scope(literal(None), known, self.functions)))
-            if m.key == N.Variable(name):
-                known[f"_w{k}"] = One(F.col("_w0"), f.type)
-            else:
+        used = _fields_of(n.body, found)
+        names = [c for c in f.df.columns if not f.flat or used is None or c in used]
+        rows = stored(self.numbered(f, names))
+        seen = _Narrow(rows, replace(f, df=f.df.select(*(F.col(f"`{c}`") for c in names))))
+        size = rows.count()
+        known = {**self.variables, name: One(F.col("_i"), LONG)}
+        steps = [_step(m.key, name) for m in found]
+        body = n.body
+        if all(k is not None and abs(k) <= PLACES for k in steps):
+            df = _with_neighbours(rows.select("_i", seen.row.col.alias("_w")), size, sorted({*steps, 0}))
+            for m, k in zip(found, steps, strict=True):
+                known[f"_w{k}"] = One(F.col(f"_w{k}"), seen.type)
+                body = _replace(body, m, N.Variable(f"_w{k}"))
+        else:
+            df = rows.select("_i", seen.row.col.alias("_w0"))
+            for k, m in enumerate(found, 1):
+                at = one(COMPILE(m.key, Scope(literal(None), known, self.functions)))
                 other = rows.select(F.col("_i").alias(f"_j{k}"), seen.row.col.alias(f"_w{k}"))
                 wanted = F.when(at.col < 0, at.col + size).otherwise(at.col)
                 df = df.join(other, wanted == F.col(f"_j{k}"), "left").drop(f"_j{k}")
-                known[f"_w{k}"] = One(F.col(f"_w{k}"), f.type)
-            body = _replace(body, m, N.Variable(f"_w{k}"))
+                known[f"_w{k}"] = One(F.col(f"_w{k}"), seen.type)
+                body = _replace(body, m, N.Variable(f"_w{k}"))
         self.tiers.note("T1", n)
         return self.shown(COMPILE(body, Scope(literal(None), known, self.functions)), Frame(df, True, True, (Key(F.col("_i")),)))
 
     def running(self, n: N.Foreach, f: Frame) -> Frame:
-        """foreach .[] as $x (a; . + e; out) and (a; [., e] | max; out): a running sum or maximum over the order of rows.
+        """foreach .[] as $x (a; . + e; out) and (a; [., e] | max; out), or min: a running sum, maximum or minimum over the order of rows.
 
         A window without partition puts all rows into one task, so rows are dealt by ranges of the order,
         folded per range, and every row adds what the ranges before its own give.
@@ -540,22 +657,40 @@ class Planner:
         if not (isinstance(n.pattern, N.VarPattern) and source.stream and source.order):
             raise Unsupported("this foreach")
         step_node, fold = _folded(n.update)
-        scope = Scope(literal(None), {**self.variables, n.pattern.name: source.row}, self.functions)
+        name = n.pattern.name
+        scope = Scope(literal(None), {**self.variables, name: source.row}, self.functions)
         step, start = one(COMPILE(step_node, scope)), one(COMPILE(n.start, Scope(literal(None), self.variables, self.functions)))
         t = C.common(start.type, step.type)
-        over = F.sum if fold == "+" else F.max
-        none = F.lit(0 if fold == "+" else None).cast(t)
-        keys = [k.sorted() for k in source.order]
-        dealt = stored(source.df.withColumn("_step", step.col.cast(t)).repartitionByRange(*keys).withColumn("_part", F.spark_partition_id()))
+        if not C.is_number(t):
+            raise Unsupported("a running value of other than numbers")
+        used = _fields_of(n.extract or IDENTITY, [N.Variable(name)])
+        names = [c for c in source.df.columns if not source.flat or used is None or c in used]
+        dealt, keys = self.dealt(source, {"_step": step.col.cast(t)}, names)
         before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-        ranges = dealt.groupBy("_part").agg(over("_step").alias("_s")).withColumn("_before", F.coalesce(over("_s").over(before), none)).drop("_s")
         within = Window.partitionBy("_part").orderBy(*keys).rowsBetween(Window.unboundedPreceding, 0)
-        made = dealt.withColumn("_run", F.coalesce(over("_step").over(within), none)).join(ranges, "_part")
-        state = F.col("_run") + F.col("_before") + F.coalesce(start.col, none) if fold == "+" else F.greatest("_run", "_before", start.col.cast(t))
-        made = made.withColumn("_state", state)
+        first = F.lit(None).cast(t) if isinstance(start.type, T.NullType) else start.col.cast(t)
+
+        def folded(over: Callable, combine: Callable, step: str) -> Column:
+            """over: the aggregate; combine: of the parts, each of which may be null."""
+            ranges = dealt.groupBy("_part").agg(over(step).alias("_s")).withColumn("_before", over("_s").over(before)).drop("_s")
+            return dealt.withColumn("_run", over(step).over(within)).join(F.broadcast(ranges), "_part").withColumn("_state", combine(F.col("_run"), F.col("_before"), first))
+
+        if fold == "+":
+            added = lambda *parts: F.when(F.coalesce(*parts).isNotNull(), sum((F.coalesce(x, F.lit(0).cast(t)) for x in parts[1:]), F.coalesce(parts[0], F.lit(0).cast(t))))
+            made = folded(F.sum, added, "_step")
+        elif fold == "max":
+            made = folded(F.max, F.greatest, "_step")
+        else:  # null is less than any number
+            made = folded(F.min, F.least, "_step")
+            nulls = F.max(F.col("_step").isNull()).over(within)
+            ranges = dealt.groupBy("_part").agg(F.max(F.col("_step").isNull()).alias("_s")).withColumn("_holes", F.max("_s").over(before)).drop("_s")
+            holes = nulls | F.coalesce(F.col("_holes"), F.lit(False)) | first.isNull()
+            made = made.join(F.broadcast(ranges), "_part").withColumn("_state", F.when(~holes, F.col("_state")))
         state = One(F.col("_state"), t)
-        out = state if n.extract is None else COMPILE(n.extract, Scope(state, {**self.variables, n.pattern.name: source.row}, self.functions))
-        return self.shown(out, Frame(made, True, True))
+        seen = _Narrow(made, replace(source, df=source.df.select(*(F.col(f"`{c}`") for c in names))))
+        out = state if n.extract is None else COMPILE(n.extract, Scope(state, {**self.variables, name: seen.row}, self.functions))
+        order = tuple(Key(F.col(f"_o{i}"), k.down) for i, k in enumerate(source.order))
+        return self.shown(out, Frame(made, True, True, order))
 
 
 class Aggregates:
@@ -582,11 +717,15 @@ class Aggregates:
         base, name = (n.base, n.name) if isinstance(n, N.Field) else (None, None)
         if base is not None:
             return C.pick_field(self.value(base), name)
-        if isinstance(n, N.Index) and n.key == N.Literal(0) and isinstance(n.base, N.Identity):
-            return One(F.first(self.f.row.col), self.f.type)
-        if isinstance(n, N.Call) and n.name in ("min_by", "max_by"):
-            by = one(COMPILE(n.args[0], self.p.scope(self.f)))
-            return One((F.min_by if n.name == "min_by" else F.max_by)(self.f.row.col, by.col), self.f.type)
+        if n in (N.Index(IDENTITY, N.Literal(0)), N.Call("first", ())):
+            rank = rank_of(self.f)
+            return One(F.first(self.f.row.col) if rank is None else F.min_by(self.f.row.col, rank), self.f.type)
+        if n in (N.Index(IDENTITY, N.Negate(N.Literal(1))), N.Index(IDENTITY, N.Literal(-1)), N.Call("last", ())) and (rank := rank_of(self.f)) is not None:
+            return One(F.max_by(self.f.row.col, rank), self.f.type)
+        if isinstance(n, N.Call) and n.name in ("min_by", "max_by") and len(n.args) == 1:
+            by = [one(COMPILE(k, self.p.scope(self.f))) for k in _key_parts(n.args[0])]
+            rank = rank_of(self.f, *by)  # of equal keys the first, or the last
+            return One((F.min_by if n.name == "min_by" else F.max_by)(self.f.row.col, rank), self.f.type)
         if isinstance(n, N.Pipe):
             n = _rotated(n)
             if isinstance(n.left, N.Pipe) and (n.left.right, n.right) == (N.Call("unique", ()), N.Call("length", ())) and (rows := self.elements(n.left.left)) is not None:
@@ -596,7 +735,8 @@ class Aggregates:
             rows = self.elements(n.left)
             if rows is not None and isinstance(n.right, N.Call) and (done := self.terminal(n.right, *rows)) is not None:
                 return done
-            return one(COMPILE(n.right, Scope(self.value(n.left), self.p.variables, self.p.functions)))
+            left = self.value(n.left) if rows is None else self.collected(*rows)
+            return one(COMPILE(n.right, Scope(left, self.p.variables, self.p.functions)))
         if isinstance(n, N.Call):
             done = self.terminal(n, self.f.row, None)
             if done is not None:
@@ -609,8 +749,25 @@ class Aggregates:
                 rows = self.elements(N.Collect(n.args[0]))
                 if rows is not None:
                     return self.terminal(N.Call("add", ()), *rows)
+        if (rows := self.elements(n)) is not None:
+            return self.collected(*rows)
+        if isinstance(n, N.Collect) and n.body is not None:
+            made = [self.value(x) for x in _commas(n.body)]
+            t = made[0].type
+            for x in made[1:]:
+                t = C.common(t, x.type)
+            return One(F.array(*(C.cast(x, t) for x in made)), T.ArrayType(t))
         raise Unsupported(f"{type(n).__name__} of a group")
 
+    def collected(self, row: One, cond: Column | None) -> One:
+        """The array of what the rows of a group give, in their order. All rows of a dataset are no such group."""
+        if not self.keys:
+            raise Unsupported("an array of all rows")
+        rank = rank_of(self.f)
+        held = F.struct((F.lit(0) if rank is None else rank).alias("r"), row.col.alias("v"))
+        found = F.collect_list(held if cond is None else F.when(cond, held))
+        return One((found if rank is None else F.array_sort(found, lambda a, b: F.when(a["r"] < b["r"], -1).when(a["r"] > b["r"], 1).otherwise(0)))["v"], T.ArrayType(row.type))
+
     def key_of(self, n: N.Node) -> One | None:
         """.[0].k of a group: the group's key, if k is one."""
         for k, v in self.keys:
@@ -665,7 +822,10 @@ class Aggregates:
             test = truthy(row)
             return One(F.coalesce(F.bool_and(test if cond is None else F.when(cond, test)), F.lit(True)), C.BOOL)
         if n == N.Call("unique", ()):
-            return One(F.sort_array(F.collect_set(col)), T.ArrayType(row.type))
+            hole = row.col.isNull() if cond is None else cond & row.col.isNull()
+            none = F.array().cast(T.ArrayType(row.type))
+            nulls = F.when(F.max(hole), F.array(F.lit(None).cast(row.type))).otherwise(none)
+            return One(F.concat(nulls, F.sort_array(F.collect_set(col))), T.ArrayType(row.type))
         return None
 
 
@@ -689,13 +849,72 @@ def _folded(u: N.Node) -> tuple[N.Node, str]:
     """What each row adds to the state, and how: "+" of . + e, "max" of [., e] | max."""
     if isinstance(u, N.Arithmetic) and u.op == "+" and isinstance(u.left, N.Identity):
         return u.right, "+"
-    if isinstance(u, N.Pipe) and u.right == N.Call("max", ()) and isinstance(u.left, N.Collect) and isinstance(u.left.body, N.Comma) and isinstance(u.left.body.left, N.Identity):
-        return u.left.body.right, "max"
+    if isinstance(u, N.Pipe) and u.right in (N.Call("max", ()), N.Call("min", ())) and isinstance(u.left, N.Collect) and isinstance(u.left.body, N.Comma) and isinstance(u.left.body.left, N.Identity):
+        return u.left.body.right, u.right.name
     raise Unsupported("this update in foreach")
 
 
-def replace_body(g: Grouped):
-    raise Unsupported("groups as a stream of arrays")
+#: Rows of a run whose neighbours are looked up together.
+PLACES = 50_000
+
+
+def _step(key: N.Node, name: str) -> int | None:
+    """k of $i + k, None for other places."""
+    if key == N.Variable(name):
+        return 0
+    if isinstance(key, N.Arithmetic) and key.op in "+-" and key.left == N.Variable(name) and isinstance(key.right, N.Literal) and type(key.right.value) is int:
+        return key.right.value if key.op == "+" else -key.right.value
+    return None
+
+
+def _with_neighbours(rows: DataFrame, size: int, steps: list[int]) -> DataFrame:
+    """rows (_i, _w) of places 0 to size - 1, with _w<k> of the row k places on for every step k.
+
+    Each run of PLACES places gets the rows just before and after it, and the first run the last rows, as places below 0.
+    """
+    reach = max(map(abs, steps))
+    i, n = F.col("_i"), F.lit(PLACES)
+    run_of = F.floor(i / n)
+    copies = [(F.lit(True), run_of, i)]
+    if reach:
+        copies += [(i % n < reach, run_of - 1, i), (i % n >= n - reach, run_of + 1, i), (i >= size - reach, F.lit(0), i - size)]
+    placed = F.array(*(F.when(test, F.struct(run.cast("long").alias("run"), at.cast("long").alias("at"))) for test, run, at in copies))
+    each = rows.withColumn("_p", F.explode(F.filter(placed, lambda x: x.isNotNull()))).select("_w", F.col("_p.run").alias("_run"), F.col("_p.at").alias("_i"))
+    over = Window.partitionBy("_run").orderBy("_i")
+    each = each.withColumns({f"_w{k}": F.lead("_w", k).over(over) if k > 0 else F.lag("_w", -k).over(over) if k else F.col("_w") for k in steps})
+    return each.where((F.col("_i") >= 0) & (F.floor(i / n) == F.col("_run"))).drop("_run", "_w")
+
+
+def _fields_of(n: N.Node, wholes: list[N.Node]) -> set[str] | None:
+    """The fields that n uses of the objects that wholes stand for; None where it may use all."""
+    if n in wholes:
+        return None
+    if isinstance(n, N.Field) and n.base in wholes:
+        return {n.name}
+    out: set[str] = set()
+    for c in n.children():
+        found = _fields_of(c, wholes)
+        if found is None:
+            return None
+        out |= found
+    return out
+
+
+def _parts(n: N.Node) -> list[N.Node]:
+    return [*_parts(n.left), *_parts(n.right)] if isinstance(n, N.Pipe) else [n]
+
+
+def _commas(n: N.Node) -> list[N.Node]:
+    return [*_commas(n.left), *_commas(n.right)] if isinstance(n, N.Comma) else [n]
+
+
+def _pipe(parts: list[N.Node]) -> N.Node:
+    if not parts:
+        return IDENTITY
+    out = parts[0]
+    for p in parts[1:]:
+        out = N.Pipe(out, p)
+    return out
 
 
 class _Narrow(Frame):
