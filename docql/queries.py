@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 
 from docql.engine import compile_program, structures
+from docql.language_queries import LANGUAGE
 from docql.sources.tables import read_table
 
 
@@ -261,6 +262,9 @@ QUERIES: dict[str, Query | Callable] = {
 }
 
 
+QUERIES |= {name: Query(table, program, sql) for name, (table, program, sql) in LANGUAGE.items()}
+
+
 def props_query(program: str, language: str = "jq") -> Callable[[SparkSession, str], DataFrame]:
     """A program over the JSON texts of events.props, by the interpreter."""
 
