@@ -29,6 +29,8 @@ SHINGLE, SEED, RADIUS = 3, 42, 3
 GROUP_VARIANTS = 1_000_000
 #: Fingerprints whose variants are made at once, which bounds a task's memory.
 PART = 500
+#: Groups that one step of sending tells apart, bytes of variants that a later step sorts at once, fingerprints of a task.
+FAN, STEP_BYTES, TASK_PRINTS = 1_000, 32 << 20, 20_000
 SELF = 4096
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -127,36 +129,81 @@ def met(values: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return pairs[:, 0], pairs[:, 1]
 
 
-def links(fps: DataFrame) -> DataFrame:
-    """Distinct fingerprints (fp) to links (a, b) that join all within the radius, directly or through others."""
-    spark = fps.sparkSession
-    ship(spark)
-    groups = max(1, fps.count() * 560 // GROUP_VARIANTS)
-    sent = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("packed", T.BinaryType())])
+def packed(parts: np.ndarray, values: np.ndarray, codes: np.ndarray) -> pa.RecordBatch:
+    """A row (part, packed) for every part that has variants, none for others."""
+    order = np.argsort(parts, kind="stable")
+    parts, values, codes = parts[order], values[order], codes[order]
+    starts = np.flatnonzero(np.concatenate([[True], parts[1:] != parts[:-1]])) if len(parts) else np.zeros(0, np.int64)
+    rows = [values[s:e].tobytes() + codes[s:e].tobytes() for s, e in zip(starts, [*starts[1:], len(parts)])]
+    return pa.RecordBatch.from_arrays([pa.array(parts[starts].astype(np.int64)), pa.array(rows, pa.binary())], names=["part", "packed"])
+
+
+def unpacked(rows: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    values, codes = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint16)]
+    for x in rows:
+        raw = x.as_buffer()
+        n = len(raw) // 10
+        values.append(np.frombuffer(raw, np.uint64, n))
+        codes.append(np.frombuffer(raw, np.uint16, n, 8 * n))
+    return np.concatenate(values), np.concatenate(codes)
+
+
+def sent(fps: DataFrame, n: int, group_variants: int = GROUP_VARIANTS, fan: int = FAN) -> DataFrame:
+    """The variants of n fingerprints, packed by group: (part, packed).
 
-    def send(batches):
+    A task can't send a row to each of any number of groups, or rows would grow with the square of n. So groups
+    are reached in steps of fan at most, each a shuffle of all variants: PART fingerprints send fan rows a step, and
+    steps grow with the logarithm of n only (one up to FAN groups, that is 1.8 million fingerprints; two up to
+    1.8 billion).
+    """
+    groups = max(1, n * 560 // group_variants)
+    steps = 1
+    while fan**steps < groups:
+        steps += 1
+
+    def part_of(values: np.ndarray, step: int) -> np.ndarray:
+        return ((values * MIX) >> np.uint64(24)) % np.uint64(groups) // np.uint64(fan ** (steps - 1 - step))
+
+    def first(batches):
         for batch in batches:
             all_fps = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
             for at in range(0, len(all_fps), PART):
                 values, codes = variants(all_fps[at : at + PART])
-                part = ((values * MIX) >> np.uint64(40)) % np.uint64(groups)
-                order = np.argsort(part, kind="stable")
-                values, codes = values[order], codes[order]
-                ends = np.cumsum(np.bincount(part.astype(np.int64), minlength=groups))
-                packed = [values[s:e].tobytes() + codes[s:e].tobytes() for s, e in zip([0, *ends[:-1]], ends)]
-                yield pa.RecordBatch.from_arrays([pa.array(range(groups), pa.int32()), pa.array(packed, pa.binary())], names=["part", "packed"])
+                yield packed(part_of(values, 0), values, codes)
+
+    def further(step: int):
+        def run(batches):
+            held, size = [], 0
+            for batch in batches:
+                for x in batch.column(0):
+                    held.append(x)
+                    size += len(x.as_buffer())
+                    if size > STEP_BYTES:
+                        values, codes = unpacked(held)
+                        yield packed(part_of(values, step), values, codes)
+                        held, size = [], 0
+            values, codes = unpacked(held)
+            yield packed(part_of(values, step), values, codes)
+
+        return run
+
+    schema = "part long, packed binary"
+    spread = max(fps.sparkSession.sparkContext.defaultParallelism, n // TASK_PRINTS)
+    out = fps.select("fp").repartition(spread).mapInArrow(first, schema)
+    for step in range(1, steps):
+        out = out.repartition(spread, "part").select("packed").mapInArrow(further(step), schema)
+    return out
+
+
+def links(fps: DataFrame) -> DataFrame:
+    """Distinct fingerprints (fp) to links (a, b) that join all within the radius, directly or through others."""
+    ship(fps.sparkSession)
 
     def meet(table: pa.Table) -> pa.Table:
-        values, codes = [], []
-        for x in table.column("packed").combine_chunks() if table.num_rows else []:
-            raw = x.as_buffer()
-            n = len(raw) // 10
-            values.append(np.frombuffer(raw, np.uint64, n))
-            codes.append(np.frombuffer(raw, np.uint16, n, 8 * n))
-        a, b = met(np.concatenate(values), np.concatenate(codes))
+        a, b = met(*unpacked(table.column("packed")))
         return pa.table({"a": a.view(np.int64), "b": b.view(np.int64)})
 
-    return fps.select("fp").mapInArrow(send, sent).groupBy("part").applyInArrow(meet, "a long, b long")
+    return sent(fps, fps.count()).groupBy("part").applyInArrow(meet, "a long, b long")
 
 
 def roots_of(classes: DataFrame) -> DataFrame:
