@@ -11,7 +11,6 @@ import hashlib
 import heapq
 import json
 import unicodedata
-from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,13 +37,13 @@ class _Words(dict):
     def __init__(self, owner: Codec):
         self.owner, self.old = owner, {}
 
-    def __missing__(self, word: str) -> tuple[bytes, str]:
+    def __missing__(self, word: str) -> bytes:
         if len(self) >= CACHED_WORDS // 2:
             self.old = dict(self)
             self.clear()
         if (found := self.old.get(word)) is None:
-            parts, vocab = self.owner.merge(word), self.owner.vocab
-            found = (b"".join([vocab[s].to_bytes(4, "little") for s in parts]), " ".join(parts))
+            vocab = self.owner.vocab
+            found = b"".join([vocab[s].to_bytes(4, "little") for s in self.owner.merge(word)])
         self[word] = found
         return found
 
@@ -101,30 +100,27 @@ class Codec:
                 heapq.heappush(queue, (ranks[p], h, p))
         return [s for s in symbols if s is not None]
 
-    def pieces(self, text: str) -> list[tuple[bytes, str]]:
-        """For every word: its ids as little-endian 32-bit integers, and its vocabulary strings joined by spaces."""
+    def encode_bytes(self, text: str) -> bytes:
+        """All ids as little-endian 32-bit integers."""
         if self.cut is None or not self.cut.search(text):
-            return [*map(self.cache.__getitem__, self.words_of(self.normal(text)))]
-        out = []
+            return b"".join(map(self.cache.__getitem__, self.words_of(self.normal(text))))
+        out: list[bytes] = []
         for part in self.cut.split(text):
             if part in self.special:
-                out.append((self.special[part].to_bytes(4, "little"), part))
+                out.append(self.special[part].to_bytes(4, "little"))
             elif part:
                 out += map(self.cache.__getitem__, self.words_of(self.normal(part)))
-        return out
-
-    def encode_bytes(self, text: str) -> tuple[bytes, str]:
-        """All ids as bytes, and the decoded text (what decode() of them gives)."""
-        parts = self.pieces(text)
-        return b"".join([p[0] for p in parts]), " ".join([p[1] for p in parts])
+        return b"".join(out)
 
     def encode(self, text: str) -> list[int]:
-        raw = self.encode_bytes(text)[0]
-        return [int.from_bytes(raw[i : i + 4], "little") for i in range(0, len(raw), 4)]
+        return np.frombuffer(self.encode_bytes(text), "<u4").tolist()
 
-    def decode(self, ids: Iterable[int]) -> str:
+    def decode(self, ids: list[int]) -> str:
         """Vocabulary strings, special tokens included, joined by spaces; unknown ids give nothing."""
-        return " ".join(self.strings[i] for i in ids if i in self.strings)
+        try:
+            return " ".join(map(self.strings.__getitem__, ids))
+        except KeyError:
+            return " ".join(self.strings[i] for i in ids if i in self.strings)
 
 
 def codec(path: str) -> Codec:
@@ -145,7 +141,8 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
             ids, texts = batch.column(0), batch.column(1)
             out: list[list] = [[], [], []]
             for x in texts:
-                raw, shown = bpe.encode_bytes(x.as_py() or "")
+                raw = bpe.encode_bytes(x.as_py() or "")
+                shown = bpe.decode(np.frombuffer(raw, "<u4").tolist())
                 out[0].append(len(raw) // 4)
                 out[1].append(hashlib.sha256(raw).hexdigest())
                 out[2].append(hashlib.sha256(shown.encode("utf-8", "surrogatepass")).hexdigest())
@@ -169,8 +166,9 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
         bpe = codec(path)
         for batch in batches:
             done = [bpe.encode_bytes(x.as_py() or "") for x in batch.column(at)]
-            sizes = np.array([len(raw) // 4 for raw, _ in done], np.int64)
-            ids = pa.LargeListArray.from_arrays(np.concatenate([[0], np.cumsum(sizes)]), np.frombuffer(b"".join([raw for raw, _ in done]), "<i4"))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sizes), ids.cast(pa.list_(pa.int32())), pa.array([shown for _, shown in done], pa.string())], names=schema.names)
+            sizes = np.array([len(raw) // 4 for raw in done], np.int64)
+            ids = pa.LargeListArray.from_arrays(np.concatenate([[0], np.cumsum(sizes)]), np.frombuffer(b"".join(done), "<i4"))
+            shown = [bpe.decode(np.frombuffer(raw, "<u4").tolist()) for raw in done]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sizes), ids.cast(pa.list_(pa.int32())), pa.array(shown, pa.string())], names=schema.names)
 
     return docs.mapInArrow(run, schema)
