@@ -111,9 +111,36 @@ def card(f: Feistel, text: str, back: bool) -> str | None:
     return refill(text, body + next(c for c in "0123456789" if luhn(body + c)))
 
 
+#: Lengths of account numbers by country.
+IBAN_LENGTHS = {
+    country: length
+    for length, countries in {
+        15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+        22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+        26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO EG GT HU LB NI PL SV", 29: "BR PS QA UA", 30: "JO KW MU YE",
+        31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for country in countries.split()
+}
+#: The country codes of telephone numbers with one and two digits; all others have three.
+SHORT_CODES = frozenset("1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
+
+
+def head(text: str, n: int, take: Callable[[str], bool]) -> str | None:
+    """The start of text that holds n taken characters; None where text has fewer, or goes on with another such."""
+    for i, c in enumerate(text):
+        if take(c):
+            n -= 1
+            if n == 0:
+                return text[: i + 1] if not (i + 1 < len(text) and take(text[i + 1])) else None
+    return None
+
+
 def iban(f: Feistel, text: str, back: bool) -> str | None:
-    plain = text.replace(" ", "").lower()
-    if not 15 <= len(plain) <= 34 or mod97(plain) != 1:
+    """An account number of its country's length; what follows that in text stays."""
+    length = IBAN_LENGTHS.get(text[:2])
+    text = length and head(text, length, ASCII_ALNUM)
+    if not text or mod97(plain := text.replace(" ", "").lower()) != 1:
         return None
     sizes = radix(plain[4:])
     total = 1
@@ -124,14 +151,25 @@ def iban(f: Feistel, text: str, back: bool) -> str | None:
     return refill(text, f"{plain[:2]}{check:02d}{body}", ASCII_ALNUM)
 
 
+def country_code(digits: str) -> str:
+    return next((digits[:n] for n in (1, 2) if digits[:n] in SHORT_CODES), digits[:3])
+
+
 def phone(f: Feistel, text: str, back: bool) -> str | None:
-    """A number in international form: digits after the country code are permuted."""
-    head = re.match(r"\+\d{1,3}(?=\D)", text)
-    at = head.end() if head else 0
-    digits = _digits(text[at:])
-    if not 7 <= len(digits) <= 14:
+    """A number with country code, whatever its layout, or of ten digits in the layout of country code 1.
+
+    The digits after the country code are permuted, so one number has one pseudonym in all layouts. Numbers of codes 1
+    and 7 have ten further digits, and what follows them in text stays; others have 5 to 15 digits in all.
+    """
+    code = country_code(_digits(text)) if text[0] == "+" else "1"
+    skip = len(code) if text[0] == "+" else 0
+    if code in ("1", "7"):
+        text = head(text, skip + 10, str.isdigit) or ""
+    digits = _digits(text)[skip:]
+    if not (5 <= len(digits) and len(code) + len(digits) <= 15):
         return None
-    return text[:at] + refill(text[at:], str(f.permute(b"phone", int(digits), 10 ** len(digits), back)).zfill(len(digits)))
+    new = str(f.permute(b"phone" + code.encode(), int(digits), 10 ** len(digits), back)).zfill(len(digits))
+    return refill(text, code[:skip] + new)
 
 
 def ip(f: Feistel, text: str, back: bool) -> str | None:
@@ -203,13 +241,14 @@ class Kind:
     name: str
     pattern: str
     change: Callable[[Feistel, str, bool], str | None]
+    cuts: bool = False  # whether change may take a start of the text only, as long as what it gives
 
 
 #: In the order in which they are tried at a place.
 KINDS = (
     Kind("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9](?:[A-Za-z0-9._%+-]{0,62}[A-Za-z0-9])?@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,24}(?![A-Za-z0-9])", email),
-    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", iban),
-    Kind("phone", r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{2,4}\)|\d{2,4})(?:[ .-]?\d{2,4}){1,4}(?!\d)", phone),
+    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", iban, True),
+    Kind("phone", r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{2,4}\)|\d{2,4})(?:[ .-]?\d{2,4}){1,4}(?!\d)|(?<![\w+.-])(?:\(\d{3}\) ?\d{3}[.-]\d{4}|\d{3}(?P<dash>[.-])\d{3}(?P=dash)\d{4})(?![\w-]|\.\d)", phone, True),
     Kind("ssn", r"(?<![\w.-])\d{3}-\d{2}-\d{4}(?![\w-]|\.\d)", ssn),
     Kind("date", r"(?<![\w./-])(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{1,2}(?P<sep>[./-])\d{1,2}(?P=sep)\d{4})(?![\w/-]|\.\d)", date),
     Kind("ip", r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\w|\.\d)", ip),
@@ -224,14 +263,16 @@ def pseudonymise(text: str, feistel: Feistel, back: bool = False) -> tuple[str,
     """The text with all valid values changed, and their kinds, starts and ends in the text given."""
     if not LIKELY.search(text):
         return text, []
-    out, spans, at = [], [], 0
-    for m in ANY.finditer(text):
+    out, spans, at, start = [], [], 0, 0
+    while m := ANY.search(text, start):
         name = next(k for k in BY_NAME if m[k] is not None)
         new = BY_NAME[name].change(feistel, m[0], back)
+        start = m.start() + 1  # what begins within a value that isn't valid may be
         if new is not None:
+            start = m.start() + len(new) if BY_NAME[name].cuts else m.end()
             out += [text[at : m.start()], new]
-            spans.append((name, m.start(), m.end()))
-            at = m.end()
+            spans.append((name, m.start(), start))
+            at = start
     return ("".join([*out, text[at:]]), spans) if spans else (text, [])
 
 
