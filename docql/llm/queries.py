@@ -120,7 +120,7 @@ WITH crc AS (
   FROM docs, crc
 )
 SELECT doc_id, CAST(strlen(text) + 16 AS BIGINT) AS size, CAST(crc AS BIGINT) AS text_crc32, 'key' AS law, CAST(shard AS INTEGER) AS shard,
-       row_number() OVER (PARTITION BY shard ORDER BY md5(k), doc_id, crc) - 1 AS slot, CAST(grown_shard AS INTEGER) AS grown_shard
+       row_number() OVER (PARTITION BY shard ORDER BY md5(k || ':' || crc), doc_id, crc, strlen(text)) - 1 AS slot, CAST(grown_shard AS INTEGER) AS grown_shard
 FROM docs JOIN won USING (rid) JOIN summed USING (rid)
 """
 
