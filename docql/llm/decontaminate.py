@@ -9,8 +9,8 @@ or more words around it must hold; so most chance places go before any join. At
 offset-adjusted places the lists of all terms are intersected, by a join on document, place and
 term; unbroken runs that are as long as a window are exact matches.
 
-Only postings of documents with such a place are shuffled. They are recognised by a set of hash
-buckets of their ids, at most BUCKETS of them however many documents there are.
+Only postings of documents with such a place are shuffled, and of few others. They are recognised by bits at
+hashes of their ids, 16 bits or more for each document until MOST_BITS are reached (8 MB, for 4 million documents).
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from docql.llm.common import stored
 WINDOW = 8
 #: Sides of a join with at most so many rows are broadcast; larger ones are shuffled.
 SMALL_ROWS = 200_000
-BUCKETS = 1 << 18
+LEAST_BITS, MOST_BITS = 1 << 16, 1 << 26
 #: Stands after a document's last word; no word holds it.
 END = "\x00"
 OTHERS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -76,10 +76,17 @@ def seeds(phrases: DataFrame, index: DataFrame) -> DataFrame:
     return rarest.where("r.freq > 0").select("ik", "r.term", "r.ipos").distinct()
 
 
-def in_buckets(index: DataFrame, places: DataFrame) -> DataFrame:
+def of_documents(index: DataFrame, places: DataFrame) -> DataFrame:
     """The postings of the documents of places, and of few others."""
-    bucket = F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS)).alias("bucket")
-    return index.withColumn("bucket", bucket).join(F.broadcast(places.select(bucket).distinct()), "bucket", "left_semi").drop("bucket")
+    ids = stored(places.select("doc_id").distinct())
+    bits = LEAST_BITS
+    while bits < min(MOST_BITS, 16 * ids.count()):
+        bits *= 2
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(bits))
+    word, bit = F.shiftright(place, 6), F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(place, F.lit(64)).cast("int"))
+    masks = stored(ids.select(word.alias("_word"), bit.alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_mask")))
+    found = index.withColumns({"_word": word, "_bit": bit}).join(F.broadcast(masks), "_word")
+    return found.where(F.col("_mask").bitwiseAND(F.col("_bit")) != 0).drop("_word", "_bit", "_mask")
 
 
 def phrase_matches(index: DataFrame, phrases: DataFrame) -> DataFrame:
@@ -89,7 +96,7 @@ def phrase_matches(index: DataFrame, phrases: DataFrame) -> DataFrame:
     likely = (F.col("size") < 4) | ((F.col("ipos") + 2 < F.col("n")) & (index["after"] == first["after"])) | ((F.col("ipos") >= 2) & (index["before"] == first["before"]))
     places = stored(index.join(first, "term").where(likely).select("doc_id", "ik", (F.col("pos") - F.col("ipos")).alias("diag")).distinct())
     wanted = places.join(small(phrases.select("ik", "size", "ipos", "term")), "ik").withColumn("pos", F.col("diag") + F.col("ipos")).where("pos >= 0")
-    found = wanted.join(in_buckets(index.select("doc_id", "pos", "term"), places), ["doc_id", "pos", "term"]).select("doc_id", "ik", "diag", "size", "ipos").distinct()
+    found = wanted.join(of_documents(index.select("doc_id", "pos", "term"), places), ["doc_id", "pos", "term"]).select("doc_id", "ik", "diag", "size", "ipos").distinct()
     run = F.col("ipos") - F.row_number().over(Window.partitionBy("doc_id", "ik", "diag").orderBy("ipos"))
     runs = found.withColumn("run", run).groupBy("doc_id", "ik", "diag", "run").agg(F.min("ipos").alias("at"), F.count("*").alias("length"), F.first("size").alias("size"))
     return runs.where("length >= size").select("doc_id", "ik", (F.col("diag") + F.col("at")).alias("start"), "length")
@@ -107,7 +114,7 @@ def proximity_matches(index: DataFrame, phrases: DataFrame, width: int) -> DataF
     rarest = small(stored(rarest.where("r.freq > 0").select("ik", "r.term")))
     starts = F.sequence(F.greatest(F.lit(0), F.col("pos") - F.lit(width - 1)), F.col("pos"))
     places = stored(index.join(rarest, "term").select("doc_id", "ik", F.explode(starts).alias("start")).distinct())
-    near = in_buckets(index, places).join(small(stored(terms)), "term").select("doc_id", "ik", "term", F.explode(starts).alias("start"))
+    near = of_documents(index, places).join(small(stored(terms)), "term").select("doc_id", "ik", "term", F.explode(starts).alias("start"))
     counted = near.join(places, ["doc_id", "ik", "start"]).groupBy("doc_id", "ik", "start").agg(F.count_distinct("term").alias("terms"))
     return counted.join(needed, ["ik", "terms"]).select("doc_id", "ik", "start")
 
@@ -134,6 +141,12 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, least
 
 
 def clean(docs: DataFrame, items: DataFrame, window: int = WINDOW, least_items: int = 1) -> DataFrame:
-    """The rows of docs without contamination."""
+    """The rows of docs without contamination. Rows without doc_id are told apart by a hash of their text."""
     bad = contamination(docs, items, window, least_items).where("contaminated").select("doc_id")
-    return docs.join(bad, "doc_id", "left_anti")
+    out = docs.join(bad, "doc_id", "left_anti")
+    nameless = docs.where("doc_id is null")
+    if not nameless.head(1):
+        return out
+    named = stored(nameless.withColumn("_id", F.xxhash64("text")))
+    bad = contamination(named.select(F.col("_id").alias("doc_id"), "text"), items, window, least_items).where("contaminated").select(F.col("doc_id").alias("_id"))
+    return out.where("doc_id is not null").unionByName(named.join(bad, "_id", "left_anti").drop("_id"))
