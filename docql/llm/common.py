@@ -11,9 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docql.operators.dynamic import ship as ship_package
-from docql.sources.scratch import stored
+from docql.sources.scratch import stored, stored_parts
 
-__all__ = ["held", "id_crc", "ship", "stored", "table"]
+__all__ = ["held", "id_crc", "ship", "stored", "stored_parts", "table"]
 
 
 #: A table of fewer bytes is often one file of one row group, which one task would read alone.

@@ -9,23 +9,27 @@ best are then probed in one non-essential list after the other, the widest first
 rest of the bounds can't save them. The k-th best score grows on the way, so more terms become
 non-essential from block to block of documents. Shards' best lists are merged.
 
-Queries, in blocks, meet all shards: each (block, shard) pair is one task group of bounded size.
+Queries go in blocks, one block after the other: a block is sent to all workers, which read the stored candidates
+shard by shard. So no candidate is shuffled for a block. The first shard is searched before the others, and each
+query's k-th best score there is the floor that its search of any shard begins with.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from docql.llm.common import ship, stored
+from docql.llm.common import ship, stored, stored_parts
 
 K = 5
 SCALE = 256
 #: Candidates in a shard, queries in a block, documents in a block of a shard's lists.
-SHARD_ROWS, BLOCK_QUERIES, LIST_BLOCK = 20_000, 4_000, 2_000
-LEAST_SHARDS = 32
+SHARD_ROWS, BLOCK_QUERIES, LIST_BLOCK = 20_000, 20_000, 2_000
 
 
 class Shard:
@@ -61,8 +65,8 @@ class Shard:
             s, e = np.searchsorted(have, (start, end))
             np.add.at(into, have[s:e] - start, weight * weights[s:e])
 
-    def best(self, query: dict[int, int], own: int | None, k: int = K) -> list[tuple[int, int]]:
-        """The k greatest (score, id), ties to the smaller id, without the document own."""
+    def best(self, query: dict[int, int], own: int | None, k: int = K, least: int | None = None) -> list[tuple[int, int]]:
+        """The k greatest (score, id), ties to the smaller id, without the document own; only scores from least on are asked for."""
         used = [(t, q) for t, q in query.items() if q and t in self.lists]
         low = {t: min(q * self.bounds[t][0], q * self.bounds[t][1]) for t, q in used}
         spread = {t: max(q * self.bounds[t][0], q * self.bounds[t][1]) - low[t] for t, q in used}
@@ -72,7 +76,9 @@ class Shard:
         top: list[tuple[int, int]] = []
         for start in range(0, len(self.ids), LIST_BLOCK):
             end = min(start + LIST_BLOCK, len(self.ids))
-            floor = -top[-1][0] if len(top) == k else None
+            # What a score must exceed; at the k-th best an earlier document, with a smaller id, stays.
+            floors = (None if least is None else least - 1, -top[-1][0] if len(top) == k else None)
+            floor = max((x for x in floors if x is not None), default=None)
             # Terms before `split` are non-essential: alone they lift nothing above the floor.
             split = 0 if floor is None else max(0, int(np.searchsorted(reach, floor - base, side="right")) - 1)
             scores = np.full(end - start, base, np.int64)
@@ -81,7 +87,7 @@ class Shard:
                 scores -= low[t]
             docs = np.arange(start, end)
             if floor is not None:
-                keep = scores + reach[split] > floor  # at the floor an earlier document, with a smaller id, stays
+                keep = scores + reach[split] > floor
                 docs, scores = docs[keep], scores[keep]
             for i in range(split - 1, -1, -1):
                 if not len(docs):
@@ -95,10 +101,10 @@ class Shard:
                 docs, scores = docs[other], scores[other]
             if len(docs) > k:
                 part = np.argpartition(-scores, k - 1)[:k]
-                least = scores[part].min()
+                last = scores[part].min()
                 # Of equal scores at the cut the smaller ids, which come first, are wanted.
-                above = np.flatnonzero(scores > least)
-                part = np.concatenate([above, np.flatnonzero(scores == least)[: k - len(above)]])
+                above = np.flatnonzero(scores > last)
+                part = np.concatenate([above, np.flatnonzero(scores == last)[: k - len(above)]])
                 docs, scores = docs[part], scores[part]
             top = sorted([*top, *zip((-scores).tolist(), self.ids[docs].tolist())])[:k]
         return [(-s, i) for s, i in top]
@@ -121,6 +127,49 @@ def arrays(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     return ids, places[used], values[used], counts
 
 
+class Block:
+    """Queries, and what a task has found for each so far."""
+
+    def __init__(self, table: pa.Table, floors: dict[int, int], k: int):
+        self.ids, terms, values, sizes = arrays(table)
+        ends = np.cumsum(sizes)
+        self.queries = [dict(zip(terms[s:e].tolist(), values[s:e].tolist())) for s, e in zip(ends - sizes, ends)]
+        self.floors, self.k = floors, k
+        self.top: list[list[tuple[int, int]]] = [[] for _ in self.queries]
+
+    def search(self, shard: Shard) -> None:
+        for i, (own, query) in enumerate(zip(self.ids.tolist(), self.queries)):
+            top = self.top[i]
+            floors = (self.floors.get(own), top[-1][0] if len(top) == self.k else None)
+            got = shard.best(query, own, self.k, max((x for x in floors if x is not None), default=None))
+            if got:
+                self.top[i] = sorted([*top, *got], key=lambda x: (-x[0], x[1]))[: self.k]
+
+    def found(self) -> pa.RecordBatch:
+        rows = [(own, vec, score) for own, top in zip(self.ids.tolist(), self.top) for score, vec in top]
+        return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], pa.int64()) for c in range(3)], names=["query_id", "vec_id", "score"])
+
+
+def searched(candidates: DataFrame, queries: pa.Table, floors: dict[int, int], k: int, shard_rows: int) -> DataFrame:
+    """(query_id, vec_id, score): the k best of the candidates of each task for each query of a block, none below its floor."""
+    shared = candidates.sparkSession.sparkContext.broadcast((queries, floors))  # at most a block of queries
+
+    def run(batches):
+        block = Block(*shared.value, k)
+        held, rows = [], 0
+        for batch in batches:
+            held.append(batch)
+            rows += batch.num_rows
+            if rows >= shard_rows:
+                block.search(Shard(*arrays(pa.Table.from_batches(held))))
+                held, rows = [], 0
+        if rows:
+            block.search(Shard(*arrays(pa.Table.from_batches(held))))
+        yield block.found()
+
+    return candidates.select("id", "w").mapInArrow(run, "query_id long, vec_id long, score long")
+
+
 def search(queries: DataFrame, candidates: DataFrame, k: int = K, shard_rows: int = SHARD_ROWS, block_queries: int = BLOCK_QUERIES) -> DataFrame:
     """Frames of (id long, w array<long>) to (query_id, rank, vec_id, score): each query's k greatest inner products.
 
@@ -130,29 +179,30 @@ def search(queries: DataFrame, candidates: DataFrame, k: int = K, shard_rows: in
     """
     spark = queries.sparkSession
     ship(spark)
-    queries, candidates = (stored(x.where("id is not null and w is not null").select("id", "w").distinct()) for x in (queries, candidates))
-    shards = max(LEAST_SHARDS, -(-candidates.count() // shard_rows))
-    blocks = max(1, -(-queries.count() // block_queries))
-    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
-    left = queries.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks))).withColumn("shard", each(shards))
-    right = candidates.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards))).withColumn("block", each(blocks))
-
-    def run(asked: pa.Table, held: pa.Table) -> pa.Table:
-        out: list[list[int]] = [[], [], []]
-        if asked.num_rows and held.num_rows:
-            shard = Shard(*arrays(held))
-            ids, terms, values, sizes = arrays(asked)
-            ends = np.cumsum(sizes)
-            for i, (s, e) in enumerate(zip(ends - sizes, ends)):
-                for score, vec in shard.best(dict(zip(terms[s:e].tolist(), values[s:e].tolist())), int(ids[i]), k):
-                    out[0].append(int(ids[i]))
-                    out[1].append(vec)
-                    out[2].append(score)
-        return pa.table([pa.array(x, pa.int64()) for x in out], names=["query_id", "vec_id", "score"])
-
-    parts = left.groupBy("block", "shard").cogroup(right.groupBy("block", "shard")).applyInArrow(run, "query_id long, vec_id long, score long")
+    queries, candidates = (x.where("id is not null and w is not null").select("id", "w").distinct() for x in (queries, candidates))
+    candidates = stored(candidates)
+    n = candidates.count()
+    shards = max(4 * spark.sparkContext.defaultParallelism, -(-n // shard_rows))
+    spread = stored(candidates.repartition(shards), candidates)
+    first = stored(spread.where(F.pmod(F.xxhash64("id"), F.lit(max(8, n // shard_rows))) == 0).repartition(spark.sparkContext.defaultParallelism))
+    asked = stored(queries)
+    blocks = max(1, -(-asked.count() // block_queries))
+    asked = asked.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return parts.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    def parts() -> Iterator[DataFrame]:
+        for b in range(blocks):
+            block = asked.where(F.col("block") == b).select("id", "w").toArrow()
+            if not block.num_rows:
+                continue
+            begun = searched(first, block, {}, k, shard_rows).withColumn("rank", rank).where(F.col("rank") == k)
+            # Results are by id: of an id with several vectors the k best of all are wanted, which this floor is below, too.
+            floors = {r["query_id"]: r["score"] for r in begun.collect()}
+            found = searched(spread, block, floors, k, shard_rows)
+            yield found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    schema = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("rank", T.IntegerType()), T.StructField("vec_id", T.LongType()), T.StructField("score", T.LongType())])
+    return stored_parts(spark, schema, parts())
 
 
 def top_vectors(vectors: DataFrame, k: int = K) -> DataFrame:
