@@ -59,6 +59,18 @@ def test_pseudonyms_link_keep_formats_and_return(spark):
     assert pii.pseudonyms(df.limit(0), "k").count() == 0
 
 
+def test_pseudonyms_of_one_number_in_any_layout():
+    f = pii.Feistel(b"key")
+    digits = lambda t: "".join(c for c in t if c.isdigit())
+    new = [pii.pseudonymise(t, f)[0] for t in ("+1 017 555 7713", "+10175557713", "+1 (017) 555-7713", "(017) 555-7713", "017.555.7713", "tel. 017-555-7713.")]
+    assert len({digits(t)[-10:] for t in new}) == 1 and digits(new[0]) != "10175557713"
+    for text, kinds in (("AT61 1904 3002 3457 3201 2024-05-01", ["iban", "date"]), ("ES91 2100 0418 4502 0005 1332 A", ["iban"]), ("+1 (017) 555-7713 16 people", ["phone"]), ("+49 30 123456 and 1-1-1", ["phone"]), ("017-555-77131 and +1 23 45", [])):
+        new, spans = pii.pseudonymise(text, f)
+        assert [s[0] for s in spans] == kinds and (new != text or not kinds) and len(new) == len(text)
+        assert pii.pseudonymise(new, f, back=True)[0] == text
+    assert pii.pseudonymise("+1 (017) 555-7713 16 people", f)[0].endswith(" 16 people")
+
+
 # 2
 
 
@@ -101,34 +113,81 @@ def test_contamination_against_all_windows(spark, seed):
     assert {x.n_items for x in decontaminate.contamination(df, bench.limit(0)).collect()} == {0}
 
 
-def test_proximity(spark):
-    df = docs(spark, [(1, "x alpha y beta z"), (2, "alpha a b c d e f beta"), (3, "beta alpha")])
-    phrases = decontaminate.phrase_words(spark.createDataFrame([(1, "alpha beta")], "item_id long, text string"), 8)
-    index = decontaminate.postings(df, phrases)
-    assert {x.doc_id for x in decontaminate.proximity_matches(index, phrases, 3).collect()} == {1, 3}
+@pytest.mark.parametrize("width", [3, 6])
+def test_proximity_against_all_places(spark, width):
+    r = random.Random(width)
+    texts = [(1, "x alpha y beta z"), (2, "alpha a b c d e f beta"), (3, "beta alpha"), (4, None), (5, "")]
+    texts += [(10 + i, " ".join(r.choice("alpha beta gamma d e".split()) for _ in range(r.randrange(30)))) for i in range(40)]
+    items = [(1, "alpha beta"), (2, "gamma"), (3, "alpha gamma alpha beta"), (4, "missing beta")]
+    phrases = decontaminate.phrase_words(spark.createDataFrame(items, "item_id long, text string"), 8)
+    index = decontaminate.postings(docs(spark, texts), phrases)
+    ids = phrases.select("ik", "item_id").distinct()
+    got = {(x.doc_id, x.item_id, x.start) for x in decontaminate.proximity_matches(index, phrases, width).join(ids, "ik").collect()}
+    cut = {i: (t or "").split() for i, t in texts}
+    assert got == {(i, k, s) for i, w in cut.items() for k, t in items for s in range(len(w)) if set(t.split()) <= set(w[s : s + width])}
+
+
+def test_documents_without_id_are_cleaned(spark):
+    leak = "alpha beta gamma delta epsilon zeta eta theta iota"
+    df = docs(spark, [(1, leak), (2, "fine"), (None, leak + " more"), (None, "fine too"), (None, None)])
+    bench = spark.createDataFrame([(1, leak)], "item_id long, text string")
+    assert sorted((x.doc_id or 0, x.text or "") for x in decontaminate.clean(df, bench).collect()) == [(0, ""), (0, "fine too"), (2, "fine")]
+
+
+def test_bits_keep_all_documents_wanted(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "LEAST_BITS", 64)
+    monkeypatch.setattr(decontaminate, "MOST_BITS", 256)
+    index = spark.range(3000).selectExpr("id doc_id", "id pos")
+    wanted = spark.range(0, 3000, 150).selectExpr("id doc_id")
+    got = [x.doc_id for x in decontaminate.of_documents(index, wanted).collect()]
+    assert len(got) == len(set(got)) < 1500 and set(range(0, 3000, 150)) <= set(got)
 
 
 # 3
 
 
+def plain_bits(sample: bytes, text: str) -> float:
+    """Longest matches by search in the sample, block by block; a byte that the sample lacks is a phrase of its own."""
+    raw, phrases = langid.letters(text), 0
+    for start in range(0, len(raw), langid.BLOCK):
+        at, part = 0, raw[start : start + langid.BLOCK]
+        while at < len(part):
+            n = 0
+            while at + n < len(part) and part[at : at + n + 1] in sample:
+                n += 1
+            at += max(1, n)
+            phrases += 1
+    return phrases * math.log2(max(2, len(sample)))
+
+
+SCRIPTS = {"ja": "日本語の文章をここに書きますとても長いので", "zh": "这是一个用中文写成的句子我们没有别的意思", "ru": "широкая электрификация южных губерний даст", "el": "ξεσκεπάζω την ψυχοφθόρα βδελυγμία", "en": "the quick brown fox jumps over"}
+
+
 def test_automaton_parses_longest_matches():
     r = random.Random(5)
-    for _ in range(30):
-        model = langid.Model({"a": "".join(r.choice("abc ") for _ in range(30)), "b": "".join(r.choice("bcd ") for _ in range(30))})
-        text = "".join(r.choice("abcdz") for _ in range(r.randrange(1, 700)))
-        got = model.costs([text])[0]
-        for lang, bits in zip(model.langs, got, strict=True):
-            sample, phrases = model.samples[lang], 0
-            known = set(sample) | {c for s in model.samples.values() for c in s}
-            for start in range(0, len(text), langid.BLOCK):
-                at, part = 0, text[start : start + langid.BLOCK]
-                while at < len(part):
-                    n = 0
-                    while at + n < len(part) and part[at : at + n + 1] in sample and part[at + n] in known:
-                        n += 1
-                    at += max(1, n)
-                    phrases += 1
-            assert bits == pytest.approx(phrases * math.log2(len(sample)))
+    for k in range(30):
+        a, b = ("abc é", "bcd ü") if k % 2 else (SCRIPTS["ja"], SCRIPTS["zh"] + SCRIPTS["ru"])
+        samples = {"a": "".join(r.choice(a) for _ in range(30)), "b": "".join(r.choice(b) for _ in range(30))}
+        model = langid.Model({x: langid.letters(t) for x, t in samples.items()})
+        texts = ["".join(r.choice(a + b + "z1!") for _ in range(r.randrange(700))) for _ in range(4)] + ["", "12"]
+        found = model.predict(texts)
+        for text, got, said in zip(texts, model.costs(texts), found, strict=True):
+            want = [plain_bits(model.samples[lang], text) for lang in model.langs]
+            if not any(c.isalpha() for c in text):
+                assert said == ("und", 0.0)
+                continue
+            assert got.tolist() == pytest.approx(want)
+            assert said == (model.langs[want.index(min(want))], pytest.approx(1 - min(want) / max(want)))
+
+
+def test_many_scripts_are_told_apart(spark):
+    r = random.Random(2)
+    text = lambda lang, n: "".join(r.choice(SCRIPTS[lang]) for _ in range(n))
+    rows = [(i, text(lang, r.randrange(20, 90)), lang) for i in range(200) for lang in [sorted(SCRIPTS)[i % 5]]]
+    rows += [(1000 + i, "ein wort " * 9_000, "long") for i in range(3)] + [(7, "same id", None)] * 30
+    got = {x.doc_id: x.lang_pred for x in langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert all(got[i] == lang for i, _, lang in rows if lang and i != 7)
+    assert langid.sample_bytes(4) == langid.SAMPLE_BYTES and 200 * langid.sample_bytes(200) * langid.TABLE_COST <= langid.TABLE_BYTES
 
 
 def test_language_identification(spark):
@@ -164,6 +223,8 @@ def test_maxscore_is_exact(spark):
             best = sorted((-int(ints[q] @ w), i) for i, w in ints.items() if i != q)[:5]
             want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
     assert got == sorted(want)
+    pairs = df.select(maxscore.F.col("vec_id").alias("id"), maxscore.weights(maxscore.F.col("embedding")).alias("w"))
+    assert sorted(tuple(x) for x in maxscore.search(pairs.where("id % 50 = 0"), pairs, shard_rows=7, block_queries=2).collect()) == sorted(want)
     assert maxscore.top_vectors(df.where("vec_id = 50")).count() == 0 and maxscore.top_vectors(df.limit(0)).count() == 0
 
 
@@ -178,8 +239,12 @@ def test_shards_of_sparse_lists_prune_rightly(monkeypatch):
         ids = rng.permutation(1000)[: len(w)]
         shard = maxscore.Shard(ids, np.nonzero(w)[1], w[w != 0], (w != 0).sum(1))
         if shard.lists:
-            got = shard.best({i: int(x) for i, x in enumerate(w[0]) if x}, int(ids[0]))
-            assert [(-s, i) for s, i in got] == sorted((-int(s), int(i)) for s, i in zip(w @ w[0], ids) if i != ids[0])[:5]
+            query = {i: int(x) for i, x in enumerate(w[0]) if x}
+            want = sorted((-int(s), int(i)) for s, i in zip(w @ w[0], ids) if i != ids[0])[:5]
+            assert [(-s, i) for s, i in shard.best(query, int(ids[0]))] == want
+            if want:
+                least = -want[int(rng.integers(len(want)))][0]
+                assert [(-s, i) for s, i in shard.best(query, int(ids[0]), least=least) if s >= least] == [x for x in want if -x[0] >= least]
 
 
 # 5
@@ -187,13 +252,14 @@ def test_shards_of_sparse_lists_prune_rightly(monkeypatch):
 
 def test_shards(spark, monkeypatch):
     monkeypatch.setattr(shards, "ROWS_PER_CELL", 3)
-    rows = [*[(i, f"text {i % 7} ü") for i in range(300)], (300, None), (301, ""), (5, "text 5 ü"), (None, "no id")]
+    monkeypatch.setattr(shards, "REPEATS_PER_ROW", 4)
+    rows = [*[(i, f"text {i % 7} ü") for i in range(300)], *[(77, "again")] * 50, *[(None, f"nameless {i}") for i in range(40)], (300, None), (301, ""), (5, "text 5 ü"), (None, "no id")]
     got = shards.shard_documents(docs(spark, rows), shards=8).collect()
     assert len(got) == len(rows)
     for r in got:
         assert r.grown_shard in (r.shard, 8) and r.law == "key"
-    text = {i: (t or "").encode() for i, t in rows}
-    assert all(r.size == len(text[r.doc_id]) + 16 and r.text_crc32 == zlib.crc32(text[r.doc_id]) for r in got)
+    want = Counter((i, len((t or "").encode()) + 16, zlib.crc32((t or "").encode())) for i, t in rows)
+    assert Counter((r.doc_id, r.size, r.text_crc32) for r in got) == want
     for s in range(8):
         slots = sorted(r.slot for r in got if r.shard == s)
         assert slots == list(range(len(slots)))
@@ -276,7 +342,7 @@ def test_line_dedup_against_every_earlier_document(spark, seed):
     rows = order if seed == 1 else [(i, "\n".join(r.choice([*pool, f"only {i} {k}"]) for k in range(r.randrange(1, 11)))) for i in range(70)]
     got = {d.doc_id: d.text for d in linededup.dedup_lines(docs(spark, rows), partners="every").collect()}
     assert got == every_pair(dict(rows))
-    assert {d.doc_id: d.text for d in line_dedup(spark, docs(spark, rows), "").collect()} == got
+    assert {d.doc_id: d.text for d in line_dedup(spark, docs(spark, rows), "").collect()} == {i: t for i, t in got.items() if t == dict(rows)[i] or t.split()}
     if seed == 1:
         assert got[3] == got[7] == ""
 
@@ -338,9 +404,34 @@ def test_ball_hashing_finds_all_within_radius(spark):
     assert union(values, [(signed[x.a], signed[x.b]) for x in found]) == want
 
 
-def test_components(spark):
+def test_variants_sent_grow_with_fingerprints(spark):
+    r = random.Random(3)
+    prints = [(r.getrandbits(64) - (1 << 63),) for _ in range(1600)]
+    whole = spark.createDataFrame(prints, "fp long")
+    rows = {}
+    for n in (400, 1600):
+        df = spark.createDataFrame(prints[:n], "fp long")
+        for fan in (1_000_000, 8):  # in one step, and in as many as it takes
+            sent = simhash.sent(df, n, group_variants=2_000, fan=fan).collect()
+            rows[n, fan] = len(sent)
+            met = {x for row in sent for x in simhash.unpacked([memoryview_of(row.packed)])[0].tolist()}
+            assert met == set(simhash.variants(simhash.np.array([p for p, in prints[:n]], simhash.np.int64).view(simhash.np.uint64))[0].tolist())
+            places: dict[int, int] = {}
+            assert all(places.setdefault(v, row.part) == row.part for row in sent for v in simhash.unpacked([memoryview_of(row.packed)])[0].tolist())
+    assert rows[1600, 8] <= 5 * rows[400, 8] and whole.count() == 1600
+
+
+def memoryview_of(raw):
+    import pyarrow as pa
+
+    return pa.scalar(bytes(raw), pa.binary())
+
+
+@pytest.mark.parametrize("few", [100_000, 0])
+def test_components(spark, few):
     chain = [(i, i + 1) for i in range(0, 40)] + [(100, 90), (90, 95), (95, 100), (7, 7), (None, 3)]
-    got = {x.node: x.root for x in components.components(spark.createDataFrame(chain, "a long, b long")).collect()}
+    got = {x.node: x.root for x in components.components(spark.createDataFrame(chain, "a long, b long"), few).collect()}
+    assert components.components(spark.createDataFrame([], "a long, b long"), few).count() == 0
     assert got == {**{i: 0 for i in range(41)}, 90: 90, 95: 90, 100: 90}
 
 
@@ -443,6 +534,40 @@ def test_html_finds_the_article_in_any_frame(frame):
     assert html.main_text(PAGE.replace("{article}", frame.format(inner))) == f"Head line Short. {LONG} End."
 
 
+POLISH = "Wszystkie szczęśliwe rodziny są do siebie podobne, każda nieszczęśliwa rodzina jest nieszczęśliwa na swój sposób. W domu Obłońskich zapanował zamęt. "
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f"<body><p>{POLISH * 2}</p><p>{POLISH}</p></body>", f"{POLISH * 2}{POLISH}".strip()),
+        ("<body><h1>Head</h1><p>It was a short one.</p></body>", "Head It was a short one."),
+        ("<article><p><a href=x>Some link text here</a></p><p>Read also</p><p><a>More links</a></p></article>", ""),
+        (f"<article><h2>Head</h2><p><a>By some one</a></p><p>{LONG}</p><p><a>More links</a></p><p>Read also</p><p><a>More links</a></p></article>", f"Head {LONG}"),
+        (f"<article><p>Teaser.</p></article><p>{LONG}</p><p>End.</p>", f"{LONG} End."),
+        (f"<article><p>{LONG}</p></article><p>Other words of it.</p>", LONG),
+    ],
+)
+def test_html_labels_inherit_from_the_nearest(page, text):
+    assert html.main_text(page) == text
+
+
+@pytest.mark.parametrize("bad", ['<a "', "<div>", '<a x="', "<a x='\">", "<!--", '<p class="x', "<div></span>", "<title", "</p", "<article><div></main>", "<li>", "&", "<article>", "</b><div>"])
+def test_html_takes_time_by_length(bad):
+    import time
+
+    start = time.perf_counter()
+    html.main_text(bad * (600_000 // len(bad)) + "</b>" * 100_000)
+    assert time.perf_counter() - start < 20
+
+
+def test_html_edges(spark):
+    rows = [(1, "u", "<p>a</p>", "x")] * 3 + [(None, None, "<p>b", "y")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, text string").withColumnRenamed("text", "n_chars")
+    assert sorted((x.page_id or 0, x.text) for x in html.extract(df).collect()) == [(0, "b"), (1, "a"), (1, "a"), (1, "a")]
+    assert html.extract(df.limit(0)).count() == 0
+
+
 # All
 
 

@@ -36,11 +36,24 @@ def test_pipeline(spark, tmp_path):
         for k in {first[x] for x in lines if first[x] < i}:
             gone |= set(linededup.repeated(texts[k].split("\n"), lines, [len(x.split()) for x in lines]))
         cut[i] = "\n".join(x for j, x in enumerate(lines) if j not in gone)
+    cut = {i: t for i, t in cut.items() if t.split()}
     prints = {i: plain_simhash(t) for i, t in cut.items()}
     ids = sorted(prints)
     roots = union(ids, [(a, b) for a in ids for b in ids if a < b and (prints[a] ^ prints[b]).bit_count() <= 3])
     kept = {i for i in ids if roots[i] == i}
     bad = {i for i, x in brute_contamination([(i, cut[i]) for i in kept], bench, decontaminate.WINDOW).items() if x[2]}
     assert set(got) == kept - bad and 52 not in got and 53 not in got
+    assert all(x.n_tokens for x in got.values()) and 50 not in got
     assert all(len(x.token_ids) == x.n_tokens for x in got.values())
     assert all(list(f(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path)).columns) == COLUMNS for _, f in STAGES[:-1])
+
+
+def test_pipeline_of_empty_tables_null_ids_and_repeats(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    words = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu"
+    tables = {"none": [], "some": [(None, f"{words} one", "en", "s", 0), (None, None, None, None, None), (1, f"two {words[::-1]}", "en", "s", 0), (1, f"two {words[::-1]}", "en", "s", 0), (2, "", "en", "s", 0)]}
+    for name, rows in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
+    assert run(spark, f"{tmp_path}/none").count() == 0
+    assert sorted((x.doc_id or 0, x.n_tokens > 10) for x in run(spark, f"{tmp_path}/some").collect()) == [(0, True), (1, True)]
