@@ -24,8 +24,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Blocks of lines that an earlier document has are deleted from texts; no row goes."""
+    """Blocks of lines that an earlier document has are deleted from texts; a document goes that has no word left."""
     done = linededup.dedup_lines(docs.select(*COLUMNS), partners="every")
+    done = done.where((F.col("n_removed") == 0) | F.col("text").rlike(r"\S"))
     return done.withColumn("n_chars", F.length("text").cast("bigint")).select(*COLUMNS)
 
 
