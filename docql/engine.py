@@ -46,8 +46,12 @@ class Registry:
         self.columns: dict[tuple[str, int], Callable] = {}
         self.values: dict[tuple[str, int], Callable] = {}
 
-    def register(self, name: str, arity: int, column_fn: Callable[..., Column] | None = None, returns: T.DataType | None = None, value_fn: Callable | None = None) -> None:
-        """column_fn: of the input's and arguments' columns, giving one of type returns. value_fn: (input, *arguments) to a value."""
+    def register(self, name: str, arity: int, column_fn: Callable[..., Column] | None = None, returns: T.DataType | None = None, value_fn: Callable | None = None, generator_fn: Callable | None = None) -> None:
+        """column_fn: of the input's and arguments' columns, giving one of type returns. value_fn: (input, *arguments) to a value.
+
+        generator_fn: (input, run, *arguments) to any number of values, the arguments unevaluated: run(argument, value) gives
+        the outputs of one.
+        """
         from docql.operators.column_functions import FUNCTIONS, on_value
 
         if column_fn is not None:
@@ -59,6 +63,12 @@ class Registry:
                 yield value_fn(x, *(interpret.first(interpret.values(a, x, env)) for a in args))
 
             self.values[name, arity] = run
+        if generator_fn is not None:
+
+            def generate(x, args, env):
+                yield from generator_fn(x, lambda a, v: interpret.values(a, v, env), *args)
+
+            self.values[name, arity] = generate
 
 
 class Program:
@@ -66,11 +76,15 @@ class Program:
         self.text, self.ast, self.registry = text, tree, registry
         self.tiers: list[tuple[str, str]] = []
 
+    @property
+    def extra(self) -> dict | None:
+        return self.registry.values if self.registry else None
+
     # One value
 
     def stream(self, value: Any, variables: dict[str, Any] | None = None, inputs: Iterable[Any] | None = None) -> Iterator[Any]:
         """The outputs for one value (None, bool, int, float, str, list, dict)."""
-        return interpret.run(self.ast, value, variables, inputs, self.registry.values if self.registry else None)
+        return interpret.run(self.ast, value, variables, inputs, self.extra)
 
     def apply(self, value: Any, **more: Any) -> Any:
         """The first output, None where there is none."""
@@ -107,7 +121,7 @@ class Program:
         elif isinstance(df.schema[name].dataType, T.VariantType):
             df = df.withColumn(name, F.to_json(name))
         self.tiers = [("T3", "program")]
-        return outputs(df, self.ast, name, variables, mode, keep)
+        return outputs(df, self.ast, name, variables, mode, keep, self.extra)
 
     # Datasets
 
@@ -135,13 +149,13 @@ class Program:
 
         held = dict(variables or {}) | {name: parse_json(array(d, ()).first()["value"]) for name, d in datasets.items()}
         self.tiers = [("T3", "whole dataset")]
-        out = outputs(array(df, order), self.ast, variables=held, mode=mode)
+        out = outputs(array(df, order), self.ast, variables=held, mode=mode, extra=self.extra)
         return out.select("value") if mode == "failfast" else out.select("value", "_error")
 
     def _planned(self, df: DataFrame, datasets: dict[str, DataFrame] | None, variables: dict[str, Any] | None, mode: str, order: tuple[str, ...]) -> DataFrame:
         from docql.operators.relational import Key
 
-        planner = Planner({k: Frame(d) for k, d in (datasets or {}).items()}, variables, mode)
+        planner = Planner({k: Frame(d) for k, d in (datasets or {}).items()}, variables, mode, self.extra)
         out = planner.plan(self.ast, Frame(df, order=tuple(Key(F.col(c)) for c in order)))
         self.tiers = planner.tiers.parts
         if isinstance(out, Grouped):  # arrays of rows

@@ -327,3 +327,176 @@ LANGUAGE = {
     "date_functions": DATES,
     "more_formats": FORMATS,
 }
+
+#: A JSON text for each nation, which the next programs are run over.
+DOCUMENT = f"""'{{"k":' || {K} || ',"s":"' || {S} || '","a":[1,' || {K} || ',3],"o":[{{"n":"x","v":' || {K} || '}},{{"n":"y","v":2}}],"d":{{"e":{{"f":' || {K} || '}}}}}}'"""
+
+
+def jsonata(fields: dict[str, tuple[str, str]]) -> tuple[str, str, str]:
+    """(program, language, SQL) of one object a document; fields: name to (expression, SQL)."""
+    program = "{" + ", ".join(f'"{name}": {e}' for name, (e, _) in fields.items()) + "}"
+    made = ", ".join(f"'{name}', {q}" for name, (_, q) in fields.items())
+    return program, "jsonata", f"SELECT {K}, CAST(json_object({made}) AS VARCHAR) AS value FROM nation"
+
+
+def path(program: str, *outputs: str) -> tuple[str, str, str]:
+    """(program, language, SQL) of a path; outputs: SQL of each value as text, null for none."""
+    every = " UNION ALL ".join(f"SELECT {K}, CAST({q} AS VARCHAR) AS value FROM nation" for q in outputs)
+    return program, "jsonpath", f"SELECT * FROM ({every}) WHERE value IS NOT NULL"
+
+
+QUOTED = f"""'"' || {S} || '"'"""
+OVER_DOCUMENTS = {
+    "jsonata_paths": jsonata(
+        {
+            "field": ("k", K),
+            "two": ("d.e", f"json_object('f', {K})"),
+            "three": ("d.e.f", K),
+            "named": ('o[n="x"].v', K),
+            "index": ("a[1]", K),
+            "from_end": ("a[-1]", "3"),
+            "some": ("a[$ > 2]", f"CASE WHEN {K} > 2 THEN to_json([{K}, 3]) ELSE to_json(3) END"),
+            "mapped": ("o.v", f"[{K}, 2]"),
+            "any_name": ("d.*.f", K),
+            "any_depth": ("**.f", K),
+            "range": ("[1..3]", "[1, 2, 3]"),
+            "doubled": ("o.(v * 2)", f"[{K} * 2, 4]"),
+            "built": ("o.{\"n\": n}", fixed([{"n": "x"}, {"n": "y"}])),
+            "grouped": ("o{n: v}", f"json_object('x', {K}, 'y', 2)"),
+        }
+    ),
+    "jsonata_operators": jsonata(
+        {
+            "plus": ("k + 1", f"{K} + 1"),
+            "minus": ("k - 1", f"{K} - 1"),
+            "times": ("k * 2", f"{K} * 2"),
+            "half": ("(k * 2 + 1) / 2", f"{K} + 0.5::DOUBLE"),
+            "rest": ("k % 3", f"{K} % 3"),
+            "less": ("1 - -k", f"1 + {K}"),
+            "joined": ('s & "!"', f"{S} || '!'"),
+            "eq": ("k = 3", f"{K} = 3"),
+            "ne": ("k != 3", f"{K} <> 3"),
+            "lt": ("k < 3", f"{K} < 3"),
+            "le": ("k <= 3", f"{K} <= 3"),
+            "gt": ("k > 3", f"{K} > 3"),
+            "ge": ("k >= 3", f"{K} >= 3"),
+            "both": ("k > 3 and k < 9", f"{K} > 3 AND {K} < 9"),
+            "either": ("k < 3 or k > 9", f"{K} < 3 OR {K} > 9"),
+            "among": ("k in [1, 2]", f"{K} IN (1, 2)"),
+            "chosen": ('k > 3 ? "big" : "small"', f"CASE WHEN {K} > 3 THEN 'big' ELSE 'small' END"),
+        }
+    ),
+    "jsonata_constructs": jsonata(
+        {
+            "array": ("[k, 1]", f"[{K}, 1]"),
+            "object": ('{"x": k}', f"json_object('x', {K})"),
+            "block": ("($x := k + 1; $x * 2)", f"({K} + 1) * 2"),
+            "lambda": ("($f := function($x) {$x * $x}; $f(k))", f"{K} * {K}"),
+            "chained": ("k ~> $string()", f"CAST({K} AS VARCHAR)"),
+            "recursive": ("($g := function($n) {$n < 1 ? 0 : $n + $g($n - 1)}; $g(k))", f"{K} * ({K} + 1) // 2"),
+            "context": ("$.k", K),
+            "root": ("$$.s", S),
+            "sorted": ("a^(>$)", f"list_reverse(list_sort([1, {K}, 3]))"),
+        }
+    ),
+    "jsonata_aggregates": jsonata(
+        {
+            "sum": ("$sum(a)", f"{K} + 4"),
+            "max": ("$max(a)", f"greatest({K}, 3)"),
+            "min": ("$min(a)", f"least({K}, 1)"),
+            "average": ("$average([k, k + 2])", f"{K} + 1"),
+            "count": ("$count(a)", "3"),
+            "append": ("$append(a, 9)", f"[1, {K}, 3, 9]"),
+            "merge": ('$merge([{"x": k}, {"y": 1}])', f"json_object('x', {K}, 'y', 1)"),
+            "spread": ('$spread({"x": k, "y": 1})', f"json_array(json_object('x', {K}), {fixed({'y': 1})})"),
+            "lookup": ('$lookup($, "k")', K),
+            "keys": ("$keys(d)", "'e'"),
+            "exists": ("$exists(k)", "true"),
+            "reverse": ("$reverse(a)", f"[3, {K}, 1]"),
+            "sort": ("$sort([3, k, 1])", f"list_sort([1, {K}, 3])"),
+            "zip": ("$zip([1, 2], [k, 3])", f"[[1, {K}], [2, 3]]"),
+            "distinct": ("$distinct([k, k, 99])", f"[{K}, 99]"),
+            "shuffle": ("$sort($shuffle(a))", f"list_sort([1, {K}, 3])"),
+        }
+    ),
+    "jsonata_strings": jsonata(
+        {
+            "up": ("$uppercase(s)", S),
+            "low": ("$lowercase(s)", f"lower({S})"),
+            "length": ("$length(s)", f"length({S})"),
+            "trim": ('$trim("  x  " & s & " ")', f"'x ' || {S}"),
+            "contains": ('$contains(s, "_1")', f"contains({S}, '_1')"),
+            "split": ('$split(s, "_")', f"string_split({S}, '_')"),
+            "join": ('$join(["a", s], "-")', f"'a-' || {S}"),
+            "substring": ("$substring(s, 1, 3)", f"substr({S}, 2, 3)"),
+            "before": ('$substringBefore(s, "_")', f"split_part({S}, '_', 1)"),
+            "after": ('$substringAfter(s, "_")', f"split_part({S}, '_', 2)"),
+            "pad": ('$pad(s, 12, "#")', f"rpad({S}, 12, '#')"),
+            "pad_left": ('$pad(s, -12, "#")', f"lpad({S}, 12, '#')"),
+            "replace": ('$replace(s, "N", "M")', f"replace({S}, 'N', 'M')"),
+            "replace_pattern": ('$replace(s, /[AI]/, "*")', f"regexp_replace({S}, '[AI]', '*', 'g')"),
+            "match": ("$match(s, /[0-9]+/).match", f"regexp_extract({S}, '[0-9]+')"),
+        }
+    ),
+    "jsonata_conversions": jsonata(
+        {
+            "string": ("$string(k)", f"CAST({K} AS VARCHAR)"),
+            "number": ("$number($string(k))", K),
+            "base": ("$formatBase(k, 2)", f"bin({K})"),
+            "format": ('$formatNumber(k, "0")', f"CAST({K} AS VARCHAR)"),
+            "boolean": ("$boolean(k)", f"{K} <> 0"),
+            "not": ("$not(k > 3)", f"{K} <= 3"),
+            "type": ("$type(s)", "'string'"),
+            "abs": ("$abs(-k)", K),
+            "floor": ("$floor(k + 0.5)", K),
+            "ceil": ("$ceil(k + 0.5)", f"{K} + 1"),
+            "round": ("$round(k + 0.5)", f"{K} + {K} % 2"),
+            "sqrt": ("$sqrt(k * k)", K),
+            "power": ("$power(k, 2)", f"{K} * {K}"),
+            "base64": ("$base64encode(s)", f"base64(encode({S}))"),
+            "base64_back": ("$base64decode($base64encode(s))", S),
+            "url": ('$encodeUrlComponent(s & " b")', f"{S} || '%20b'"),
+            "millis": ("$fromMillis(k * 1000)", f"'1970-01-01T00:00:' || lpad(CAST({K} AS VARCHAR), 2, '0') || '.000Z'"),
+            "millis_back": ("$toMillis($fromMillis(k * 1000))", f"{K} * 1000"),
+        }
+    ),
+    "jsonata_higher_order": jsonata(
+        {
+            "map": ("$map(a, function($x) {$x + 1})", f"[2, {K} + 1, 4]"),
+            "filter": ("$filter(a, function($x) {$x < 3})", f"CASE WHEN {K} < 3 THEN to_json([1, {K}]) ELSE to_json(1) END"),
+            "reduce": ("$reduce(a, function($x, $y) {$x + $y})", f"{K} + 4"),
+            "each": ('$each({"x": k}, function($v, $n) {$n & $v})', f"'x' || {K}"),
+            "sort": ("$sort(a, function($l, $r) {$l < $r})", f"list_reverse(list_sort([1, {K}, 3]))"),
+            "sift": ('$sift({"x": k, "y": -1}, function($v) {$v >= 0})', f"json_object('x', {K})"),
+            "single": ("$single([k], function($v) {true})", K),
+        }
+    ),
+    "path_members": path("$.o[*].v", K, "2"),
+    "path_any_member": path("$.d.*", f"""'{{"f":' || {K} || '}}'"""),
+    "path_levels": path("$.d.**{1 to 2}.f", K),
+    "path_every_level": path("$.d.**", f"""'{{"e":{{"f":' || {K} || '}}}}'""", f"""'{{"f":' || {K} || '}}'""", K),
+    "path_last": path("$.a[last]", "3"),
+    "path_before_last": path("$.a[last - 1]", K),
+    "path_range": path("$.a[1 to 2]", K, "3"),
+    "path_places": path("$.a[0, 1]", "1", K),
+    "path_arithmetic": path("($.k + 1) * 2 - -$.k", f"({K} + 1) * 2 + {K}"),
+    "path_remainder": path("$.k % 3", f"{K} % 3"),
+    "path_size": path("$.a.size()", "3"),
+    "path_double": path("$.k.double()", K),
+    "path_ceiling": path("($.k + 0.5).ceiling()", f"{K} + 1"),
+    "path_floor": path("($.k + 0.5).floor()", K),
+    "path_abs": path("(-$.k).abs()", K),
+    "path_keyvalue": path("$.d.e.keyvalue().value", K),
+    "path_and": path("$.a[*] ? (@ > 2 && @ < 10)", f"CASE WHEN {K} > 2 AND {K} < 10 THEN {K} END", "3"),
+    "path_or_not": path("$.a[*] ? (@ < 2 || !(@ < 4))", "1", f"CASE WHEN {K} < 2 OR {K} >= 4 THEN {K} END"),
+    "path_equal": path('$.o[*] ? (@.n == "x").v', K),
+    "path_exists": path("$.o[*] ? (exists(@.v)).v", K, "2"),
+    "path_starts": path('$.s ? (@ starts with "NATION_1")', f"CASE WHEN starts_with({S}, 'NATION_1') THEN {QUOTED} END"),
+    "path_like": path('$.s ? (@ like_regex "_[2-4]$")', f"CASE WHEN regexp_matches({S}, '_[2-4]$') THEN {QUOTED} END"),
+    "path_unknown": path('$.a[*] ? ((@ == "x") is unknown)', "1", K, "3"),
+    "path_strict": path("strict $.a[*]", "1", K, "3"),
+    "path_lax_unwraps": path("lax $.o.v", K, "2"),
+    "path_lax_wraps": path("lax $.k[0]", K),
+    "path_lax_missing": path("lax $.missing", "NULL"),
+    "path_predicate": path("$.k == 5", f"CASE WHEN {K} = 5 THEN 'true' ELSE 'false' END"),
+}

@@ -35,23 +35,23 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(context.applicationId)
 
 
-def outputs(df: DataFrame, program: N.Node, column: str = "value", variables: dict[str, Any] | None = None, mode: str = "failfast", keep: tuple[str, ...] = ()) -> DataFrame:
+def outputs(df: DataFrame, program: N.Node, column: str = "value", variables: dict[str, Any] | None = None, mode: str = "failfast", keep: tuple[str, ...] = (), extra: dict | None = None) -> DataFrame:
     """A row for each output of the program for each JSON text of column: the columns of keep, _pos, value (JSON text), _error.
 
     Outputs before an error are kept. mode "permissive" then gives a row with the error's JSON in _error; "failfast"
-    fails. A null text is the value null.
+    fails. A null text is the value null. extra: further functions of values.
     """
     if mode not in ("failfast", "permissive"):
         raise ValueError(f"unknown mode {mode}")
     ship(df.sparkSession)
     schema = T.StructType([*(df.schema[c] for c in keep), T.StructField("_pos", T.LongType()), T.StructField("value", T.StringType()), T.StructField("_error", T.StringType())])
-    held = dict(variables or {})
+    held, more = dict(variables or {}), dict(extra or {})
 
     def run(batches):
         from docql.functions.interpret import Context, Env, values
         from docql.functions.values import JqError, dumps, parse
 
-        env = Env(Context(), held)
+        env = Env(Context(extra=more), held)
         for batch in batches:
             rows, places, texts, errors = [], [], [], []
             for i, text in enumerate(batch.column(len(keep)).to_pylist()):

@@ -98,7 +98,8 @@ class Tiers:
 
 
 class Planner:
-    def __init__(self, datasets: dict[str, Frame] | None = None, variables: dict[str, Any] | None = None, mode: str = "failfast"):
+    def __init__(self, datasets: dict[str, Frame] | None = None, variables: dict[str, Any] | None = None, mode: str = "failfast", extra: dict | None = None):
+        self.extra = extra
         self.datasets, self.mode = dict(datasets or {}), mode
         self.plain = dict(variables or {})
         self.variables = {k: literal(v) for k, v in self.plain.items() if v is None or isinstance(v, (str, int, float, bool))}
@@ -242,7 +243,7 @@ class Planner:
         return Frame(df, isinstance(out.type, T.StructType), f.stream, (), f.single)
 
     def interpreted(self, n: N.Node, f: Frame) -> Frame:
-        got = outputs(f.df.select(self.text(f).alias("value")), n, variables=self.plain, mode=self.mode)
+        got = outputs(f.df.select(self.text(f).alias("value")), n, variables=self.plain, mode=self.mode, extra=self.extra)
         return Frame(got.select("value") if self.mode == "failfast" else got.select("value", "_error"), False, True, json=True)
 
     def selected(self, cond: N.Node, f: Frame) -> Frame:
@@ -398,18 +399,26 @@ class Planner:
         return replace(a, df=a.df.join(other, same, "left_anti"))
 
     def membership(self, cond: N.Node, f: Frame) -> Frame | None:
-        """select(e | IN($t[] | g)) and its opposite: semi and anti joins."""
+        """select(e | IN($t[] | g)), select(e as $x | any($t[] | g; . == $x)) and their opposites: semi and anti joins."""
         how, cond = "left_semi", _rotated(cond)
         if isinstance(cond, N.Pipe) and cond.right == N.Call("not", ()):
             cond, how = cond.left, "left_anti"
-        if not (isinstance(cond, N.Pipe) and isinstance(cond.right, N.Call) and cond.right.name == "IN" and len(cond.right.args) == 1 and self.walks(_source(cond.right.args[0]))):
+        if isinstance(cond, N.Pipe) and isinstance(cond.right, N.Call) and cond.right.name == "IN" and len(cond.right.args) == 1:
+            of, among = cond.left, cond.right.args[0]
+        elif isinstance(cond, N.Bind) and len(cond.patterns) == 1 and isinstance(x := cond.patterns[0], N.VarPattern) and isinstance(cond.body, N.Call) and cond.body.name == "any" and len(cond.body.args) == 2:
+            of, among = cond.source, cond.body.args[0]
+            if cond.body.args[1] not in (N.Compare("==", IDENTITY, N.Variable(x.name)), N.Compare("==", N.Variable(x.name), IDENTITY)):
+                return None
+        else:
+            return None
+        if not self.walks(_source(among)):
             return None
-        value = one(COMPILE(cond.left, self.scope(f)))
-        side = self.plan(cond.right.args[0], replace(f, stream=False))
+        value = one(COMPILE(of, self.scope(f)))
+        side = self.plan(among, replace(f, stream=False))
         if side.flat:
             raise Unsupported("IN of objects")
         other = side.df.select(F.col("value").alias("_in")).distinct()
-        self.tiers.note("T1", cond.right)
+        self.tiers.note("T1", N.Call("IN", ()))
         return replace(f, df=f.df.join(other, value.col.eqNullSafe(F.col("_in")), how))
 
     # Joins

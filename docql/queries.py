@@ -6,9 +6,11 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from docql import io_queries
 from docql.engine import compile_program, structures
-from docql.language_queries import LANGUAGE
+from docql.language_queries import DOCUMENT, LANGUAGE, OVER_DOCUMENTS
 from docql.sources.tables import read_table
 
 
@@ -239,8 +241,8 @@ QUERIES: dict[str, Query | Callable] = {
     ),
     "explode_elements": Query(
         "embeddings",
-        ".[] | select(.vec_id < 50) | .vec_id as $v | .embedding[:3][] | {vec: $v, x: (. * 1000 | floor)}",
-        "SELECT vec_id AS vec, CAST(floor(x::DOUBLE * 1000) AS BIGINT) AS x FROM (SELECT vec_id, unnest(embedding[1:3]) AS x FROM embeddings WHERE vec_id < 50)",
+        ".[] | .vec_id as $v | .embedding[] | {vec: $v, x: (. * 1000 | floor)}",
+        "SELECT vec_id AS vec, CAST(floor(x::DOUBLE * 1000) AS BIGINT) AS x FROM (SELECT vec_id, unnest(embedding) AS x FROM embeddings)",
     ),
     "array_fold": Query(
         "embeddings",
@@ -262,6 +264,89 @@ QUERIES: dict[str, Query | Callable] = {
 }
 
 
+#: Forms of programs over datasets, with ties, places and unlike rows.
+QUERIES |= {
+    "groups_as_stream": Query(
+        "orders",
+        "[group_by(.o_orderpriority)[] | {p: .[0].o_orderpriority, n: length}]",
+        "SELECT o_orderpriority AS p, count(*) AS n FROM orders GROUP BY 1",
+    ),
+    "groups_selected": Query(
+        "orders",
+        "group_by(.o_custkey)[] | select(length > 12) | {custkey: .[0].o_custkey, n: length} | select(.n % 2 == 0) | .custkey",
+        "SELECT o_custkey AS value FROM orders GROUP BY 1 HAVING count(*) > 12 AND count(*) % 2 = 0",
+    ),
+    "group_lists": Query(
+        "nation",
+        'group_by(.n_regionkey) | map({r: .[0].n_regionkey, keys: map(.n_nationkey), names: (map(.n_name) | sort | join(",")), first: .[0].n_name, last: .[-1].n_name, twice: map(.n_nationkey * 2)})',
+        """SELECT n_regionkey AS r, list(n_nationkey ORDER BY n_nationkey) AS keys, string_agg(n_name, ',' ORDER BY n_name) AS names, arg_min(n_name, n_nationkey) AS first, arg_max(n_name, n_nationkey) AS last,
+           list(n_nationkey * 2 ORDER BY n_nationkey)::BIGINT[] AS twice FROM nation GROUP BY 1""",
+        order=("n_nationkey",),
+    ),
+    "group_any_all": Query(
+        "orders",
+        "group_by(.o_orderstatus) | map({s: .[0].o_orderstatus, some: any(.o_totalprice > 400000), every: all(.o_totalprice > 900), mean: (add(.[].o_custkey) / length | floor)})",
+        "SELECT o_orderstatus AS s, bool_or(o_totalprice > 400000) AS some, bool_and(o_totalprice > 900) AS every, CAST(floor(sum(o_custkey) / count(*)) AS BIGINT) AS mean FROM orders GROUP BY 1",
+    ),
+    "place_from_end": Query("part", ".[-3] | {p_partkey}", "SELECT p_partkey FROM part ORDER BY p_partkey DESC LIMIT 1 OFFSET 2", order=("p_partkey",)),
+    "last_row": Query("orders", "sort_by(.o_totalprice, .o_orderkey) | last | {o_orderkey}", "SELECT o_orderkey FROM orders ORDER BY o_totalprice DESC, o_orderkey DESC LIMIT 1"),
+    "nth_row": Query("orders", "sort_by(.o_orderkey) | nth(7) | {o_orderkey}", "SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 1 OFFSET 7"),
+    "reversed_rows": Query("part", "sort_by(.p_partkey) | reverse | first | {p_partkey}", "SELECT max(p_partkey) AS p_partkey FROM part"),
+    "max_by_ties": Query("customer", "max_by(.c_nationkey) | {c_custkey}", "SELECT c_custkey FROM customer ORDER BY c_nationkey DESC, c_custkey DESC LIMIT 1", order=("c_custkey",)),
+    "group_max_by_ties": Query(
+        "customer",
+        "group_by(.c_mktsegment) | map({s: .[0].c_mktsegment, most: (max_by(.c_nationkey) | .c_custkey), least: min_by(.c_nationkey).c_custkey})",
+        "SELECT c_mktsegment AS s, arg_max(c_custkey, (c_nationkey, c_custkey)) AS most, arg_min(c_custkey, (c_nationkey, c_custkey)) AS least FROM customer GROUP BY 1",
+        order=("c_custkey",),
+    ),
+    "unique_with_nulls": Query(
+        "orders",
+        "group_by(.o_orderstatus) | map({s: .[0].o_orderstatus, v: (map(if .o_custkey % 3 == 0 then null else .o_custkey % 3 end) | unique)})",
+        "SELECT o_orderstatus AS s, [NULL, 1, 2]::BIGINT[] AS v FROM orders GROUP BY 1",
+    ),
+    "fold_with_start": Query(
+        "events",
+        'reduce .[] as $e ({"click": 5, "none": 1}; .[$e.event_type] += 1)',
+        "SELECT key, CAST(sum(n) AS BIGINT) AS value FROM (SELECT event_type AS key, 1 AS n FROM events UNION ALL VALUES ('click', 5), ('none', 1)) GROUP BY 1",
+    ),
+    "running_min": Query(
+        "events",
+        "[foreach .[] as $e (1000; [., $e.user_id] | min; {event_id: $e.event_id, least: .})]",
+        "SELECT event_id, least(1000, min(user_id) OVER (ORDER BY event_id)) AS least FROM events",
+        order=("event_id",),
+    ),
+    "running_count": Query(
+        "events",
+        "[foreach .[] as $e (0; . + 1; {event_id: $e.event_id, n: .})]",
+        "SELECT event_id, row_number() OVER (ORDER BY event_id) AS n FROM events",
+        order=("event_id",),
+    ),
+    "lag_three": Query(
+        "events",
+        "[range(length) as $i | {i: $i, a: .[$i - 3].user_id, b: .[$i + 2].event_type}]",
+        """WITH p AS (SELECT row_number() OVER (ORDER BY event_id) - 1 AS i, user_id, event_type, count(*) OVER () AS n FROM events)
+           SELECT x.i, y.user_id AS a, z.event_type AS b FROM p x LEFT JOIN p y ON y.i = (x.i - 3 + x.n) % x.n LEFT JOIN p z ON z.i = x.i + 2""",
+        order=("event_id",),
+    ),
+    "union_of_unlike": Query(
+        "nation",
+        "map({key: .n_nationkey}) + ($region | map({name: .r_name}))",
+        """SELECT '{"key":' || n_nationkey || '}' AS value FROM nation UNION ALL SELECT '{"name":"' || r_name || '"}' FROM region""",
+        ("region",),
+    ),
+    "difference_of_unlike": Query("nation", "map({key: .n_nationkey}) - ($region | map({key: .r_regionkey, x: 1}))", "SELECT n_nationkey AS key FROM nation", ("region",)),
+    "semi_join_any": Query(
+        "customer",
+        "map(select(.c_custkey as $k | any($orders[] | .o_custkey; . == $k)) | {c_custkey})",
+        "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)",
+        ("orders",),
+    ),
+    "destructured": Query(
+        "nation",
+        ".[] | . as {n_nationkey: $k, n_name: $s} | {k: $k, s: $s, or_else: (null // $s), joined: (\"\\($k)\")}",
+        "SELECT n_nationkey AS k, n_name AS s, n_name AS or_else, CAST(n_nationkey AS VARCHAR) AS joined FROM nation",
+    ),
+}
 QUERIES |= {name: Query(table, program, sql) for name, (table, program, sql) in LANGUAGE.items()}
 
 
@@ -298,9 +383,20 @@ def type_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return structures(read_table(spark, sf_dir, "events"), "props")
 
 
+def document_query(program: str, language: str) -> Callable[[SparkSession, str], DataFrame]:
+    """A program over a JSON text made of each nation."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        df = read_table(spark, sf_dir, "nation").select("n_nationkey", F.expr(DOCUMENT).alias("value"))
+        return compile_program(program, language).rows(df, keep=("n_nationkey",)).select("n_nationkey", "value")
+
+    return run
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {**QUERIES, "type_structure": type_structure, **{k: props_query(p, lang) for k, (p, lang, _) in PROPS.items()}}
+    more = {k: props_query(p, lang) for k, (p, lang, _) in PROPS.items()} | {k: document_query(p, lang) for k, (p, lang, _) in OVER_DOCUMENTS.items()}
+    return {**QUERIES, "type_structure": type_structure, **more, **io_queries.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"type_structure": """SELECT '{"k":"integer"}' AS structure""", **{k: q.sql for k, q in QUERIES.items() if q.sql}, **{k: sql for k, (_, _, sql) in PROPS.items()}}
+    return {"type_structure": """SELECT '{"k":"integer"}' AS structure""", **{k: q.sql for k, q in QUERIES.items() if q.sql}, **{k: sql for k, (_, _, sql) in (PROPS | OVER_DOCUMENTS).items()}, **io_queries.SQL}

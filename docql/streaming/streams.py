@@ -26,9 +26,9 @@ def stream_rows(df: DataFrame, program: Program, column: str = "value", mode: st
     return outputs(df, program.ast, column, variables, mode, keep)
 
 
-def to_consumer(df: DataFrame, consumer: Callable[[DataFrame, int], None], checkpoint: str, once: bool = False) -> StreamingQuery:
-    """consumer gets each micro-batch; its number stays the same when a batch is repeated after a failure."""
-    writer = df.writeStream.foreachBatch(consumer).option("checkpointLocation", checkpoint)
+def to_consumer(df: DataFrame, consumer: Callable[[DataFrame, int], None], checkpoint: str, once: bool = False, mode: str = "append") -> StreamingQuery:
+    """consumer gets each micro-batch; its number stays the same when a batch is repeated after a failure. Once: all that is there now."""
+    writer = df.writeStream.outputMode(mode).foreachBatch(consumer).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
@@ -76,3 +76,8 @@ def windowed_counts(df: DataFrame, time: str, key: str, width: str, delay: str,
     """Counts by key and window of event time; rows later than delay are dropped by the watermark."""
     w = F.window(time, width, slide) if slide else F.window(time, width)
     return df.withWatermark(time, delay).groupBy(w.alias("window"), key).agg(F.count("*").alias("n"))
+
+
+def session_counts(df: DataFrame, time: str, key: str, gap: str, delay: str) -> DataFrame:
+    """Counts by key and session: rows of a key belong together where none is later than gap after the one before."""
+    return df.withWatermark(time, delay).groupBy(F.session_window(time, gap).alias("session"), key).agg(F.count("*").alias("n"))
