@@ -35,6 +35,20 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(context.applicationId)
 
 
+#: A table of fewer bytes is often one file of one row group, which one task would interpret alone.
+SMALL_TABLE = 64 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A small table dealt to all cores, unless it is sorted or a stream."""
+    if df.isStreaming:
+        return df
+    plan = df._jdf.queryExecution().optimizedPlan()
+    if int(str(plan.stats().sizeInBytes())) >= SMALL_TABLE or "Sort [" in plan.toString():
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+
+
 def outputs(df: DataFrame, program: N.Node, column: str = "value", variables: dict[str, Any] | None = None, mode: str = "failfast", keep: tuple[str, ...] = (), extra: dict | None = None) -> DataFrame:
     """A row for each output of the program for each JSON text of column: the columns of keep, _pos, value (JSON text), _error.
 
@@ -73,7 +87,7 @@ def outputs(df: DataFrame, program: N.Node, column: str = "value", variables: di
             picked = [batch.column(k).take(pa.array(rows, pa.int64())) for k in range(len(keep))]
             yield pa.RecordBatch.from_arrays([*picked, pa.array(places, pa.int64()), pa.array(texts, pa.string()), pa.array(errors, pa.string())], names=schema.names)
 
-    return df.select(*keep, F.col(column).cast("string")).mapInArrow(run, schema)
+    return spread(df.select(*keep, F.col(column).cast("string"))).mapInArrow(run, schema)
 
 
 def structures(df: DataFrame, column: str = "value") -> DataFrame:
@@ -104,5 +118,5 @@ def structures(df: DataFrame, column: str = "value") -> DataFrame:
             out = merge_structures(out, s)
         yield pa.RecordBatch.from_arrays([pa.array([dumps(out) if found else None], pa.string())], names=["structure"])
 
-    parts = df.select(F.col(column).cast("string")).mapInArrow(run, "structure string")
+    parts = spread(df.select(F.col(column).cast("string"))).mapInArrow(run, "structure string")
     return parts.repartition(1).mapInArrow(merge, "structure string")

@@ -243,7 +243,11 @@ class Planner:
         return Frame(df, isinstance(out.type, T.StructType), f.stream, (), f.single)
 
     def interpreted(self, n: N.Node, f: Frame) -> Frame:
-        got = outputs(f.df.select(self.text(f).alias("value")), n, variables=self.plain, mode=self.mode, extra=self.extra)
+        order = {} if f.single else {f"_o{i}": k for i, k in enumerate(f.order)}
+        rows = f.df.select(self.text(f).alias("value"), *(k.col.alias(c) for c, k in order.items()))
+        got = outputs(rows, n, variables=self.plain, mode=self.mode, keep=tuple(order), extra=self.extra)
+        if order:
+            got = got.orderBy(*(Key(F.col(c), k.down).sorted() for c, k in order.items()), "_pos")
         return Frame(got.select("value") if self.mode == "failfast" else got.select("value", "_error"), False, True, json=True)
 
     def selected(self, cond: N.Node, f: Frame) -> Frame:

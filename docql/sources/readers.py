@@ -6,6 +6,7 @@ Readers give a column value of JSON text (or raw text), which programs take; as_
 from __future__ import annotations
 
 from collections.abc import Iterable
+from itertools import islice
 from typing import Any
 
 import pyarrow as pa
@@ -17,6 +18,8 @@ from docql.operators.dynamic import ship
 
 #: The most bytes of JSON that slurp() puts into one row.
 SLURP_BYTES = 64 << 20
+#: Documents of a file that go on at once.
+DOCUMENTS = 1_000
 
 
 def json_lines(spark: SparkSession, *paths: str) -> DataFrame:
@@ -25,16 +28,22 @@ def json_lines(spark: SparkSession, *paths: str) -> DataFrame:
 
 
 def json_documents(spark: SparkSession, *paths: str) -> DataFrame:
-    """Documents parted by white space or nothing, on any lines: (_file, _pos, value). A file is read by one task."""
+    """Documents parted by white space or nothing, on any lines: (_file, _pos, value).
+
+    A file is read by one task, as one string (of 2 GB at most), since nothing tells where a document begins; its documents
+    go on in batches. Files of a document per line are split: json_lines().
+    """
     ship(spark)
 
     def run(batches):
-        from docql.functions.values import dumps, parse_stream
+        from docql.functions.values import dumps, each_document
 
         for batch in batches:
             for name, text in zip(*batch.columns, strict=True):
-                docs = [dumps(v) for v in parse_stream(text.as_py())]
-                yield pa.RecordBatch.from_arrays([pa.array([name.as_py()] * len(docs), pa.string()), pa.array(range(len(docs)), pa.int64()), pa.array(docs, pa.string())], names=["_file", "_pos", "value"])
+                docs, at = each_document(text.as_py()), 0
+                while part := [dumps(v) for v in islice(docs, DOCUMENTS)]:
+                    yield pa.RecordBatch.from_arrays([pa.array([name.as_py()] * len(part), pa.string()), pa.array(range(at, at + len(part)), pa.int64()), pa.array(part, pa.string())], names=["_file", "_pos", "value"])
+                    at += len(part)
 
     files = spark.read.text([*paths], wholetext=True).select(F.input_file_name().alias("_file"), "value")
     return files.mapInArrow(run, "_file string, _pos long, value string")

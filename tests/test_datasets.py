@@ -114,6 +114,13 @@ def test_ordered(spark, program):
     assert same(of_tier_1(spark, program), of_interpreter(program))
 
 
+@pytest.mark.parametrize("program", ["map({a: .a} | walk(.))", "sort_by(-.a) | map([.a, .c] | tostream)", "sort_by(.c, -.a)[] | to_entries | map(.value) | [paths]"])
+def test_interpreted_rows_keep_their_order(spark, program):
+    df = spark.createDataFrame(ROWS, SCHEMA).repartition(3)
+    got = [json.loads(r["value"]) for r in compile_program(program).dataset(df, order=("a",), whole=0).collect()]
+    assert plain(got) == of_interpreter(program)
+
+
 @pytest.mark.parametrize("program", UNORDERED)
 def test_unordered(spark, program):
     key = lambda x: json.dumps(x, sort_keys=True)

@@ -300,6 +300,8 @@ def test_sources_and_sinks(spark, tmp_path):
     (tmp_path / "b.jsonl").write_text('{"a":1}\n\n{"a":"é\\"x"}\n')
     docs = readers.json_documents(spark, str(tmp_path / "a.json"))
     assert [r["value"] for r in docs.orderBy("_pos").collect()] == ['{"a":1}', '{"a":2}', "[3]"]
+    (tmp_path / "many.json").write_text(" ".join(map(str, range(2500))))
+    assert [tuple(r) for r in readers.json_documents(spark, str(tmp_path / "many.json")).select("_pos", "value").orderBy("_pos").collect()] == [(i, str(i)) for i in range(2500)]
     lines = readers.json_lines(spark, str(tmp_path / "b.jsonl"))
     assert lines.count() == 2
     assert json.loads(readers.slurp(docs, order=["_pos"]).first()[0]) == [{"a": 1}, {"a": 2}, [3]]
