@@ -102,26 +102,31 @@ def phrase_matches(index: DataFrame, phrases: DataFrame) -> DataFrame:
     return runs.where("length >= size").select("doc_id", "ik", (F.col("diag") + F.col("at")).alias("start"), "length")
 
 
-def proximity_matches(index: DataFrame, phrases: DataFrame, width: int) -> DataFrame:
+def proximity_matches(index: DataFrame, phrases: DataFrame, width: int | Column) -> DataFrame:
     """(doc_id, ik, start): places from which the next width words hold all the phrase's different terms, in any order.
 
-    Begins with each phrase's rarest term; the other lists count only within width of it.
+    width: a number, or a column of phrases (n, the phrase's words). Begins with the documents of each phrase's rarest term; of these
+    those that have all terms somewhere are looked at place by place.
     """
-    terms = phrases.groupBy("ik", "term").agg(F.lit(1).alias("one")).drop("one")
+    width = F.lit(width) if isinstance(width, int) else width
+    terms = phrases.groupBy("ik", "term").agg(F.first(width).cast("int").alias("width"))
     often = stored(index.where(F.col("term") != END).groupBy("term").agg(F.count("*").alias("freq")))
-    needed = terms.groupBy("ik").agg(F.count("*").alias("terms"))
-    rarest = terms.join(often, "term", "left").groupBy("ik").agg(F.min(F.struct(F.coalesce("freq", F.lit(0)).alias("freq"), "term")).alias("r"))
-    rarest = small(stored(rarest.where("r.freq > 0").select("ik", "r.term")))
-    starts = F.sequence(F.greatest(F.lit(0), F.col("pos") - F.lit(width - 1)), F.col("pos"))
-    places = stored(index.join(rarest, "term").select("doc_id", "ik", F.explode(starts).alias("start")).distinct())
-    near = of_documents(index, places).join(small(stored(terms)), "term").select("doc_id", "ik", "term", F.explode(starts).alias("start"))
-    counted = near.join(places, ["doc_id", "ik", "start"]).groupBy("doc_id", "ik", "start").agg(F.count_distinct("term").alias("terms"))
-    return counted.join(needed, ["ik", "terms"]).select("doc_id", "ik", "start")
-
-
-def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, least_items: int = 2) -> DataFrame:
+    known = terms.join(often, "term", "left").groupBy("ik").agg(F.min(F.struct(F.coalesce("freq", F.lit(0)).alias("freq"), "term")).alias("r"), F.count("*").alias("terms"))
+    known = stored(known.where("r.freq > 0").select("ik", "r.term", "terms"))
+    pairs = stored(index.join(small(known.select("ik", "term")), "term").select("doc_id", "ik").distinct())
+    found = of_documents(index.select("doc_id", "pos", "term"), pairs).join(small(stored(terms)), "term").join(pairs, ["doc_id", "ik"], "left_semi")
+    found = found.groupBy("doc_id", "ik").agg(F.collect_set(F.struct("pos", "term")).alias("at"), F.count_distinct("term").alias("terms"), F.first("width").alias("width"))
+    found = stored(found.join(known.select("ik", "terms"), ["ik", "terms"]))
+    starts = F.sequence(F.greatest(F.lit(0), F.col("a.pos") - F.col("width") + 1), F.col("a.pos"))
+    each = found.select("doc_id", "ik", "terms", "width", F.explode("at").alias("a")).select("doc_id", "ik", "terms", F.col("a.term").alias("term"), F.explode(starts).alias("start"))
+    return each.groupBy("doc_id", "ik", "start", "terms").agg(F.count_distinct("term").alias("there")).where("there = terms").select("doc_id", "ik", "start")
+
+
+def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, least_items: int = 2, near: bool = False) -> DataFrame:
     """Per doc_id: n_words, n_hit, n_items, items_sha256, contaminated (n_items >= least_items), items (sorted ids).
 
+    near adds n_near: the items all of whose different words lie within twice as many words as the item has, in any order.
+
     Null texts have no words. Rows that repeat a doc_id are one document: repeats change nothing, and
     different texts under one id count where either has a word. A null doc_id is one document of that
     name without hits. Items without id or words match nothing. No items: nothing is hit.
@@ -135,9 +140,14 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, least
     lengths = index.where(F.col("term") == END).groupBy("doc_id").agg(F.max("pos").cast("bigint").alias("n_words"))
     found = named.join(hit, "doc_id")
     out = lengths.join(found.withColumnRenamed("doc_id", "_id"), F.col("doc_id") == F.col("_id"), "left")
+    further = []
+    if near:
+        close = proximity_matches(index, phrases, F.col("n") * 2).join(ids, "ik").groupBy("doc_id").agg(F.count_distinct("item").alias("n_near"))
+        out = out.join(close.withColumnRenamed("doc_id", "_near_id"), F.col("doc_id") == F.col("_near_id"), "left")
+        further = [F.coalesce("n_near", F.lit(0)).cast("bigint").alias("n_near")]
     ids_of = F.coalesce("items", F.array().cast("array<string>"))
     n_items = F.size(ids_of).cast("bigint")
-    return out.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("bigint").alias("n_hit"), n_items.alias("n_items"), F.sha2(F.concat_ws(",", ids_of), 256).alias("items_sha256"), (n_items >= least_items).alias("contaminated"), ids_of.alias("items"))
+    return out.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("bigint").alias("n_hit"), n_items.alias("n_items"), F.sha2(F.concat_ws(",", ids_of), 256).alias("items_sha256"), (n_items >= least_items).alias("contaminated"), ids_of.alias("items"), *further)
 
 
 def clean(docs: DataFrame, items: DataFrame, window: int = WINDOW, least_items: int = 1) -> DataFrame:

@@ -28,7 +28,7 @@ def op1_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items")
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), near=True).drop("items")
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,12 +77,29 @@ WITH d AS (
   SELECT doc_id, item, p, size FROM dw JOIN windows USING (size, g)
 ), covered AS (
   SELECT doc_id, count(*) AS n_hit FROM (SELECT DISTINCT doc_id, p + unnest(range(0, size)) AS q FROM hits) GROUP BY doc_id
+), terms AS (
+  SELECT DISTINCT item, w AS item_words, unnest(w) AS term FROM i
+), needed AS (
+  SELECT item, item_words, count(*) AS terms FROM terms GROUP BY item, item_words
+), placed AS (
+  SELECT doc_id, unnest(w) AS term, unnest(range(0, len(w))) AS pos FROM d
+), held AS (
+  SELECT doc_id, item, item_words FROM (SELECT DISTINCT doc_id, term FROM placed) JOIN terms USING (term) GROUP BY ALL HAVING count(*) = len(list_distinct(item_words))
+), near_terms AS (
+  SELECT doc_id, item, item_words, term, pos FROM held JOIN terms USING (item, item_words) JOIN placed USING (doc_id, term)
+), near AS (
+  SELECT doc_id, count(DISTINCT item) AS n_near FROM (
+    SELECT a.doc_id, a.item FROM (SELECT DISTINCT doc_id, item, item_words, pos FROM near_terms) a JOIN near_terms b USING (doc_id, item, item_words)
+    WHERE b.pos BETWEEN a.pos AND a.pos + 2 * len(a.item_words) - 1
+    GROUP BY a.doc_id, a.item, a.item_words, a.pos HAVING count(DISTINCT b.term) = len(list_distinct(a.item_words))
+  ) GROUP BY doc_id
 ), named AS (
   SELECT doc_id, list_sort(list(DISTINCT item)) AS items FROM hits GROUP BY doc_id
 )
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(len(items), 0) AS BIGINT) AS n_items,
-       sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256, coalesce(len(items), 0) >= 2 AS contaminated
-FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)
+       sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256, coalesce(len(items), 0) >= 2 AS contaminated,
+       CAST(coalesce(n_near, 0) AS BIGINT) AS n_near
+FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id) LEFT JOIN near USING (doc_id)
 """
 
 def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -301,12 +301,54 @@ def test_line_dedup_against_plain_pairs(spark):
         gone = set()
         words = [len(x.split()) for x in lines[i]]
         for k in {first[x] for x in lines[i] if x and first[x] < i}:
-            gone |= set(linededup.repeated(lines[k], lines[i], words))
+            gone |= set(plain_repeated(lines[k], lines[i], words, linededup.MIN_WORDS))
         want[i, "\n".join(x for j, x in enumerate(t.split("\n")) if j not in gone)] += 1
     assert got == want
     assert linededup.dedup_lines(df.limit(0)).count() == 0
 
 
+def plain_patience(a, b):
+    """Patience diff from its description, by recursion: common ends, then unique common lines in their longest order, of equals the one that ends last."""
+    if a and b and a[0] == b[0]:
+        return [(0, 0), *((i + 1, j + 1) for i, j in plain_patience(a[1:], b[1:]))]
+    if a and b and a[-1] == b[-1]:
+        return [*plain_patience(a[:-1], b[:-1]), (len(a) - 1, len(b) - 1)]
+    both = [(a.index(x), j) for j, x in enumerate(b) if a.count(x) == 1 and b.count(x) == 1]
+    longest: list[list] = []  # the best chain that ends with each pair
+    for k, (i, j) in enumerate(both):
+        longest.append(max((longest[h] for h in reversed(range(k)) if both[h][0] < i), key=len, default=[]) + [(i, j)])
+    chain = max(reversed(longest), key=len, default=[])
+    if not chain:
+        return []
+    out, at, bt = [], 0, 0
+    for i, j in [*chain, (len(a), len(b))]:
+        out += [(at + x, bt + y) for x, y in plain_patience(a[at:i], b[bt:j])]
+        if i < len(a):
+            out.append((i, j))
+        at, bt = i + 1, j + 1
+    return out
+
+
+def plain_repeated(a, b, words, least):
+    """The lines of b in runs of aligned lines, next to each other in both, of at least so many words."""
+    pairs, runs = plain_patience(a, b), []
+    for i, j in pairs:
+        if runs and runs[-1][-1] == (i - 1, j - 1):
+            runs[-1].append((i, j))
+        else:
+            runs.append([(i, j)])
+    return [j for run in runs if sum(words[j] for _, j in run) >= least for _, j in run]
+
+
+def test_patience_against_its_description():
+    r = random.Random(13)
+    for _ in range(3000):
+        a, b = ([r.randrange(10) for _ in range(r.randrange(14))] for _ in range(2))
+        words = [r.randrange(7) for _ in b]
+        got, want = linededup.patience(a, b), plain_patience(a, b)
+        assert got == want and linededup.repeated(a, b, words) == plain_repeated(a, b, words, linededup.MIN_WORDS)
+
+
 def every_pair(rows, least=linededup.MIN_WORDS):
     """Each text without what alignment with any earlier one deletes; lines that don't go stay as they are."""
     out, ids = {}, sorted(rows)
@@ -315,7 +357,7 @@ def every_pair(rows, least=linededup.MIN_WORDS):
         words, gone = [len(x.split()) for x in cut[i]], set()
         for k in ids:
             if k < i:
-                gone |= set(linededup.repeated(cut[k], cut[i], words, least))
+                gone |= set(plain_repeated(cut[k], cut[i], words, least))
         out[i] = "\n".join(x for j, x in enumerate(rows[i].split("\n")) if j not in gone)
     return out
 

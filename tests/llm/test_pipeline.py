@@ -3,9 +3,9 @@
 import random
 
 from corpus_pipeline import COLUMNS, STAGES, run
-from docql.llm import decontaminate, linededup
+from docql.llm import decontaminate
 from docql.llm.queries import ORACLES, QUERIES
-from tests.llm.test_operators import brute_contamination, plain_simhash, union
+from tests.llm.test_operators import brute_contamination, every_pair, plain_simhash, union
 
 
 def test_registered():
@@ -26,16 +26,7 @@ def test_pipeline(spark, tmp_path):
     got = {x.doc_id: x for x in run(spark, str(tmp_path)).collect()}
 
     texts = {i: t for i, t, *_ in rows if t and any(c.isalpha() for c in t)}
-    first, cut = {}, {}
-    for i in sorted(texts):
-        for x in texts[i].split("\n"):
-            first.setdefault(x, i)
-    for i, t in texts.items():
-        lines = t.split("\n")
-        gone = set()
-        for k in {first[x] for x in lines if first[x] < i}:
-            gone |= set(linededup.repeated(texts[k].split("\n"), lines, [len(x.split()) for x in lines]))
-        cut[i] = "\n".join(x for j, x in enumerate(lines) if j not in gone)
+    cut = every_pair(texts)
     cut = {i: t for i, t in cut.items() if t.split()}
     prints = {i: plain_simhash(t) for i, t in cut.items()}
     ids = sorted(prints)
