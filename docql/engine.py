@@ -160,10 +160,7 @@ class Program:
         self.tiers = planner.tiers.parts
         if isinstance(out, Grouped):  # arrays of rows
             out = planner.per_group(N.Collect(N.Iterate(N.Identity())), replace(out, stream=True))
-        done = out.df
-        if out.order and not out.single:
-            done = done.orderBy(*(k.sorted() for k in out.order))
-        return done
+        return out.shown
 
     def explain_tier(self, df: DataFrame | None = None, **more: Any) -> list[tuple[str, str]]:
         """(tier, part) of the last run, or of a plan for df made now."""

@@ -5,14 +5,20 @@ What is read is first written to the shared scratch folder from the driver's tab
 
 from __future__ import annotations
 
+import contextlib
+import io
+import os
+import tempfile
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docql.engine import Registry, compile_program
+from docql import cli
+from docql.engine import ProgramError, Registry, compile_program
 from docql.functions import api
+from docql.functions.values import dumps
 from docql.language_queries import DOCUMENT
 from docql.sources import readers, writers
 from docql.sources.scratch import scratch_dir
@@ -230,3 +236,52 @@ def registered_functions(spark, sf_dir):
     registry.register("both", 2, generator_fn=lambda x, run, a, b: (y for g in (a, b) for y in run(g, x)))
     program = compile_program(".k | both(tenfold; tenfold | tenfold)", registry=registry)
     return program.rows(documents(spark, sf_dir), keep=("n_nationkey",)).select("n_nationkey", F.col("value").cast("int").alias("value"))
+
+
+# The API and the command line, on the driver
+
+
+@query("""SELECT * FROM (VALUES ('apply', '5'), ('apply_all', '[5,6]'), ('stream', '[1,2]'), ('inputs', '[1,2]'), ('variables', '7'), ('text', '".a"'), ('tiers', '"T1"'), ('error', '"refused"')) t(name, value)""")
+def program_api(spark, sf_dir):
+    field, outs = compile_program(".a"), compile_program("$t | map(.r_name)")
+    try:
+        compile_program(".a |")
+        refused = "taken"
+    except ProgramError:
+        refused = "refused"
+    found = {
+        "apply": field.apply({"a": 5}),
+        "apply_all": field.apply_all([{"a": 5}, {"a": 6}]),
+        "stream": [*compile_program(".[]").stream([1, 2])],
+        "inputs": compile_program("[inputs]").apply_null_input([1, 2])[0],
+        "variables": compile_program("$x + 1").apply(None, variables={"x": 6}),
+        "text": field.text,
+        "tiers": outs.explain_tier(read_table(spark, sf_dir, "nation"), datasets={"t": read_table(spark, sf_dir, "region")})[0][0],
+        "error": refused,
+    }
+    return spark.createDataFrame([(k, dumps(v)) for k, v in found.items()], "name string, value string")
+
+
+@query(
+    """SELECT * FROM (VALUES ('-c', '{"b":1,"a":[2]}', 0), ('-S', '{\n  "a": [\n    2\n  ],\n  "b": 1\n}', 0), ('-n', '3', 0), ('-r', 'x y', 0), ('-s', '[1,2]', 0), ('-R', '"1 2"', 0), ('--arg', '"v"', 0),
+    ('--argjson', '[1]', 0), ('-f', '2', 0), ('-e', '', 4), ('bad', '', 5)) t(option, output, status)""".replace("\\n", "' || chr(10) || '")
+)
+def command_line(spark, sf_dir):
+    """Options of the command line, what they print, and the exit status."""
+    with tempfile.TemporaryDirectory() as folder:
+        paths = {}
+        for name, text in (("o", '{"b":1,"a":[2]}'), ("two", "1 2"), ("s", '"x y"'), ("program", ".a[0]")):
+            paths[name] = os.path.join(folder, name)
+            with open(paths[name], "w", encoding="utf-8") as f:
+                f.write(text)
+        runs = [
+            ("-c", ["-c", ".", paths["o"]]), ("-S", ["-S", ".", paths["o"]]), ("-n", ["-n", "1 + 2"]), ("-r", ["-r", ".", paths["s"]]), ("-s", ["-c", "-s", ".", paths["two"]]), ("-R", ["-R", ".", paths["two"]]),
+            ("--arg", ["-n", "--arg", "x", "v", "$x"]), ("--argjson", ["-n", "-c", "--argjson", "x", "[1]", "$x"]), ("-f", ["-f", paths["program"], paths["o"]]), ("-e", ["-e", "empty", paths["o"]]), ("bad", [".a |", paths["o"]]),
+        ]
+        rows = []
+        for option, args in runs:
+            out = io.StringIO()
+            with contextlib.redirect_stdout(out), contextlib.redirect_stderr(io.StringIO()):
+                status = cli.main(args)
+            rows.append((option, out.getvalue().rstrip("\n"), status))
+    return spark.createDataFrame(rows, "option string, output string, status int")

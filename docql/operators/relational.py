@@ -47,19 +47,34 @@ class Frame:
     order: tuple[Key, ...] = ()
     single: bool = False  # the one row is the value itself, not an array's element
     json: bool = False  # the column value holds JSON texts of values without a known type
+    hidden: tuple[str, ...] = ()  # columns that are no part of a row: of the order, or of what was joined
+
+    @property
+    def names(self) -> list[str]:
+        return [c for c in self.df.columns if c not in self.hidden]
 
     @property
     def type(self) -> T.DataType:
-        return self.df.schema if self.flat else self.df.schema[0].dataType
+        return T.StructType([f for f in self.df.schema.fields if f.name not in self.hidden]) if self.flat else self.df.schema["value"].dataType
 
     @property
     def row(self) -> One:
         if self.json:
             raise Unsupported("values without a known type")
         if self.flat:
-            return One(F.struct(*(F.col(f"`{c}`").alias(c) for c in self.df.columns)), self.df.schema)
+            return One(F.struct(*(F.col(f"`{c}`").alias(c) for c in self.names)), self.type)
         return One(F.col("value"), self.type)
 
+    @property
+    def shown(self) -> DataFrame:
+        """The rows in their order, without hidden columns."""
+        df = self.df.orderBy(*(k.sorted() for k in self.order)) if self.order and not self.single else self.df
+        return df.select(*(F.col(f"`{c}`") for c in self.names)) if self.hidden else df
+
+    def kept_order(self) -> dict[str, Key]:
+        """Names for the columns that carry the order through a projection."""
+        return {} if self.single else {f"_o{i}": k for i, k in enumerate(self.order)}
+
 
 @dataclass(frozen=True)
 class Grouped:
@@ -227,28 +242,27 @@ class Planner:
         return self.shown(out, f)
 
     def shown(self, out: One | Many, f: Frame) -> Frame:
+        held = f.kept_order()
+        carried = [k.col.alias(c) for c, k in held.items()]
+        order = tuple(Key(F.col(c), k.down) for c, k in held.items())
         if isinstance(out, Many):
-            df = f.df.select(F.explode(out.col).alias("value"))
-            t = out.type
-            if isinstance(t, T.StructType):
-                return Frame(df.select(*(F.col("value")[c].alias(c) for c in t.names)), True, True, (), f.single and False)
-            return Frame(df, False, True)
-        kept = [k.col for k in f.order]
-        if isinstance(out.type, T.StructType):
-            columns = [out.col[c].alias(c) for c in out.type.names]
+            df = f.df.select(F.posexplode(out.col).alias("_p", "value"), *carried) if held else f.df.select(F.explode(out.col).alias("value"))
+            order, held = (*order, Key(F.col("_p"))) if held else (), {**held, "_p": None} if held else {}
+            out, f = One(F.col("value"), out.type), replace(f, single=False, stream=True)
+            carried = [F.col(c) for c in held]
         else:
-            columns = [out.col.alias("value")]
-        # The order set before is kept by doing it here; Spark drops it where nothing looks at it.
-        df = (f.df.orderBy(*(k.sorted() for k in f.order)) if kept and not f.single else f.df).select(*columns)
-        return Frame(df, isinstance(out.type, T.StructType), f.stream, (), f.single)
+            df = f.df
+        flat = isinstance(out.type, T.StructType)
+        columns = [out.col[c].alias(c) for c in out.type.names] if flat else [out.col.alias("value")]
+        return Frame(df.select(*columns, *carried), flat, f.stream, order, f.single, hidden=tuple(held))
 
     def interpreted(self, n: N.Node, f: Frame) -> Frame:
-        order = {} if f.single else {f"_o{i}": k for i, k in enumerate(f.order)}
-        rows = f.df.select(self.text(f).alias("value"), *(k.col.alias(c) for c, k in order.items()))
-        got = outputs(rows, n, variables=self.plain, mode=self.mode, keep=tuple(order), extra=self.extra)
-        if order:
-            got = got.orderBy(*(Key(F.col(c), k.down).sorted() for c, k in order.items()), "_pos")
-        return Frame(got.select("value") if self.mode == "failfast" else got.select("value", "_error"), False, True, json=True)
+        held = f.kept_order()
+        rows = f.df.select(self.text(f).alias("value"), *(k.col.alias(c) for c, k in held.items()))
+        got = outputs(rows, n, variables=self.plain, mode=self.mode, keep=tuple(held), extra=self.extra)
+        hidden = (*held, "_pos") if held else ()
+        order = tuple(Key(F.col(c), c in held and held[c].down) for c in hidden)
+        return Frame(got.select("value", *["_error"] * (self.mode == "permissive"), *hidden), False, True, order, json=True, hidden=hidden)
 
     def selected(self, cond: N.Node, f: Frame) -> Frame:
         semi = self.membership(cond, f)
@@ -302,7 +316,7 @@ class Planner:
         return replace(f, order=(*self.sort_keys(n.args, f), *f.order))
 
     def array_sort(self, n, f):
-        return replace(f, order=tuple(Key(F.col(f"`{c}`")) for c in f.df.columns))
+        return replace(f, order=tuple(Key(F.col(f"`{c}`")) for c in f.names))
 
     def array_reverse(self, n, f):
         if not f.order:
@@ -326,7 +340,7 @@ class Planner:
         return self.at_place(f, 0)
 
     def array_unique(self, n, f):
-        df = f.df.distinct()
+        df = f.df.select(*(F.col(f"`{c}`") for c in f.names)).distinct()
         return Frame(df, f.flat, False, tuple(Key(F.col(f"`{c}`")) for c in df.columns))
 
     def array_unique_by(self, n, f):
@@ -337,9 +351,12 @@ class Planner:
             place = Window.partitionBy(*(k.col for k in keys)).orderBy(*(k.sorted() for k in f.order))
             return replace(f, df=f.df.withColumn("_first", F.row_number().over(place)).where("_first = 1").drop("_first"))
         # An aggregate meets halfway in each task, so a frequent key is no hot one.
-        row = F.first(f.row.col) if rank is None else F.min_by(f.row.col, rank)
-        found = f.df.groupBy(*(k.col.alias(f"_k{i}") for i, k in enumerate(keys))).agg(row.alias("value"))
-        return replace(f, df=found.select("value.*") if f.flat else found.select("value"))
+        held = f.kept_order()
+        row = F.struct(f.row.col.alias("value"), *(k.col.alias(c) for c, k in held.items()))
+        found = f.df.groupBy(*(k.col.alias(f"_k{i}") for i, k in enumerate(keys))).agg((F.first(row) if rank is None else F.min_by(row, rank)).alias("_first"))
+        columns = [F.col("_first.value")[c].alias(c) for c in f.names] if f.flat else [F.col("_first.value").alias("value")]
+        df = found.select(*columns, *(F.col(f"_first.{c}").alias(c) for c in held))
+        return replace(f, df=df, order=tuple(Key(F.col(c), k.down) for c, k in held.items()), hidden=tuple(held))
 
     def array_group_by(self, n, f):
         return Grouped(f, tuple((k, one(COMPILE(k, self.scope(f)))) for k in _key_parts(n.args[0])))
@@ -371,12 +388,13 @@ class Planner:
         if a.json or b.json or self.unlike(a, b):
             texts = [x.df.select(self.text(x).alias("value")) for x in (a, b)]
             return Frame(texts[0].union(texts[1]), False, a.stream, json=True)
-        return Frame(a.df.unionByName(b.df), a.flat, a.stream)
+        rows = [x.df.select(*(F.col(f"`{c}`") for c in x.names)) for x in (a, b)]
+        return Frame(rows[0].unionByName(rows[1]), a.flat, a.stream)
 
     def unlike(self, a: Frame, b: Frame) -> bool:
-        if a.flat != b.flat or set(a.df.columns) != set(b.df.columns):
+        if a.flat != b.flat or set(a.names) != set(b.names):
             return True
-        for c in a.df.columns:
+        for c in a.names:
             x, y = a.df.schema[c].dataType, b.df.schema[c].dataType
             if x != y and not (C.is_number(x) and C.is_number(y)):
                 return True
@@ -396,9 +414,9 @@ class Planner:
             raise Unsupported("the difference of values without a known type")
         if self.unlike(a, b):
             return a
-        other = b.df.distinct().select(*(F.col(f"`{c}`").alias(f"_r_{c}") for c in b.df.columns))
+        other = b.df.select(*(F.col(f"`{c}`").alias(f"_r_{c}") for c in b.names)).distinct()
         same = F.lit(True)
-        for c in a.df.columns:
+        for c in a.names:
             same = same & F.col(f"`{c}`").eqNullSafe(F.col(f"`_r_{c}`"))
         return replace(a, df=a.df.join(other, same, "left_anti"))
 
@@ -510,7 +528,7 @@ class Planner:
             self.variables[f"_v{i}"] = One(F.col(f"_v{i}"), held.type)
             n = _replace(n, m, N.Variable(f"_v{i}"))
             self.tiers.note("T1", m)
-        return n, replace(f, df=df, flat=f.flat) if not f.flat else (n, _Narrow(df, f))[1]
+        return n, _narrow(df, f)
 
     # Aggregation
 
@@ -553,7 +571,7 @@ class Planner:
         names = [f"_g{i}" for i in range(len(g.keys))]
         frame = replace(g.frame, df=g.frame.df.withColumns({name: k.col for name, (_, k) in zip(names, g.keys, strict=True)}))
         keys = tuple((n, One(F.col(name), k.type)) for name, (n, k) in zip(names, g.keys, strict=True))
-        of_groups = Aggregates(self, _Narrow(frame.df, g.frame), keys)
+        of_groups = Aggregates(self, _narrow(frame.df, g.frame), keys)
         kept = [truthy(of_groups.value(c)) for c in having]
         out, used = None, len(parts)
         while out is None:
@@ -567,11 +585,9 @@ class Planner:
         made = frame.df.groupBy(*names).agg(out.col.alias("value"), *(c.alias(f"_h{i}") for i, c in enumerate(kept)))
         for i in range(len(kept)):
             made = made.where(F.col(f"_h{i}"))
-        made = made.orderBy(*(F.col(c).asc_nulls_first() for c in names))
-        if isinstance(out.type, T.StructType):
-            made = Frame(made.select(*(F.col("value")[c].alias(c) for c in out.type.names)), True, True)
-        else:
-            made = Frame(made.select("value"), False, True)
+        flat = isinstance(out.type, T.StructType)
+        columns = [F.col("value")[c].alias(c) for c in out.type.names] if flat else ["value"]
+        made = Frame(made.select(*columns, *names), flat, True, tuple(Key(F.col(c)) for c in names), hidden=tuple(names))
         return self.plan(_pipe(parts[used:]), made) if used < len(parts) else made
 
     def reduced(self, n: N.Reduce, f: Frame) -> Frame:
@@ -628,23 +644,29 @@ class Planner:
         return rows.select("_i", *(F.col(f"`{c}`") for c in names))
 
     def by_place(self, n: N.Bind, f: Frame) -> Frame:
-        """range(length) as $i | .. .[$i + k] ..: row numbers, and the rows k places on.
+        """range(length) as $i | .. .[$i + k] ..: row numbers, the rows k places on, and slices .[$i : $i + k].
 
         As in an array, a negative place counts from the end, and one beyond the end has null. Rows with constant k are
         found by a window over runs of PLACES rows, each with the rows next to it; others by a join on the place.
         """
         name = n.patterns[0].name
         found = [m for m in dict.fromkeys(_all(n.body)) if isinstance(m, N.Index) and isinstance(m.base, N.Identity) and name in _uses(m.key)]
-        used = _fields_of(n.body, found)
-        names = [c for c in f.df.columns if not f.flat or used is None or c in used]
+        slices = {m: span for m in dict.fromkeys(_all(n.body)) if (span := _span(m, name)) is not None}
+        used = _fields_of(n.body, [*found, *slices])
+        names = [c for c in f.names if not f.flat or used is None or c in used]
         rows = stored(self.numbered(f, names))
-        seen = _Narrow(rows, replace(f, df=f.df.select(*(F.col(f"`{c}`") for c in names))))
+        seen = _narrow(rows, f)
         size = rows.count()
         known = {**self.variables, name: One(F.col("_i"), LONG)}
         steps = [_step(m.key, name) for m in found]
         body = n.body
+        if slices and (None in steps or any(end > PLACES for _, end in slices.values())):
+            raise Unsupported("these places and slices together")
         if all(k is not None and abs(k) <= PLACES for k in steps):
-            df = _with_neighbours(rows.select("_i", seen.row.col.alias("_w")), size, sorted({*steps, 0}))
+            df = _with_neighbours(rows.select("_i", seen.row.col.alias("_w")), size, sorted({*steps, 0}), sorted({*slices.values()}))
+            for m, (a, b) in slices.items():
+                known[f"_s{a}_{b}"] = One(F.col(f"_s{a}_{b}"), T.ArrayType(seen.type))
+                body = _replace(body, m, N.Variable(f"_s{a}_{b}"))
             for m, k in zip(found, steps, strict=True):
                 known[f"_w{k}"] = One(F.col(f"_w{k}"), seen.type)
                 body = _replace(body, m, N.Variable(f"_w{k}"))
@@ -677,7 +699,7 @@ class Planner:
         if not C.is_number(t):
             raise Unsupported("a running value of other than numbers")
         used = _fields_of(n.extract or IDENTITY, [N.Variable(name)])
-        names = [c for c in source.df.columns if not source.flat or used is None or c in used]
+        names = [c for c in source.names if not source.flat or used is None or c in used]
         dealt, keys = self.dealt(source, {"_step": step.col.cast(t)}, names)
         before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
         within = Window.partitionBy("_part").orderBy(*keys).rowsBetween(Window.unboundedPreceding, 0)
@@ -700,7 +722,7 @@ class Planner:
             holes = nulls | F.coalesce(F.col("_holes"), F.lit(False)) | first.isNull()
             made = made.join(F.broadcast(ranges), "_part").withColumn("_state", F.when(~holes, F.col("_state")))
         state = One(F.col("_state"), t)
-        seen = _Narrow(made, replace(source, df=source.df.select(*(F.col(f"`{c}`") for c in names))))
+        seen = _narrow(made, source)
         out = state if n.extract is None else COMPILE(n.extract, Scope(state, {**self.variables, name: seen.row}, self.functions))
         order = tuple(Key(F.col(f"_o{i}"), k.down) for i, k in enumerate(source.order))
         return self.shown(out, Frame(made, True, True, order))
@@ -880,12 +902,20 @@ def _step(key: N.Node, name: str) -> int | None:
     return None
 
 
-def _with_neighbours(rows: DataFrame, size: int, steps: list[int]) -> DataFrame:
-    """rows (_i, _w) of places 0 to size - 1, with _w<k> of the row k places on for every step k.
+def _span(n: N.Node, name: str) -> tuple[int, int] | None:
+    """a and b of .[$i + a : $i + b], neither below 0."""
+    if not (isinstance(n, N.Slice) and isinstance(n.base, N.Identity) and n.start and n.end):
+        return None
+    a, b = _step(n.start, name), _step(n.end, name)
+    return None if a is None or b is None or a < 0 or b < 0 else (a, b)
+
+
+def _with_neighbours(rows: DataFrame, size: int, steps: list[int], spans: list[tuple[int, int]]) -> DataFrame:
+    """rows (_i, _w) of places 0 to size - 1, with _w<k> of the row k places on for every step k, and _s<a>_<b> of the rows of every span.
 
     Each run of PLACES places gets the rows just before and after it, and the first run the last rows, as places below 0.
     """
-    reach = max(map(abs, steps))
+    reach = max([*map(abs, steps), *(b for _, b in spans)])
     i, n = F.col("_i"), F.lit(PLACES)
     run_of = F.floor(i / n)
     copies = [(F.lit(True), run_of, i)]
@@ -895,6 +925,8 @@ def _with_neighbours(rows: DataFrame, size: int, steps: list[int]) -> DataFrame:
     each = rows.withColumn("_p", F.explode(F.filter(placed, lambda x: x.isNotNull()))).select("_w", F.col("_p.run").alias("_run"), F.col("_p.at").alias("_i"))
     over = Window.partitionBy("_run").orderBy("_i")
     each = each.withColumns({f"_w{k}": F.lead("_w", k).over(over) if k > 0 else F.lag("_w", -k).over(over) if k else F.col("_w") for k in steps})
+    part = lambda a, b: F.collect_list(F.struct("_w")).over(over.rowsBetween(a, b - 1))["_w"] if a < b else F.slice(F.array("_w"), 1, 0)
+    each = each.withColumns({f"_s{a}_{b}": part(a, b) for a, b in spans}) if spans else each
     return each.where((F.col("_i") >= 0) & (F.floor(i / n) == F.col("_run"))).drop("_run", "_w")
 
 
@@ -930,22 +962,9 @@ def _pipe(parts: list[N.Node]) -> N.Node:
     return out
 
 
-class _Narrow(Frame):
-    """A frame with further, hidden columns behind those of a row."""
-
-    def __init__(self, df: DataFrame, seen: Frame):
-        Frame.__init__(self, df, seen.flat, seen.stream, seen.order, seen.single)
-        object.__setattr__(self, "seen", seen.df.schema)
-
-    @property
-    def row(self) -> One:
-        if self.flat:
-            return One(F.struct(*(F.col(f"`{c}`").alias(c) for c in self.seen.names)), self.seen)
-        return One(F.col("value"), self.seen[0].dataType)
-
-    @property
-    def type(self) -> T.DataType:
-        return self.seen if self.flat else self.seen[0].dataType
+def _narrow(df: DataFrame, f: Frame) -> Frame:
+    """df as the frame's rows: its columns that are none of theirs are hidden."""
+    return replace(f, df=df, hidden=tuple(c for c in df.columns if c not in f.names))
 
 
 def _source(n: N.Node) -> N.Node:

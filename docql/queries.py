@@ -328,6 +328,12 @@ QUERIES |= {
            SELECT x.i, y.user_id AS a, z.event_type AS b FROM p x LEFT JOIN p y ON y.i = (x.i - 3 + x.n) % x.n LEFT JOIN p z ON z.i = x.i + 2""",
         order=("event_id",),
     ),
+    "sliding_sum": Query(
+        "events",
+        "[range(length) as $i | {i: $i, s: (.[$i:$i + 3] | map(.user_id) | add)}]",
+        "SELECT row_number() OVER (ORDER BY event_id) - 1 AS i, CAST(sum(user_id) OVER (ORDER BY event_id ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING) AS BIGINT) AS s FROM events",
+        order=("event_id",),
+    ),
     "union_of_unlike": Query(
         "nation",
         "map({key: .n_nationkey}) + ($region | map({name: .r_name}))",

@@ -62,6 +62,8 @@ group_by(.c)
 [range(length) as $i | {i: $i, a: .[$i].a, p: .[$i - 1].a, q: .[$i + 2].b}]
 [range(length) as $i | .[$i - 3].c]
 [range(length) as $i | {i: $i, x: .[$i * 2].a}]
+[range(length) as $i | .[$i:$i + 3] | map(.a) | add]
+[range(length) as $i | {i: $i, next: (.[$i + 1:$i + 3] | map(.b)), before: .[$i - 1].a, none: (.[$i:$i] | length)}]
 """.strip().split("\n")
 UNORDERED = """
 unique_by(.c) | map(.a)
@@ -140,6 +142,16 @@ def test_random_pipes(spark, seed):
     assert same(got, want), program
 
 
+@pytest.mark.parametrize("places", [3, 5])
+def test_runs_of_few_places(spark, monkeypatch, places):
+    from docql.operators import relational
+
+    monkeypatch.setattr(relational, "PLACES", places)
+    for program in ORDERED:
+        if "range(length)" in program:
+            assert same(of_tier_1(spark, program), of_interpreter(program)), program
+
+
 def test_folds_by_key(spark):
     df = spark.createDataFrame([(1, "x"), (2, "y"), (3, "x")], "a long, c string")
     by_key = lambda program, rows=df: {r["key"]: r["value"] for r in compile_program(program).dataset(rows, whole=0).collect()}
