@@ -591,7 +591,7 @@ class Planner:
         return self.plan(_pipe(parts[used:]), made) if used < len(parts) else made
 
     def reduced(self, n: N.Reduce, f: Frame) -> Frame:
-        """reduce .[] as $x (a; . + e) and (a; .[k] += e): sums, of all and by key (a row for each key of the object)."""
+        """reduce .[] as $x with . + e, [., e] | max or min, and by key .[k] += e and .[k] = e (a row for each key of the object)."""
         source = self.plan(n.source, f)
         if not isinstance(n.pattern, N.VarPattern) or not source.stream:
             raise Unsupported("this reduce")
@@ -620,6 +620,23 @@ class Planner:
             t = C.common(first.type, value.type)
             total = F.sum(value.col.cast(t))
             return self._one_row(One(total if start is None else F.coalesce(total, F.lit(0).cast(t)) + first.col, t), source.df.agg)
+        if isinstance(u, N.Assign) and u.op == "=" and isinstance(u.target, N.Index) and isinstance(u.target.base, N.Identity) and start in (None, {}):
+            key, value, rank = one(COMPILE(u.target.key, scope)), one(COMPILE(u.value, scope)), rank_of(source)
+            if rank is None or not isinstance(key.type, T.StringType):
+                raise Unsupported("the last of an unordered dataset")
+            named = F.when(key.col.isNotNull(), key.col).otherwise(F.raise_error(F.lit("null is no key of an object")))
+            out = source.df.groupBy(named.alias("key")).agg(F.max_by(F.struct(value.col.alias("v")), rank)["v"].alias("value"))
+            return Frame(out, True, False, (Key(F.col("key")),))
+        if isinstance(u, N.Pipe):
+            node, fold = _folded(u)
+            value, first = one(COMPILE(node, scope)), literal(start)
+            t = C.common(first.type, value.type)
+            if not C.is_number(t):
+                raise Unsupported("the greatest or least of other than numbers")
+            if fold == "max":
+                return self._one_row(One(F.greatest(F.max(value.col.cast(t)), first.col.cast(t)), t), source.df.agg)
+            holes = F.coalesce(F.max(value.col.isNull()), F.lit(False)) | F.lit(start is None)  # null is less than any number
+            return self._one_row(One(F.when(~holes, F.least(F.min(value.col.cast(t)), first.col.cast(t))), t), source.df.agg)
         raise Unsupported("this update in reduce")
 
     def dealt(self, f: Frame, extra: dict[str, Column], names: list[str]) -> tuple[DataFrame, list[Column]]:

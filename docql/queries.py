@@ -309,6 +309,13 @@ QUERIES |= {
         'reduce .[] as $e ({"click": 5, "none": 1}; .[$e.event_type] += 1)',
         "SELECT key, CAST(sum(n) AS BIGINT) AS value FROM (SELECT event_type AS key, 1 AS n FROM events UNION ALL VALUES ('click', 5), ('none', 1)) GROUP BY 1",
     ),
+    "fold_last": Query(
+        "events",
+        "reduce .[] as $e ({}; .[$e.event_type] = $e.user_id)",
+        "SELECT event_type AS key, arg_max(user_id, event_id) AS value FROM events GROUP BY 1",
+        order=("event_id",),
+    ),
+    "fold_max": Query("events", "reduce .[] as $e (null; [., $e.user_id] | max)", "SELECT max(user_id) AS value FROM events"),
     "running_min": Query(
         "events",
         "[foreach .[] as $e (1000; [., $e.user_id] | min; {event_id: $e.event_id, least: .})]",

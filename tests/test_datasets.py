@@ -83,6 +83,12 @@ INDEX($o[]; .a) as $i | .[] | {a, c: $i[.a | tostring].c}
 reduce .[] as $x (0; . + $x.a)
 reduce .[] as $x (null; . + $x.b)
 reduce .[] as $x (2; . + $x.d)
+reduce .[] as $x (0; . + 1)
+reduce .[] as $x (null; [., $x.b] | max)
+reduce .[] as $x (9; [., $x.d] | max)
+reduce .[] as $x (3; [., $x.a] | min)
+reduce .[] as $x (3; [., $x.d] | min)
+reduce .[] as $x (null; [., $x.a] | min)
 """.strip().split("\n")
 
 
@@ -157,6 +163,10 @@ def test_folds_by_key(spark):
     by_key = lambda program, rows=df: {r["key"]: r["value"] for r in compile_program(program).dataset(rows, whole=0).collect()}
     assert by_key("reduce .[] as $e ({}; .[$e.c] += $e.a)") == {"x": 4, "y": 2}
     assert by_key('reduce .[] as $e ({"x": 5, "w": 1}; .[$e.c] += 1)') == {"x": 7, "y": 1, "w": 1}
+    ordered = compile_program("reduce .[] as $e ({}; .[$e.c] = $e.a)").dataset(df, order=("a",), whole=0)
+    assert {r["key"]: r["value"] for r in ordered.collect()} == {"x": 3, "y": 2}
+    with pytest.raises(Unsupported):
+        by_key("reduce .[] as $e ({}; .[$e.c] = $e.a)")
     with pytest.raises(Exception, match="null is no key"):
         by_key("reduce .[] as $e ({}; .[$e.c] += 1)", spark.createDataFrame([(1, None)], "a long, c string"))
 
