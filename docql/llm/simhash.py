@@ -25,8 +25,8 @@ from docql.llm.common import ship, stored
 from docql.llm.components import components
 
 SHINGLE, SEED, RADIUS = 3, 42, 3
-#: Variants in one reduce group, about.
-GROUP_VARIANTS = 1_000_000
+#: Variants in one reduce group, about; groups that one task reads (10 MB each).
+GROUP_VARIANTS, GROUPS_PER_TASK = 1_000_000, 4
 #: Fingerprints whose variants are made at once, which bounds a task's memory.
 PART = 500
 #: Groups that one step of sending tells apart, bytes of variants that a later step sorts at once, fingerprints of a task.
@@ -203,7 +203,9 @@ def links(fps: DataFrame) -> DataFrame:
         a, b = met(*unpacked(table.column("packed")))
         return pa.table({"a": a.view(np.int64), "b": b.view(np.int64)})
 
-    return sent(fps, fps.count()).groupBy("part").applyInArrow(meet, "a long, b long")
+    n = fps.count()
+    tasks = max(fps.sparkSession.sparkContext.defaultParallelism, n * 560 // GROUP_VARIANTS // GROUPS_PER_TASK)
+    return sent(fps, n).repartition(tasks, "part").groupBy("part").applyInArrow(meet, "a long, b long")
 
 
 def roots_of(classes: DataFrame) -> DataFrame:
