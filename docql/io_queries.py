@@ -16,10 +16,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docql import cli
-from docql.engine import ProgramError, Registry, compile_program
+from docql.engine import Program, ProgramError, Registry, compile_program
 from docql.functions import api
-from docql.functions.values import dumps
+from docql.functions.values import JqError, dumps
 from docql.language_queries import DOCUMENT
+from docql.plans import sqljson
 from docql.sources import readers, writers
 from docql.sources.scratch import scratch_dir
 from docql.sources.tables import read_table
@@ -134,6 +135,15 @@ def sink_compact(spark, sf_dir):
     return writers.compact(read_table(spark, sf_dir, "region"))
 
 
+@query("SELECT n_nationkey AS value FROM nation")
+def database_column(spark, sf_dir):
+    """JSON texts into a database table and back; the database that Spark brings, in this process."""
+    url, name, driver = "jdbc:derby:memory:docql;create=true", f"t{uuid.uuid4().hex[:12]}", {"driver": "org.apache.derby.jdbc.EmbeddedDriver"}
+    writers.write_table(documents(spark, sf_dir).select("value").coalesce(1), url, name, **driver)
+    rows = compile_program(".k").rows(readers.json_table(spark, url, name, "value", **driver))
+    return rows.select(F.col("value").cast("int").alias("value"))
+
+
 # Streams
 
 
@@ -228,6 +238,14 @@ def value_iteration(spark, sf_dir):
     return df.select("n_nationkey", F.transform(items, lambda x: x.cast("int")).alias("items"), F.transform(api.entries(v, "/d"), lambda e: e["key"]).alias("names"), F.size(items).alias("size"))
 
 
+@query("SELECT n_nationkey, '1' AS first, '[1,' || n_nationkey || ',3]' AS every FROM nation")
+def path_first_and_array(spark, sf_dir):
+    """A path's first match, and the array of all."""
+    df, tree = documents(spark, sf_dir), compile_program("$.a[*]", "jsonpath").ast
+    first, every = (Program("", of(tree)).rows(df, keep=("n_nationkey",)).select("n_nationkey", F.col("value").alias(name)) for of, name in ((sqljson.first_of, "first"), (sqljson.array_of, "every")))
+    return first.join(every, "n_nationkey")
+
+
 @query("SELECT n_nationkey, n_nationkey * 10 AS value FROM nation UNION ALL SELECT n_nationkey, n_nationkey * 100 FROM nation")
 def registered_functions(spark, sf_dir):
     """A function of values, and a generator that gets its arguments unevaluated."""
@@ -262,9 +280,26 @@ def program_api(spark, sf_dir):
     return spark.createDataFrame([(k, dumps(v)) for k, v in found.items()], "name string, value string")
 
 
+REFUSED = ["$eval('1')", "a@$x.b", "a#$i.b", "%.a", "|$|{}|", "$f(?)", "$nonsense(1)", "1 +"]
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"({i}, 'refused')" for i in range(len(REFUSED))) + ") t(i, said)")
+def jsonata_refused(spark, sf_dir):
+    """What JSONata has and this package hasn't is an error, not another meaning."""
+
+    def said(text: str) -> str:
+        try:
+            compile_program(text, "jsonata").apply({"a": [1]})
+        except (ProgramError, JqError):
+            return "refused"
+        return "taken"
+
+    return spark.createDataFrame([(i, said(text)) for i, text in enumerate(REFUSED)], "i int, said string")
+
+
 @query(
     """SELECT * FROM (VALUES ('-c', '{"b":1,"a":[2]}', 0), ('-S', '{\n  "a": [\n    2\n  ],\n  "b": 1\n}', 0), ('-n', '3', 0), ('-r', 'x y', 0), ('-s', '[1,2]', 0), ('-R', '"1 2"', 0), ('--arg', '"v"', 0),
-    ('--argjson', '[1]', 0), ('-f', '2', 0), ('-e', '', 4), ('bad', '', 5)) t(option, output, status)""".replace("\\n", "' || chr(10) || '")
+    ('--argjson', '[1]', 0), ('-f', '2', 0), ('-j', '12', 0), ('--tab', '{\\n\\t"a": 1\\n}', 0), ('halt', '', 0), ('halt_error', '1', 5), ('-e', '', 4), ('bad', '', 5)) t(option, output, status)""".replace("\\n", "' || chr(10) || '").replace("\\t", "' || chr(9) || '")
 )
 def command_line(spark, sf_dir):
     """Options of the command line, what they print, and the exit status."""
@@ -276,7 +311,8 @@ def command_line(spark, sf_dir):
                 f.write(text)
         runs = [
             ("-c", ["-c", ".", paths["o"]]), ("-S", ["-S", ".", paths["o"]]), ("-n", ["-n", "1 + 2"]), ("-r", ["-r", ".", paths["s"]]), ("-s", ["-c", "-s", ".", paths["two"]]), ("-R", ["-R", ".", paths["two"]]),
-            ("--arg", ["-n", "--arg", "x", "v", "$x"]), ("--argjson", ["-n", "-c", "--argjson", "x", "[1]", "$x"]), ("-f", ["-f", paths["program"], paths["o"]]), ("-e", ["-e", "empty", paths["o"]]), ("bad", [".a |", paths["o"]]),
+            ("--arg", ["-n", "--arg", "x", "v", "$x"]), ("--argjson", ["-n", "-c", "--argjson", "x", "[1]", "$x"]), ("-f", ["-f", paths["program"], paths["o"]]),
+            ("-j", ["-j", ".", paths["two"]]), ("--tab", ["--tab", "-n", "{a: 1}"]), ("halt", ["-n", "halt"]), ("halt_error", ["1, halt_error", paths["two"]]), ("-e", ["-e", "empty", paths["o"]]), ("bad", [".a |", paths["o"]]),
         ]
         rows = []
         for option, args in runs:

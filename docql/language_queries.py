@@ -188,6 +188,7 @@ KINDS = arrays(
         ("$v | length", "6"),
         ('try ($s | error) catch "was \\(.)"', f"'was ' || {S}"),
         ("try error({n: $k}) catch .n", K),
+        ("try ($k | type_error) catch .", "'number is not valid'"),
         ("[$k | .a?]", "[]"),
         ("$k as [$a] ?// $a | [$a]", f"[{K}]"),
         ("{n: $k, xs: [1, [$s]]} as {n: $n, xs: [$x, [$t]]} | [$n, $x, $t]", f"json_array({K}, 1, {S})"),
