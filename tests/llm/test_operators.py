@@ -180,6 +180,12 @@ def test_automaton_parses_longest_matches():
             assert said == (model.langs[want.index(min(want))], pytest.approx(1 - min(want) / max(want)))
 
 
+def test_ties_go_to_the_first_name():
+    model = langid.Model({"b": b"same letters", "a": b"same letters", "c": b"xyz"})
+    assert model.predict(["same", "letters same", "q"]) == [("a", 0.0), ("a", 0.0), ("c", pytest.approx(1 - math.log2(3) / math.log2(12)))]
+    assert langid.Model({}).predict(["x", None]) == [("und", 0.0)] * 2
+
+
 def test_many_scripts_are_told_apart(spark):
     r = random.Random(2)
     text = lambda lang, n: "".join(r.choice(SCRIPTS[lang]) for _ in range(n))
@@ -225,6 +231,8 @@ def test_maxscore_is_exact(spark):
     assert got == sorted(want)
     pairs = df.select(maxscore.F.col("vec_id").alias("id"), maxscore.weights(maxscore.F.col("embedding")).alias("w"))
     assert sorted(tuple(x) for x in maxscore.search(pairs.where("id % 50 = 0"), pairs, shard_rows=7, block_queries=2).collect()) == sorted(want)
+    clashing = df.withColumns({c: maxscore.F.lit(c) for c in ("id", "w", "block", "shard", "rank", "score", "query_id")})
+    assert sorted(tuple(x) for x in maxscore.top_vectors(clashing).collect()) == sorted(want)
     assert maxscore.top_vectors(df.where("vec_id = 50")).count() == 0 and maxscore.top_vectors(df.limit(0)).count() == 0
 
 
@@ -495,6 +503,7 @@ def test_bpe_equals_the_library(spark):
         assert x.n_tokens == len(ids)
         assert x.ids_sha256 == hashlib.sha256(b"".join(i.to_bytes(4, "little") for i in ids)).hexdigest()
         assert x.decoded_sha256 == hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+    assert bpe.digests(df.limit(0), path).count() == bpe.encode(df.limit(0), path).count() == 0
     full = {x.doc_id: x for x in bpe.encode(df.withColumnRenamed("source", "decoded"), path).collect()}
     assert all(list(full[i].token_ids) == library.encode(t, add_special_tokens=False).ids for i, t in enumerate(texts))
     assert bpe.codec(path).decode(full[2].token_ids) == full[2].decoded
