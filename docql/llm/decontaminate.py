@@ -66,9 +66,13 @@ def postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
     return stored(listed.join(small(stored(terms)), "term", "left_semi").select("doc_id", "pos", "term", *marks(F.col("w"), F.col("pos"))))
 
 
-def seeds(phrases: DataFrame, index: DataFrame) -> DataFrame:
-    """(ik, term, ipos): for every window of every phrase its rarest term; none for windows with a term the corpus lacks."""
-    often = stored(index.where(F.col("term") != END).groupBy("term").agg(F.count("*").alias("freq")))
+def frequencies(index: DataFrame) -> DataFrame:
+    """(term, freq), stored."""
+    return stored(index.where(F.col("term") != END).groupBy("term").agg(F.count("*").alias("freq")))
+
+
+def seeds(phrases: DataFrame, often: DataFrame) -> DataFrame:
+    """(ik, term, ipos): for every window of every phrase its rarest term by frequencies(); none for windows with a term the corpus lacks."""
     first = F.greatest(F.lit(0), F.col("ipos") - F.col("size") + 1)
     last = F.least(F.col("ipos"), F.col("n") - F.col("size"))
     covered = phrases.join(often, "term", "left").select("ik", "term", "ipos", F.coalesce("freq", F.lit(0)).alias("freq"), F.explode(F.sequence(first, last)).alias("start"))
@@ -89,10 +93,9 @@ def of_documents(index: DataFrame, places: DataFrame) -> DataFrame:
     return found.where(F.col("_mask").bitwiseAND(F.col("_bit")) != 0).drop("_word", "_bit", "_mask")
 
 
-def phrase_matches(index: DataFrame, phrases: DataFrame) -> DataFrame:
+def phrase_matches(index: DataFrame, phrases: DataFrame, often: DataFrame) -> DataFrame:
     """Exact matches (doc_id, ik, start, length): maximal runs of at least size words that equal consecutive words of the phrase."""
-    first = seeds(phrases, index)
-    first = small(stored(first.join(phrases, ["ik", "ipos", "term"])))
+    first = small(stored(seeds(phrases, often).join(phrases, ["ik", "ipos", "term"])))
     likely = (F.col("size") < 4) | ((F.col("ipos") + 2 < F.col("n")) & (index["after"] == first["after"])) | ((F.col("ipos") >= 2) & (index["before"] == first["before"]))
     places = stored(index.join(first, "term").where(likely).select("doc_id", "ik", (F.col("pos") - F.col("ipos")).alias("diag")).distinct())
     wanted = places.join(small(phrases.select("ik", "size", "ipos", "term")), "ik").withColumn("pos", F.col("diag") + F.col("ipos")).where("pos >= 0")
@@ -102,19 +105,18 @@ def phrase_matches(index: DataFrame, phrases: DataFrame) -> DataFrame:
     return runs.where("length >= size").select("doc_id", "ik", (F.col("diag") + F.col("at")).alias("start"), "length")
 
 
-def proximity_matches(index: DataFrame, phrases: DataFrame, width: int | Column) -> DataFrame:
+def proximity_matches(index: DataFrame, phrases: DataFrame, often: DataFrame, width: int | Column) -> DataFrame:
     """(doc_id, ik, start): places from which the next width words hold all the phrase's different terms, in any order.
 
     width: a number, or a column of phrases (n, the phrase's words). Begins with the documents of each phrase's rarest term; of these
     those that have all terms somewhere are looked at place by place.
     """
     width = F.lit(width) if isinstance(width, int) else width
-    terms = phrases.groupBy("ik", "term").agg(F.first(width).cast("int").alias("width"))
-    often = stored(index.where(F.col("term") != END).groupBy("term").agg(F.count("*").alias("freq")))
+    terms = stored(phrases.groupBy("ik", "term").agg(F.first(width).cast("int").alias("width")))
     known = terms.join(often, "term", "left").groupBy("ik").agg(F.min(F.struct(F.coalesce("freq", F.lit(0)).alias("freq"), "term")).alias("r"), F.count("*").alias("terms"))
     known = stored(known.where("r.freq > 0").select("ik", "r.term", "terms"))
     pairs = stored(index.join(small(known.select("ik", "term")), "term").select("doc_id", "ik").distinct())
-    found = of_documents(index.select("doc_id", "pos", "term"), pairs).join(small(stored(terms)), "term").join(pairs, ["doc_id", "ik"], "left_semi")
+    found = of_documents(index.select("doc_id", "pos", "term"), pairs).join(small(terms), "term").join(pairs, ["doc_id", "ik"], "left_semi")
     found = found.groupBy("doc_id", "ik").agg(F.collect_set(F.struct("pos", "term")).alias("at"), F.count_distinct("term").alias("terms"), F.first("width").alias("width"))
     found = stored(found.join(known.select("ik", "terms"), ["ik", "terms"]))
     starts = F.sequence(F.greatest(F.lit(0), F.col("a.pos") - F.col("width") + 1), F.col("a.pos"))
@@ -133,7 +135,8 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, least
     """
     phrases = phrase_words(items, window)
     index = postings(docs, phrases)
-    matches = stored(phrase_matches(index, phrases))
+    often = frequencies(index)
+    matches = stored(phrase_matches(index, phrases, often))
     ids = small(stored(phrases.select("ik", F.col("item_id").cast("string").alias("item")).distinct()))
     named = matches.join(ids, "ik").groupBy("doc_id").agg(F.array_sort(F.collect_set("item")).alias("items"))
     hit = matches.select("doc_id", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("length") - 1)).alias("pos")).distinct().groupBy("doc_id").agg(F.count("*").alias("n_hit"))
@@ -142,7 +145,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, least
     out = lengths.join(found.withColumnRenamed("doc_id", "_id"), F.col("doc_id") == F.col("_id"), "left")
     further = []
     if near:
-        close = proximity_matches(index, phrases, F.col("n") * 2).join(ids, "ik").groupBy("doc_id").agg(F.count_distinct("item").alias("n_near"))
+        close = proximity_matches(index, phrases, often, F.col("n") * 2).join(ids, "ik").groupBy("doc_id").agg(F.count_distinct("item").alias("n_near"))
         out = out.join(close.withColumnRenamed("doc_id", "_near_id"), F.col("doc_id") == F.col("_near_id"), "left")
         further = [F.coalesce("n_near", F.lit(0)).cast("bigint").alias("n_near")]
     ids_of = F.coalesce("items", F.array().cast("array<string>"))
