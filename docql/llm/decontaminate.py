@@ -106,22 +106,24 @@ def phrase_matches(index: DataFrame, phrases: DataFrame, often: DataFrame) -> Da
 
 
 def proximity_matches(index: DataFrame, phrases: DataFrame, often: DataFrame, width: int | Column) -> DataFrame:
-    """(doc_id, ik, start): places from which the next width words hold all the phrase's different terms, in any order.
+    """(doc_id, ik, start): places of a phrase's words from which the next width words hold all its different terms, in any order.
 
-    width: a number, or a column of phrases (n, the phrase's words). Begins with the documents of each phrase's rarest term; of these
-    those that have all terms somewhere are looked at place by place.
+    width: a number, or a column of phrases (n, the phrase's words). Begins with the documents of each phrase's rarest term. In those
+    that have all terms somewhere, only what stands within width of the rarest one is looked at, in arrays.
     """
     width = F.lit(width) if isinstance(width, int) else width
     terms = stored(phrases.groupBy("ik", "term").agg(F.first(width).cast("int").alias("width")))
     known = terms.join(often, "term", "left").groupBy("ik").agg(F.min(F.struct(F.coalesce("freq", F.lit(0)).alias("freq"), "term")).alias("r"), F.count("*").alias("terms"))
-    known = stored(known.where("r.freq > 0").select("ik", "r.term", "terms"))
-    pairs = stored(index.join(small(known.select("ik", "term")), "term").select("doc_id", "ik").distinct())
+    known = stored(known.where("r.freq > 0").select("ik", F.col("r.term").alias("rare"), "terms"))
+    pairs = stored(index.join(small(known.select("ik", F.col("rare").alias("term"))), "term").select("doc_id", "ik").distinct())
     found = of_documents(index.select("doc_id", "pos", "term"), pairs).join(small(terms), "term").join(pairs, ["doc_id", "ik"], "left_semi")
     found = found.groupBy("doc_id", "ik").agg(F.collect_set(F.struct("pos", "term")).alias("at"), F.count_distinct("term").alias("terms"), F.first("width").alias("width"))
-    found = stored(found.join(known.select("ik", "terms"), ["ik", "terms"]))
-    starts = F.sequence(F.greatest(F.lit(0), F.col("a.pos") - F.col("width") + 1), F.col("a.pos"))
-    each = found.select("doc_id", "ik", "terms", "width", F.explode("at").alias("a")).select("doc_id", "ik", "terms", F.col("a.term").alias("term"), F.explode(starts).alias("start"))
-    return each.groupBy("doc_id", "ik", "start", "terms").agg(F.count_distinct("term").alias("there")).where("there = terms").select("doc_id", "ik", "start")
+    found = found.join(small(known), ["ik", "terms"])
+    within = lambda x, start, end: F.filter(x, lambda b: (b["pos"] >= start) & (b["pos"] < end))
+    full = lambda x, start: F.size(F.array_distinct(within(x, start, start + F.col("width"))["term"])) == F.col("terms")
+    near = F.transform(F.filter("at", lambda a: a["term"] == F.col("rare")), lambda a: F.struct(a["pos"].alias("pos"), within(F.col("at"), a["pos"] - F.col("width") + 1, a["pos"] + F.col("width")).alias("x")))
+    starts = F.flatten(F.transform(near, lambda a: F.filter(a["x"], lambda s: (s["pos"] <= a["pos"]) & full(a["x"], s["pos"]))["pos"]))
+    return found.select("doc_id", "ik", F.explode(F.array_distinct(starts)).alias("start"))
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, least_items: int = 2, near: bool = False) -> DataFrame:

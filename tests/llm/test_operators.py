@@ -124,7 +124,7 @@ def test_proximity_against_all_places(spark, width):
     ids = phrases.select("ik", "item_id").distinct()
     got = {(x.doc_id, x.item_id, x.start) for x in decontaminate.proximity_matches(index, phrases, decontaminate.frequencies(index), width).join(ids, "ik").collect()}
     cut = {i: (t or "").split() for i, t in texts}
-    assert got == {(i, k, s) for i, w in cut.items() for k, t in items for s in range(len(w)) if set(t.split()) <= set(w[s : s + width])}
+    assert got == {(i, k, s) for i, w in cut.items() for k, t in items for s in range(len(w)) if w[s] in t.split() and set(t.split()) <= set(w[s : s + width])}
 
 
 def test_documents_without_id_are_cleaned(spark):
