@@ -30,6 +30,10 @@ K = 5
 SCALE = 256
 #: Candidates in a shard, queries in a block, documents in a block of a shard's lists.
 SHARD_ROWS, BLOCK_QUERIES, LIST_BLOCK = 20_000, 20_000, 2_000
+#: Queries that go through a shard's long lists together.
+TOGETHER = 500
+#: Lists are probed for up to one of so many documents.
+PROBED = 16
 
 
 class Shard:
@@ -50,6 +54,12 @@ class Shard:
         self.full = {t: len(d) == len(ids) and len(np.unique(d)) == len(ids) for t, (d, _) in self.lists.items()}
         self.bounds = {t: (min(w.min(), w.max() if self.full[t] else 0), max(w.max(), w.min() if self.full[t] else 0)) for t, (_, w) in self.lists.items()}
 
+        self.matrix = None
+        if self.lists and 4 * len(by) >= len(self.lists) * len(ids):  # long lists are laid out by place
+            self.matrix = np.zeros((len(self.lists), len(ids)))
+            for row, (d, w) in zip(self.matrix, self.lists.values()):
+                row[d] = w
+
     def weights_of(self, term: int, docs: np.ndarray) -> np.ndarray:
         have, weights = self.lists[term]
         if self.full[term]:
@@ -99,17 +109,84 @@ class Shard:
             if own is not None:
                 other = self.ids[docs] != own
                 docs, scores = docs[other], scores[other]
-            if len(docs) > k:
-                part = np.argpartition(-scores, k - 1)[:k]
-                last = scores[part].min()
-                # Of equal scores at the cut the smaller ids, which come first, are wanted.
-                above = np.flatnonzero(scores > last)
-                part = np.concatenate([above, np.flatnonzero(scores == last)[: k - len(above)]])
-                docs, scores = docs[part], scores[part]
-            top = sorted([*top, *zip((-scores).tolist(), self.ids[docs].tolist())])[:k]
+            top = kept_best(top, scores, self.ids[docs], k)
         return [(-s, i) for s, i in top]
 
 
+def kept_best(top: list[tuple[int, int]], scores: np.ndarray, ids: np.ndarray, k: int) -> list[tuple[int, int]]:
+    """top, (-score, id) in order, with the scores of further ids, which rise."""
+    if len(ids) > k:
+        part = np.argpartition(-scores, k - 1)[:k]
+        last = scores[part].min()
+        # Of equal scores at the cut the smaller ids, which come first, are wanted.
+        above = np.flatnonzero(scores > last)
+        part = np.concatenate([above, np.flatnonzero(scores == last)[: k - len(above)]])
+        ids, scores = ids[part], scores[part]
+    return sorted([*top, *zip((-scores).astype(np.int64).tolist(), ids.tolist())])[:k]
+
+
+class Together:
+    """MaxScore for many queries at once in a shard with long lists: a product of matrices goes through the essential lists.
+
+    A query's non-essential terms have no part in that product. Sums are whole numbers below 2**53, so doubles are exact.
+    """
+
+    def __init__(self, shard: Shard, queries: list[dict[int, int]]):
+        self.shard, row = shard, {int(t): i for i, t in enumerate(shard.terms)}
+        self.q = np.zeros((len(queries), len(row)))
+        for i, query in enumerate(queries):
+            for t, x in query.items():
+                if t in row:
+                    self.q[i, row[t]] = x
+        ends = np.stack([self.q * shard.matrix.min(axis=1), self.q * shard.matrix.max(axis=1)])
+        self.low = ends.min(axis=0)
+        spread = ends.max(axis=0) - self.low
+        self.order = np.argsort(spread, axis=1, kind="stable")
+        self.rank = np.argsort(self.order, axis=1, kind="stable")
+        self.reach = np.concatenate([np.zeros((len(queries), 1)), np.cumsum(np.take_along_axis(spread, self.order, axis=1), axis=1)], axis=1)
+        self.base = self.low.sum(axis=1)
+
+    @staticmethod
+    def fits(shard: Shard, queries: list[dict[int, int]]) -> bool:
+        most = max((abs(x) for q in queries for x in q.values()), default=0)
+        return shard.matrix is not None and most * float(np.abs(shard.matrix).max()) * len(shard.terms) < 2**52
+
+    def best(self, owns: list[int], least: list[int | None], k: int) -> list[list[tuple[int, int]]]:
+        shard, n = self.shard, len(owns)
+        top: list[list[tuple[int, int]]] = [[] for _ in range(n)]
+        floors = np.array([-np.inf if x is None else x - 1 for x in least])
+        for start in range(0, len(shard.ids), LIST_BLOCK):
+            lists = shard.matrix[:, start : start + LIST_BLOCK]
+            split = [max(0, int(np.searchsorted(self.reach[i], floors[i] - self.base[i], side="right")) - 1) for i in range(n)]
+            essential = self.rank >= np.array(split)[:, None]
+            # Non-essential terms are at their least here.
+            sums = (self.q * essential) @ lists + (self.base - (self.low * essential).sum(axis=1))[:, None]
+            likely = sums + self.reach[np.arange(n), split][:, None] > floors[:, None]
+            # Where many documents are still competitive, going through the other lists, too, is less work than probing them.
+            many = likely.sum(axis=1) * PROBED > lists.shape[1]
+            if many.any():
+                rest = ~essential[many]
+                sums[many] += (self.q[many] * rest) @ lists - (self.low[many] * rest).sum(axis=1)[:, None]
+                likely[many] = sums[many] > floors[many][:, None]
+            for i in np.flatnonzero(likely.any(axis=1)).tolist():
+                docs, floor = np.flatnonzero(likely[i]), floors[i]
+                scores = sums[i, docs]
+                for r in range(-1 if many[i] else split[i] - 1, -1, -1):  # probes, from the widest of the other lists on
+                    t = self.order[i, r]
+                    scores = scores + self.q[i, t] * lists[t, docs] - self.low[i, t]
+                    keep = scores + self.reach[i, r] > floor
+                    if not keep.all():
+                        docs, scores = docs[keep], scores[keep]
+                        if not len(docs):
+                            break
+                ids = shard.ids[start + docs]
+                other = ids != owns[i]
+                top[i] = kept_best(top[i], scores[other], ids[other], k)
+                if len(top[i]) == k:
+                    floors[i] = max(floors[i], -top[i][-1][0])
+        return [[(-s, x) for s, x in found] for found in top]
+
+
 def weights(vector: Column, scale: int = SCALE) -> Column:
     """floor(scale * x) of each component; null for vectors that are null or hold null or non-finite ones."""
     fine = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
@@ -138,12 +215,21 @@ class Block:
         self.top: list[list[tuple[int, int]]] = [[] for _ in self.queries]
 
     def search(self, shard: Shard) -> None:
-        for i, (own, query) in enumerate(zip(self.ids.tolist(), self.queries)):
-            top = self.top[i]
-            floors = (self.floors.get(own), top[-1][0] if len(top) == self.k else None)
-            got = shard.best(query, own, self.k, max((x for x in floors if x is not None), default=None))
-            if got:
-                self.top[i] = sorted([*top, *got], key=lambda x: (-x[0], x[1]))[: self.k]
+        ids = self.ids.tolist()
+        for at in range(0, len(ids), TOGETHER):
+            owns, queries = ids[at : at + TOGETHER], self.queries[at : at + TOGETHER]
+            least = [self.floor(i) for i in range(at, at + len(owns))]
+            if Together.fits(shard, queries):
+                found = Together(shard, queries).best(owns, least, self.k)
+            else:
+                found = [shard.best(query, own, self.k, x) for query, own, x in zip(queries, owns, least)]
+            for i, got in enumerate(found, at):
+                if got:
+                    self.top[i] = sorted([*self.top[i], *got], key=lambda x: (-x[0], x[1]))[: self.k]
+
+    def floor(self, i: int) -> int | None:
+        known = (self.floors.get(int(self.ids[i])), self.top[i][-1][0] if len(self.top[i]) == self.k else None)
+        return max((x for x in known if x is not None), default=None)
 
     def found(self) -> pa.RecordBatch:
         rows = [(own, vec, score) for own, top in zip(self.ids.tolist(), self.top) for score, vec in top]

@@ -253,6 +253,10 @@ def test_shards_of_sparse_lists_prune_rightly(monkeypatch):
             if want:
                 least = -want[int(rng.integers(len(want)))][0]
                 assert [(-s, i) for s, i in shard.best(query, int(ids[0]), least=least) if s >= least] == [x for x in want if -x[0] >= least]
+                if maxscore.Together.fits(shard, [query]):
+                    for floor in (None, least):
+                        got = maxscore.Together(shard, [query, {0: 0}]).best([int(ids[0]), -1], [floor, None], 5)[0]
+                        assert [(-s, i) for s, i in got if floor is None or s >= floor] == [x for x in want if floor is None or -x[0] >= floor]
 
 
 # 5
