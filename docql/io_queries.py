@@ -137,9 +137,9 @@ def sink_compact(spark, sf_dir):
 
 @query("SELECT n_nationkey AS value FROM nation")
 def database_column(spark, sf_dir):
-    """JSON texts into a database table and back; the database that Spark brings, in this process."""
+    """JSON texts into a database table and back; the database that Spark brings, in the driver's process."""
     url, name, driver = "jdbc:derby:memory:docql;create=true", f"t{uuid.uuid4().hex[:12]}", {"driver": "org.apache.derby.jdbc.EmbeddedDriver"}
-    writers.write_table(documents(spark, sf_dir).select("value").coalesce(1), url, name, **driver)
+    writers.write_table(documents(spark, sf_dir).select("value"), url, name, **driver)
     rows = compile_program(".k").rows(readers.json_table(spark, url, name, "value", **driver))
     return rows.select(F.col("value").cast("int").alias("value"))
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docql.operators.dynamic import ship
+from docql.sources.embedded import in_process, read_rows
 
 #: The most bytes of JSON that slurp() puts into one row.
 SLURP_BYTES = 64 << 20
@@ -62,8 +63,11 @@ def json_bytes(spark: SparkSession, *paths: str) -> DataFrame:
 
 
 def json_table(spark: SparkSession, url: str, table: str, column: str, **options: str) -> DataFrame:
-    """A database column of JSON text or UTF-8 bytes, as value with the other columns."""
-    df = spark.read.format("jdbc").options(url=url, dbtable=table, **options).load()
+    """A database column of JSON text or UTF-8 bytes, as value with the other columns.
+
+    A server's table is read by the executors, when rows are asked for; a table of the driver's own process now, by the driver.
+    """
+    df = read_rows(spark, url, table, options) if in_process(url) else spark.read.format("jdbc").options(url=url, dbtable=table, **options).load()
     return df.withColumn("value", F.col(column).cast("string")).drop(*({column} - {"value"}))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docql.functions import values as V
+from docql.sources.embedded import in_process, write_texts
 
 COLORS = {"null": "1;30", "boolean": "0;39", "number": "0;39", "string": "0;32", "array": "1;39", "object": "1;39"}
 
@@ -32,7 +33,11 @@ def write_raw(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
 
 
 def write_table(df: DataFrame, url: str, table: str, mode: str = "errorifexists", **options: str) -> None:
-    compact(df).write.format("jdbc").options(url=url, dbtable=table, **options).mode(mode).save()
+    """A row per document, by all tasks; into a database of the driver's own process, by the driver."""
+    if in_process(url):
+        write_texts(compact(df), url, table, mode, options)
+    else:
+        compact(df).write.format("jdbc").options(url=url, dbtable=table, **options).mode(mode).save()
 
 
 def colored(v, indent: str | None, sort_keys: bool = False, depth: int = 0) -> str:

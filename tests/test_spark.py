@@ -3,10 +3,12 @@
 import io
 import json
 import os
+import subprocess
 import sys
 
 import duckdb
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,7 +20,7 @@ from docql.operators.columns import COMPILE, Many, One, Scope
 from docql.operators.dynamic import outputs, structures
 from docql.functions.values import dumps
 from docql.operators.ordkey import ordkey
-from docql.sources import readers, writers
+from docql.sources import embedded, readers, writers
 from docql.streaming import streams
 
 DATA = "/root/testdata/sf0.001"
@@ -321,6 +323,41 @@ def test_sources_and_sinks(spark, tmp_path):
     assert "\x1b[" in writers.shown({"a": [None]}, color=True)
 
 
+def test_tables_within_the_process(spark, monkeypatch):
+    monkeypatch.setattr(embedded, "LOOK", 10)
+    monkeypatch.setattr(embedded, "PART_BYTES", 1_000)
+    url, driver = "jdbc:derby:memory:tests;create=true", {"driver": "org.apache.derby.jdbc.EmbeddedDriver"}
+    texts = ['"a\\nb"', "", None, '{"k":"é😀\\\\ \'q\' ?"}', "two\nlines\r\n", json.dumps("x" * 100_000), *map(str, range(60))]
+    df = spark.createDataFrame([(t,) for t in texts], "value string").repartition(3)
+    read = lambda name, column="value": sorted((r["value"] for r in readers.json_table(spark, url, name, column, **driver).collect()), key=repr)
+    writers.write_table(df, url, "t", **driver)
+    assert read("t") == sorted(texts, key=repr)
+    with pytest.raises(AnalysisException):
+        writers.write_table(df, url, "t", **driver)
+    writers.write_table(df, url, "t", mode="ignore", **driver)
+    assert len(read("t")) == len(texts)
+    writers.write_table(df.limit(1), url, "t", mode="append", **driver)
+    assert len(read("t")) == len(texts) + 1
+    writers.write_table(df.limit(0), url, "t", mode="overwrite", **driver)
+    assert read("t") == []
+    made = spark.sparkContext._jvm.java.sql.DriverManager.getConnection(url)
+    made.createStatement().execute("CREATE TABLE u (value CLOB, n DECIMAL(9,2) DEFAULT 1.5, ts TIMESTAMP DEFAULT '2020-01-02 03:04:05', b VARCHAR(9) FOR BIT DATA DEFAULT X'C3A9')")
+    made.close()
+    writers.write_table(df, url, "u", mode="append", **driver)
+    assert read("u") == sorted(texts, key=repr) and set(read("u", "b")) == {"é"}
+    rows = readers.json_table(spark, url, "u", "VALUE", **driver).select("N", F.col("TS").cast("string")).distinct()
+    assert [tuple(map(str, r)) for r in rows.collect()] == [("1.50", "2020-01-02 03:04:05")]
+    broken = spark.range(60).select(F.when(F.col("id") < 59, "1").otherwise(F.raise_error(F.lit("broken"))).cast("string").alias("value"))
+    with pytest.raises(Exception, match="broken"):
+        writers.write_table(broken.repartition(2, "value"), url, "t", mode="append", **driver)
+    assert read("t") == []
+
+
+def test_which_databases_are_within_the_process():
+    assert all(map(embedded.in_process, ["jdbc:derby:memory:a", "jdbc:derby:/tmp/a", "jdbc:h2:mem:a", "jdbc:hsqldb:file:a", "jdbc:sqlite:a.db", "jdbc:duckdb:"]))
+    assert not any(map(embedded.in_process, ["jdbc:derby://h:1527/a", "jdbc:h2:tcp://h/a", "jdbc:hsqldb:hsql://h/a", "jdbc:postgresql://h/a", "jdbc:mysql://h/a"]))
+
+
 def test_order_keys_and_column_helpers(spark):
     values = [None, False, True, float("-inf"), -3, 2.5, 10**17, 10**17 + 1, "", "a", "b", [], [1], {}, {"a": 1}]
     df = readers.from_values(spark, values[::-1])
@@ -402,6 +439,22 @@ def test_queries_equal_their_sql(spark, duck, name):
     assert sorted((tuple(tidy(r[c]) for c in sorted(columns)) for r in df.collect()), key=repr) == want
 
 
+@needs_data
+def test_database_of_the_driver_on_a_cluster(tmp_path):
+    """Executors in processes of their own, which have no part in a database in the driver's memory."""
+    text = f"""
+import sys
+sys.path.insert(0, {os.path.dirname(os.path.dirname(os.path.abspath(__file__)))!r})
+from pyspark.sql import SparkSession
+made = SparkSession.builder.master("local-cluster[2,1,1024]").config("spark.checkpoint.dir", {tmp_path.as_uri()!r})
+spark = made.config("spark.driver.host", "127.0.0.1").config("spark.ui.enabled", "false").getOrCreate()
+from docql import queries
+print("FOUND", sorted(r[0] for r in queries.queries()["database_column"](spark, {DATA!r}).collect()))
+"""
+    run = subprocess.run([sys.executable, "-c", text], cwd=tmp_path, env=os.environ | {"SPARK_LOCAL_IP": "127.0.0.1"}, capture_output=True, text=True, timeout=300)
+    assert f"FOUND {[*range(25)]}" in run.stdout, run.stderr[-3000:]
+
+
 @needs_data
 def test_contract(spark):
     assert contract.entry(spark).count() == 3
